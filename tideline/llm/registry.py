@@ -1,7 +1,9 @@
 """The queries of this package and the SQL that checks those which SQL can express."""
 
+from tideline.llm.audio import op6
 from tideline.llm.chat_format import OP4_SQL, op4
+from tideline.llm.quality_classifier import op10
 from tideline.llm.quality_rules import OP9_SQL, op9
 
-QUERIES = {"op4_chat_format": op4, "op9_quality_rules": op9}
+QUERIES = {"op4_chat_format": op4, "op6_media_columns": op6, "op9_quality_rules": op9, "op10_quality_classifier": op10}
 ORACLE_SQL = {"op4_chat_format": OP4_SQL, "op9_quality_rules": OP9_SQL}
