@@ -2,8 +2,9 @@
 
 from tideline.llm.audio import op6
 from tideline.llm.chat_format import OP4_SQL, op4
+from tideline.llm.packing import op8
 from tideline.llm.quality_classifier import op10
 from tideline.llm.quality_rules import OP9_SQL, op9
 
-QUERIES = {"op4_chat_format": op4, "op6_media_columns": op6, "op9_quality_rules": op9, "op10_quality_classifier": op10}
+QUERIES = {"op4_chat_format": op4, "op6_media_columns": op6, "op8_best_fit_packing": op8, "op9_quality_rules": op9, "op10_quality_classifier": op10}
 ORACLE_SQL = {"op4_chat_format": OP4_SQL, "op9_quality_rules": OP9_SQL}
