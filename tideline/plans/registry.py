@@ -1,4 +1,10 @@
 """Queries of the event-analytics operators and the SQL that checks them."""
 
+from tideline.plans import rate_queries
+
+_MODULES = (rate_queries,)
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+for _m in _MODULES:
+    QUERIES |= _m.QUERIES
+    ORACLE_SQL |= _m.ORACLE_SQL
