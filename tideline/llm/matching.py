@@ -209,9 +209,13 @@ def _window_hashes(values, at, length, family):
 
 
 def repeated_spans(docs: DataFrame, candidates: DataFrame, units: Units, rule: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key and spans, the (start, end) unit ranges of a text that repeated windows cover; they may overlap."""
+    """key and spans, the (start, end) unit ranges of a text that repeated windows cover; they may overlap. Uses up the candidates' table."""
     settled = materialize(settle(candidates, units, rule, key), "settled")
+    drop_scratch(candidates)
     ranges = materialize(open_ranges(settled, units, rule, key), "ranges")
+    large = settled.filter("settled").select(key, F.col("pos").alias("s"), (F.col("pos") + units.long_phrase).alias("e"))
+    large = materialize(large, "large")
+    drop_scratch(settled)
     wanted = ranges.filter("needs").select("phrase").distinct()
     rows = materialize(window_rows(docs, ranges.join(wanted, "phrase", "left_semi"), units, text, key), "windows")
     drop_scratch(ranges)
@@ -222,10 +226,9 @@ def repeated_spans(docs: DataFrame, candidates: DataFrame, units: Units, rule: s
         groups = rows.groupBy("h1", "h2").agg(F.min(key).alias("_first"), F.max(key).alias("_last")).filter("_first < _last").drop("_last")
         found = rows.join(groups, ["h1", "h2"]).filter(F.col("_first") < F.col(key))
     single = found.select(key, F.col("at").alias("s"), (F.col("at") + units.length).alias("e"))
-    large = settled.filter("settled").select(key, F.col("pos").alias("s"), (F.col("pos") + units.long_phrase).alias("e"))
     spans = materialize(large.unionByName(single).groupBy(key).agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
     drop_scratch(rows)
-    drop_scratch(settled)
+    drop_scratch(large)
     return spans
 
 
