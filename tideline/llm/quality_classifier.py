@@ -12,6 +12,7 @@ out; repeated ones count each. Without labelled rows every score is 0.5. An empt
 from __future__ import annotations
 
 import math
+from collections import Counter
 from dataclasses import dataclass
 from operator import eq
 
@@ -38,9 +39,7 @@ def text_stats(text: bytes | None) -> list[float]:
     n, size = len(tokens), max(len(text), 1)
     chars = np.bincount(np.frombuffer(text, dtype=np.uint8), minlength=256)
     lines = [x for x in text.split(b"\n") if x.strip()]
-    counts: dict[bytes, int] = {}
-    for w in tokens:
-        counts[w] = counts.get(w, 0) + 1
+    counts = Counter(tokens)
     adjacent = sum(map(eq, tokens, tokens[1:]))
     pairs = len(set(zip(tokens, tokens[3:], strict=False))) / max(n - 3, 1) if n > 3 else 1.0
     symbols = int(chars[_SYMBOL_BYTES].sum())
