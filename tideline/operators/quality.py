@@ -223,7 +223,7 @@ def auc_summary(scored: DataFrame) -> DataFrame:
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     every = Window.partitionBy("target_class")
     c = g.withColumn("tp", F.sum("p").over(run)).withColumn("all", F.sum("n").over(run)).withColumn("pos", F.sum("p").over(every)).withColumn("total", F.sum("n").over(every))
-    c = c.withColumn("tpr", F.col("tp") / F.col("pos")).withColumn("fpr", (F.col("all") - F.col("tp")) / (F.col("total") - F.col("pos"))).withColumn("prec", F.col("tp") / F.col("all"))
+    c = c.withColumn("tpr", F.try_divide("tp", "pos")).withColumn("fpr", F.try_divide(F.col("all") - F.col("tp"), F.col("total") - F.col("pos"))).withColumn("prec", F.col("tp") / F.col("all"))
     before = lambda col, first: F.coalesce(F.lag(col).over(w), first)
     c = c.withColumn("_roc", (F.col("fpr") - before("fpr", F.lit(0.0))) * (F.col("tpr") + before("tpr", F.lit(0.0))) / 2)
     c = c.withColumn("_pr", (F.col("tpr") - before("tpr", F.lit(0.0))) * (F.col("prec") + before("prec", F.col("pos") / F.col("total"))) / 2)
