@@ -84,7 +84,7 @@ def test_every_linked_pair_shares_a_key_of_enough_value():
                 add += 1
             b = np.unique(np.concatenate([a[drop:], rng.integers(0, 1 << 63, add, dtype=np.uint64)]))
             small, large = sorted((a, b), key=len)
-            _, keys, own, value = ngram_join.record_keys([small])
+            _, keys, own, value, _ = ngram_join.record_keys([small])
             _, other, *_ = ngram_join.record_keys([large])
             assert value[0] >= ngram_join.differences(len(small)) + 1
             if len(b):

@@ -8,11 +8,12 @@ band's scheme, and in the next lower one if a smaller partner may be there; for
 neighbourhood with one shingle deleted. Records of under 32 shingles have a segment per shingle.
 
 A key that one record alone has can't miss a link, and neither can one whose records are all in one component: such
-segments are free. Keys are matched in buckets of bounded size, after equal keys of a batch are combined. Each key links
-its records to its least one; those pairs are verified, and components follow. Records whose free segments don't add up
-to more than H then allocate: they take their cheapest other segments, by number of records, until they do, and are
-compared with those records of other components. So no link between components is lost, and no group is expanded into
-pairs. Verification intersects whole sets.
+segments are free. Keys are matched in buckets of bounded size, after equal keys of a batch are combined. Each key
+names its least record as hub; every record is verified against the hub that most of its keys name, and components
+follow. Records whose free segments don't add up to more than H are allocated anew: their segments, and those of the
+records that share an open key with one of them, become single shingles, of which the n/4 + 1 rarest are taken, and pairs of
+two components that share one are compared. So no link between components is lost, and no group is expanded into pairs.
+Verification intersects whole sets.
 
 Null and empty texts, and texts without words, have no shingles and no links. A null key is a text of its own. Repeated
 rows are copies. An empty table gives an empty result.
@@ -63,8 +64,8 @@ def fingerprint(s: np.ndarray) -> int:
 
 
 def differences(n):
-    """The most shingles in which a record of n differs from a linked one that is at most 4n/3 large."""
-    return (n + n * 4 // 3) // 7
+    """The most shingles in which a record of n differs from a linked one that is at most 4n/3 large; without those that only the other has, where each is a segment."""
+    return np.where(n < 1 << _FIRST_BAND, n // 4, (n + n * 4 // 3) // 7)
 
 
 def _segments(sets: list[np.ndarray], band: int):
@@ -109,10 +110,10 @@ def _bands(n: np.ndarray) -> np.ndarray:
 
 
 def record_keys(sets: list[np.ndarray]):
-    """(set, key, own) of all index keys, and each set's total value in its own scheme."""
+    """(set, key, own) of all index keys, and each set's total value in its own scheme and in the next lower one."""
     n = np.array([len(s) for s in sets])
     own = _bands(n)
-    value = np.zeros(len(sets), dtype=np.int64)
+    value, value_below = np.zeros(len(sets), dtype=np.int64), np.zeros(len(sets), dtype=np.int64)
     parts = []
     lower = (own >= _FIRST_BAND) & (3 * n < 4 << own)
     for band in np.unique(own).tolist():
@@ -120,14 +121,13 @@ def record_keys(sets: list[np.ndarray]):
             if len(chosen):
                 which, keys, total = scheme_keys([sets[i] for i in chosen], band)
                 parts.append((chosen[which], keys, np.full(len(keys), mine)))
-                if mine:
-                    value[chosen] = total
+                (value if mine else value_below)[chosen] = total
     for band in set((own[lower] - 1).tolist()) - set(own.tolist()):
         chosen = np.flatnonzero((own == band + 1) & lower)
-        which, keys, _ = scheme_keys([sets[i] for i in chosen], band)
+        which, keys, value_below[chosen] = scheme_keys([sets[i] for i in chosen], band)
         parts.append((chosen[which], keys, np.zeros(len(keys), dtype=bool)))
     empty = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=bool))
-    return *(tuple(np.concatenate(c) for c in zip(*parts, strict=True)) if parts else empty), value
+    return *(tuple(np.concatenate(c) for c in zip(*parts, strict=True)) if parts else empty), value, value_below
 
 
 def _text_blocks(batches):
@@ -138,17 +138,17 @@ def _text_blocks(batches):
 
 
 def digests(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """key, n, fp, and value and need: the sum of its segments' values, and what it must reach."""
+    """key, n, fp, and value and need: the sum of its segments' values, and what it must reach; value_below: in the next lower scheme."""
 
     def run(batches):
         for keys, sets in _text_blocks(batches):
             n = np.array([len(s) for s in sets], dtype=np.int64)
-            *_, value = record_keys(sets)
+            *_, value, below = record_keys(sets)
             fps = np.array([fingerprint(s) for s in sets], dtype=np.uint64)
-            yield pa.record_batch([keys, pa.array(n), signed(fps), pa.array(value), pa.array(differences(n) + 1)], names=[key, "n", "fp", "value", "need"])
+            yield pa.record_batch([keys, pa.array(n), signed(fps), pa.array(value), pa.array(differences(n) + 1), pa.array(below)], names=[key, "n", "fp", "value", "need", "value_below"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, n long, fp long, value long, need long")
+    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, n long, fp long, value long, need long, value_below long")
 
 
 def _shared(keys: np.ndarray, fps: np.ndarray) -> np.ndarray:
@@ -167,7 +167,7 @@ def packed_keys(docs: DataFrame, buckets: int, text: str, key: str) -> DataFrame
     def run(batches):
         for _, sets in _text_blocks(batches):
             fps = np.array([fingerprint(s) for s in sets], dtype=np.uint64)
-            which, keys, own, _ = record_keys(sets)
+            which, keys, own, *_ = record_keys(sets)
             if not len(keys):
                 continue
             fps = fps[which] | own.astype(np.uint64)
@@ -178,13 +178,15 @@ def packed_keys(docs: DataFrame, buckets: int, text: str, key: str) -> DataFrame
             shared = _shared(keys, fps)
             lead = np.concatenate([[True], keys[1:] != keys[:-1]])
             for found, chosen in ((False, np.flatnonzero(lead)), (True, np.flatnonzero(shared))):
+                if not len(chosen):
+                    continue
                 k, f = keys[chosen], fps[chosen]
                 bucket = ((mix(f if found else k) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32)
                 order = np.argsort(bucket, kind="stable")
                 k, f, bucket = k[order], f[order], bucket[order]
-                cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, dtype=int)
+                cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
                 ends = np.concatenate([cuts[1:], [len(bucket)]])
-                rows = [(k[i:j].tobytes(), f[i:j].tobytes()) for i, j in zip(cuts, ends, strict=True)] if len(cuts) else []
+                rows = [(k[i:j].tobytes(), f[i:j].tobytes()) for i, j in zip(cuts, ends, strict=True)]
                 cols = [pa.array(bucket[cuts]), pa.array([found] * len(rows)), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())]
                 yield pa.record_batch(cols, names=["bucket", "found", "keys", "fps"])
 
@@ -253,22 +255,52 @@ def _pairs(df: DataFrame) -> DataFrame:
     return df.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _allocate(entries: DataFrame, roots: DataFrame, records: DataFrame) -> DataFrame:
-    """Pairs that needy records still have to be compared in, after the components so far."""
-    placed = entries.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    placed = materialize(placed.select("key", "fp", "own", "root"), "placed")
-    open_keys = placed.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count(F.lit(1)).alias("cost")).filter("_lo < _hi").select("key", "cost")
-    left = materialize(placed.join(open_keys, "key"), "open")
-    unit = F.col("key").bitwiseAND(F.lit(_PLAIN))
-    units = left.filter("own").withColumn("unit", F.when(unit == _PLAIN, F.col("key")).otherwise(unit)).withColumn("plain", unit == _PLAIN)
-    units = units.groupBy("fp", "unit", "plain").agg(F.sum("cost").alias("cost"))
-    by_record, ranked = Window.partitionBy("fp"), Window.partitionBy("fp").orderBy("cost", "unit")
-    units = units.join(records.select("fp", "value", "need"), "fp")
-    lost = F.sum(F.when(F.col("plain"), 1).otherwise(2)).over(by_record)
-    chosen = units.withColumn("short", F.col("need") - (F.col("value") - lost)).withColumn("rank", F.row_number().over(ranked)).filter("rank <= short")
-    probes = left.filter("own").withColumn("unit", F.when(unit == _PLAIN, F.col("key")).otherwise(unit)).join(chosen.select("fp", "unit"), ["fp", "unit"], "left_semi")
-    other = left.select("key", F.col("fp").alias("b"), F.col("root").alias("_root"))
-    return _pairs(probes.select("key", F.col("fp").alias("a"), "root").join(other, "key").filter("root <> _root").select("a", "b"))
+def _narrow(rows: DataFrame, records: DataFrame, rounds: int) -> DataFrame:
+    """The (key, fp, own, root) rows that may still show a link between two roots.
+
+    A key is open if rows of two roots have it, one of them in its own scheme; all other segments are free. A record whose
+    free segments in a scheme add up to more than two linked records can differ in has no link there, so its rows go,
+    which frees segments of others. Linked records of two roots never go: what they share is open.
+    """
+    limits = records.select("fp", "value", "need", "value_below", (F.floor(2 * F.col("n") / 7) + 1).alias("need_below"))
+    plain = F.col("key").bitwiseAND(F.lit(_PLAIN)) == _PLAIN
+    spare = F.when(F.col("own"), F.col("value") - F.col("lost") < F.col("need")).otherwise(F.col("value_below") - F.col("lost") < F.col("need_below"))
+    for i in range(rounds):
+        found = rows.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.max("own").alias("_own")).filter("_lo < _hi AND _own").select("key")
+        left = materialize(rows.join(found, "key", "left_semi"), "open")
+        lost = left.groupBy("fp", "own").agg(F.sum(F.when(plain, 1).otherwise(2)).alias("lost"))
+        needy = lost.join(limits, "fp").filter(spare).select("fp", "own")
+        kept = materialize(left.join(needy, ["fp", "own"], "left_semi"), "narrow")
+        drop_scratch(left)
+        if i:
+            drop_scratch(rows)
+        rows = kept
+    return rows
+
+
+def _allocate(docs: DataFrame, reached: DataFrame, text: str, key: str) -> DataFrame:
+    """Pairs of open records of two components that share one of their n/4 + 1 rarest shingles, each a segment of its own.
+
+    A linked record lacks at most n/4 of the others' shingles, so both have a common one among these, in one order by
+    frequency. From the first common one on, both must have enough left for the overlap of 3/7 of their sizes. Frequencies
+    are counted over the open records; shingles of one component are left out before pairing.
+    """
+
+    def run(batches):
+        for b in batches:
+            for fp, s in zip(b.column(0), b.column(1), strict=True):
+                tokens = np.frombuffer(s.as_buffer(), dtype=np.int64)
+                yield pa.record_batch([pa.array(np.full(len(tokens), fp.as_py())), pa.array(tokens)], names=["fp", "token"])
+
+    tokens = materialize(set_table(docs, reached, text, key).mapInArrow(run, "fp long, token long").join(reached.select("fp", "n", "root"), "fp"), "shingles")
+    spread = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"), (F.min("root") < F.max("root")).alias("cross"))
+    order = Window.partitionBy("fp").orderBy("df", "token")
+    ranked = tokens.join(spread, "token").withColumn("rank", F.row_number().over(order))
+    rare = materialize(ranked.filter((F.col("rank") <= F.floor(F.col("n") / 4) + 1) & F.col("cross")).select("token", "fp", "n", "root", "rank"), "rare")
+    drop_scratch(tokens)
+    a, b = (rare.select("token", F.col("fp").alias(x), F.col("n").alias(f"n{x}"), F.col("root").alias(f"r{x}"), (F.col("n") - F.col("rank") + 1).alias(f"m{x}")) for x in "ab")
+    near = "a < b AND ra <> rb AND 4 * least(na, nb) >= 3 * greatest(na, nb) AND 7 * least(ma, mb) >= 3 * (na + nb)"
+    return a.join(b, "token").filter(near).select("a", "b").distinct()
 
 
 def _short_pairs(docs: DataFrame, records: DataFrame, text: str, key: str) -> DataFrame:
@@ -291,31 +323,33 @@ def _short_pairs(docs: DataFrame, records: DataFrame, text: str, key: str) -> Da
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, n_shingles and component_id, the least key that can be reached by links."""
     told = materialize(digests(docs, text, key), "digests")
-    records = told.filter(F.col(key).isNotNull() & (F.col("n") > 0)).groupBy("fp", "n", "value", "need").agg(F.min(key).alias("rep"))
+    records = told.filter(F.col(key).isNotNull() & (F.col("n") > 0)).groupBy("fp", "n", "value", "need", "value_below").agg(F.min(key).alias("rep"))
     records = materialize(records, "records")
     total, short = records.agg(F.sum("n"), F.count_if(F.col("value") < F.col("need"))).first()
     buckets = max(12, (total or 0) // _ENTRIES + 1)
     named = docs.filter(F.col(key).isNotNull())
     entries = materialize(shared_entries(packed_keys(named, buckets, text, key)), "entries")
 
-    plain = F.col("key").bitwiseAND(F.lit(_PLAIN)) == _PLAIN
-    lost = entries.filter("own").groupBy("fp").agg(F.sum(F.when(plain, 1).otherwise(2)).alias("lost"))
-    needy = lost.join(records, "fp").filter("value - lost < need").select("fp", F.lit(True).alias("needy"))
-    marked = entries.join(needy, "fp", "left")
-    keys = marked.groupBy("key").agg(F.min("fp").alias("hub"), F.max(F.col("own") & F.coalesce("needy", F.lit(False))).alias("wanted")).filter("wanted").drop("wanted")
-    left = materialize(entries.join(keys, "key"), "wanted")
+    left = _narrow(entries.withColumn("root", F.col("fp")), records, 2)
     drop_scratch(entries)
-
-    links = linked(docs, _pairs(left.select(F.col("hub").alias("a"), F.col("fp").alias("b"))), records, text, key)
+    hubs = left.groupBy("key").agg(F.min("fp").alias("hub"))
+    votes = left.join(hubs, "key").filter("fp <> hub").groupBy("fp", "hub").agg(F.count(F.lit(1)).alias("n"))
+    first = votes.groupBy(F.col("fp").alias("a")).agg(F.max_by("hub", F.struct("n", "hub")).alias("b"))
+    links = linked(docs, _pairs(first), records, text, key)
     roots = components(links)
-    rest = _allocate(left.select("key", "fp", "own"), roots, records)
+    placed = left.drop("root").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    placed = materialize(placed, "placed")
+    drop_scratch(left)
+    reached = _narrow(placed, records, 3).select("fp", "root").distinct()
+    reached = materialize(reached.join(records.select("fp", "n", "rep"), "fp"), "reached")
+    drop_scratch(placed)
+    rest = _allocate(docs, reached, text, key)
     if short:
         rest = rest.unionByName(_short_pairs(docs, records, text, key)).distinct()
     rest = materialize(rest, "rest")
     if not rest.isEmpty():
         more = linked(docs, rest, records, text, key)
         roots = components(links.unionByName(more))
-    drop_scratch(left)
 
     named_roots = records.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = named_roots.groupBy("root").agg(F.min("rep").alias("component_id"))
