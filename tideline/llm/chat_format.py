@@ -36,7 +36,7 @@ ROLE_NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model":
 MARKS = {"system": ("<<SYS>>", "<</SYS>>"), "user": ("[INST]", "[/INST]"), "assistant": ("<s>", "</s>")}
 _CONTROL = r"(<<|\[|<)(\\*)(/?(?:SYS>>|INST\]|ROLE\]|s>))"
 _ESCAPED = r"(<<|\[|<)\\(\\*)(/?(?:SYS>>|INST\]|ROLE\]|s>))"
-_TURN = r"(?s)(?:\[ROLE\](.*?)\[/ROLE\])?(<<SYS>>|\[INST\]|<s>)(.*?)(?:<</SYS>>|\[/INST\]|</s>)"
+_TURN = r"(?s)(\[ROLE\].*?\[/ROLE\])?(<<SYS>>|\[INST\]|<s>)(.*?)(?:<</SYS>>|\[/INST\]|</s>)"
 
 
 def field_paths(schema: T.StructType, prefix: str = "") -> list[str]:
@@ -116,7 +116,8 @@ def parse_turns(formatted: Column) -> Column:
 
     def turn(r, t):
         by_mark = F.when(r["mark"] == "<<SYS>>", "system").when(r["mark"] == "<s>", "assistant")
-        named = F.when(r["name"] != "", unescape(r["name"])).otherwise(F.lit("user"))
+        name = F.substr(r["name"], F.lit(len("[ROLE]") + 1), F.length(r["name"]) - len("[ROLE][/ROLE]"))
+        named = F.when(r["name"] != "", unescape(name)).otherwise(F.lit("user"))
         return F.struct(F.coalesce(by_mark, named).alias("role"), unescape(t).alias("text"))
 
     return F.zip_with(roles, part(3), turn)
