@@ -153,6 +153,38 @@ def test_rates_match_a_projected_gradient_in_numpy(spark):
     assert np.abs(w @ a - target).max() < np.abs(a.sum(0) - target).max()
 
 
+def mixed(spark, monkeypatch, n, long=()):
+    """A mix by production defaults of texts whose posteriors are given, its table of posteriors * tokens, and the targets."""
+    rng = np.random.default_rng(8)
+    kind = rng.choice(3, n, p=[0.7, 0.15, 0.15])
+    post = np.where(np.arange(3) == kind[:, None], 0.98, 0.01)
+    tokens = rng.integers(20, 600, n)
+    for t, i in long:
+        post, tokens = np.vstack([post, np.where(np.arange(3) == i, 0.98, 0.01)]), np.append(tokens, t)
+    df = spark.createDataFrame([(i, "x", int(t), p.tolist()) for i, (t, p) in enumerate(zip(tokens, post, strict=True))], "doc_id long, text string, tokens long, post array<double>")
+    monkeypatch.setattr(mixing, "fit_domains", lambda docs, labels: None)
+    monkeypatch.setattr(mixing, "memberships", lambda docs, model: docs.join(df.drop("text"), "doc_id"))
+    out = mixing.mix(df.select("doc_id", "text"), None).orderBy("doc_id").toPandas()
+    a = tokens[:, None] * post
+    share = np.array([mixing.WEIGHTS[d] for d in mixing.DOMAINS])
+    return out, a, np.minimum(a.sum(0), share * a.sum(0)[0] / share[0])
+
+
+@pytest.mark.parametrize("long", [[], [(1_000_000, 2)], [(1_000_000, 2), (1_000_000, 1)]])
+def test_mix_meets_the_targets_beside_very_long_texts(spark, monkeypatch, long):
+    out, a, target = mixed(spark, monkeypatch, 2000, long)
+    assert np.abs(out.rate.to_numpy() @ a - target).max() <= 2e-3 * target.sum() / 3
+    assert (out.rate >= 0).all()
+
+
+def test_targets_out_of_reach_are_reported(spark):
+    df = spark.createDataFrame([(i, 10, [1 / 3] * 3) for i in range(5)], "doc_id long, tokens long, post array<double>")
+    with pytest.warns(UserWarning, match="no rates meet the targets"):
+        mixing.solve_rates(df)
+    with pytest.raises(RuntimeError, match="haven't converged"):
+        mixing.solve_rates(df, most_steps=1)
+
+
 def test_mix_of_odd_tables(spark):
     labels = spark.createDataFrame([(1, 1, 0), (2, None, 0)], "doc_id long, quality int, toxic int")
     docs = spark.createDataFrame([(1, "a b"), (2, None), (3, "")], "doc_id long, text string")

@@ -1,9 +1,11 @@
 """Mixing sources to target weights by soft membership.
 
 A classifier learnt from a labelled table gives every document posteriors over domains. With t the tokens of a document
-and p its posteriors, nonnegative rates w minimise |sum(w t p) - targets|^2 / scale^2 + ridge |w - 1|^2 by projected
-gradient. Each step sums the domains' expected totals over all documents in Spark and sends the driver one number a
-domain; a document's rate follows from its own t and p and the residuals so far, so no state is shuffled or kept.
+and p its posteriors, nonnegative rates w minimise sum over domains of (sum(w t p) - target)^2 / target
++ ridge * sum(t (w - 1)^2). The optimum is w = max(0, 1 - p . lam) with one number a domain in lam, found by Newton's
+method on the convex dual: each step sums K gradient and K x K curvature numbers over all documents in Spark. A rate
+depends on the posteriors alone, so one very long text doesn't slow or stop the others. A fit that hasn't reached the
+optimum raises an error; targets that no nonnegative rates can meet (all posteriors equal, say) give a warning.
 
 Null and empty texts have no tokens: their rate is 1. Labels that are null in any field, and documents without a label,
 don't teach. Without labels all posteriors are equal. Repeated rows count each and get the same rate. An empty table
@@ -12,6 +14,7 @@ gives an empty result.
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from dataclasses import dataclass
 
@@ -143,8 +146,54 @@ def rate(residuals: list[list[float]], steps: list[float], ridge: float):
     return F.aggregate(path, F.lit(1.0), step)
 
 
+def _sums(members: DataFrame, columns: list) -> np.ndarray:
+    return np.array([x or 0.0 for x in members.agg(*[F.sum(c) for c in columns]).first()], dtype=float)
+
+
+def rate_by_tokens(lam: np.ndarray):
+    """Column: max(0, 1 - p . lam)."""
+    return F.greatest(F.lit(0.0), F.lit(1.0) - sum((F.get("post", F.lit(i)) * float(x) for i, x in enumerate(lam)), F.lit(0.0)))
+
+
+def solve_rates(members: DataFrame, weights: dict[str, float] = WEIGHTS, ridge: float = 1e-4, most_steps: int = 100, tolerance: float = 2e-3):
+    """Column of the rates at the optimum. The anchor, the first domain, keeps its expected total; others come down to their share.
+
+    At the optimum the miss of a domain is ridge * target * lam. Newton's steps are halved until the dual falls enough.
+    """
+    k = len(DOMAINS)
+    part = [F.col("tokens") * F.get("post", F.lit(i)) for i in range(k)]
+    total = _sums(members, part)
+    if not total.sum():
+        return F.lit(1.0)
+    share = np.array([weights[d] for d in DOMAINS])
+    target = np.minimum(total, share * total[0] / share[0])
+    slack = ridge * np.maximum(target, 1e-9 * total.sum())
+    pairs = [p * F.get("post", F.lit(j)) for p in part for j in range(k)]
+
+    def at(lam):
+        w = rate_by_tokens(lam)
+        s = _sums(members, [F.col("tokens") * w * w, *[w * p for p in part], *[F.when(w > 0, q).otherwise(0.0) for q in pairs]])
+        return s[0] / 2 + target @ lam + slack @ lam**2 / 2, s[1 : k + 1], s[k + 1 :].reshape(k, k)
+
+    lam = np.zeros(k)
+    value, now, gram = at(lam)
+    for _ in range(most_steps):
+        slope = target + slack * lam - now
+        if np.abs(slope).max() <= 1e-6 * target.sum():
+            break
+        move, size = -np.linalg.solve(gram + np.diag(slack), slope), 1.0
+        while (tried := at(lam + size * move))[0] > value + 1e-4 * size * (slope @ move) + 1e-12 * abs(value) and size > 1e-9:
+            size /= 2
+        lam, (value, now, gram) = lam + size * move, tried
+    else:
+        raise RuntimeError(f"rates haven't converged after {most_steps} steps: expected {now.tolist()}, targets {target.tolist()}")
+    if np.abs(now - target).max() > tolerance * target.sum() / k:
+        warnings.warn(f"no rates meet the targets: expected {now.tolist()}, targets {target.tolist()}", stacklevel=2)
+    return rate_by_tokens(lam)
+
+
 def fit_rates(members: DataFrame, weights: dict[str, float] = WEIGHTS, ridge: float = 1e-4, iterations: int = 25, tolerance: float = 2e-3):
-    """Column of the rates. The anchor, the first domain, keeps its expected total; others come down to their share."""
+    """Column of the rates after at most so many plain gradient steps, converged or not; mix() takes solve_rates instead."""
     k = len(DOMAINS)
     part = [F.col("tokens") * F.get("post", F.lit(i)) for i in range(k)]
     s = members.agg(*[F.sum(p) for p in part], *[F.sum(p * q) for p in part for q in part]).first()
@@ -174,7 +223,7 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS,
     model = fit_domains(docs, labels)
     keyed = docs.select("doc_id", "text").filter("doc_id IS NOT NULL")
     members = materialize(memberships(keyed, model).select("doc_id", "tokens", "post"), "members")
-    fitted = F.when(F.col("tokens") == 0, 1.0).otherwise(fit_rates(members, weights))
+    fitted = F.when(F.col("tokens") == 0, 1.0).otherwise(solve_rates(members, weights))
     near = F.abs(fitted - F.round(fitted)) <= snap
     draw = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1_000_000)) / 1_000_000
     rated = members.withColumn("rate", fitted)
