@@ -177,6 +177,15 @@ def test_mix_meets_the_targets_beside_very_long_texts(spark, monkeypatch, long):
     assert (out.rate >= 0).all()
 
 
+def test_drawn_copies_have_the_totals_of_the_fit(spark, monkeypatch):
+    out, a, target = mixed(spark, monkeypatch, 6000)
+    rate, copies = out.rate.to_numpy(), out.copies.to_numpy()
+    deviation = np.sqrt((rate % 1 * (1 - rate % 1)) @ a**2)
+    assert (np.abs(copies @ a - target) <= 4 * deviation + 2e-3 * target.sum() / 3).all()
+    rare = (rate > 0) & (rate <= 0.1)
+    assert rare.sum() > 500 and copies[rare].sum() > 0
+
+
 def test_targets_out_of_reach_are_reported(spark):
     df = spark.createDataFrame([(i, 10, [1 / 3] * 3) for i in range(5)], "doc_id long, tokens long, post array<double>")
     with pytest.warns(UserWarning, match="no rates meet the targets"):

@@ -215,19 +215,18 @@ def fit_rates(members: DataFrame, weights: dict[str, float] = WEIGHTS, ridge: fl
     return rate(residuals, steps, ridge)
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, snap: float = 0.1) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
     """docs with tokens, post, rate and copies: how often the mix takes the document, by its rate and a hash of its id.
 
-    Rates within ``snap`` of a whole number count as that number.
+    copies is the rate rounded up or down by that hash, so that the expected totals of the mix are those of the fit.
     """
     model = fit_domains(docs, labels)
     keyed = docs.select("doc_id", "text").filter("doc_id IS NOT NULL")
     members = materialize(memberships(keyed, model).select("doc_id", "tokens", "post"), "members")
     fitted = F.when(F.col("tokens") == 0, 1.0).otherwise(solve_rates(members, weights))
-    near = F.abs(fitted - F.round(fitted)) <= snap
     draw = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1_000_000)) / 1_000_000
     rated = members.withColumn("rate", fitted)
-    return rated.withColumn("copies", F.when(near, F.round("rate")).otherwise(F.floor(F.col("rate") + draw)).cast("int"))
+    return rated.withColumn("copies", F.floor(F.col("rate") + draw).cast("int"))
 
 
 def op5(spark, sf_dir):
