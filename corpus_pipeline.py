@@ -18,6 +18,8 @@ from tideline.llm.packing import pack_documents
 from tideline.llm.quality_classifier import fit_on_labels, score_texts, stats_table
 
 MIN_QUALITY = 0.7
+#: Repeated runs of fewer than three lines go from so many words on.
+RUN_WORDS = 50
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +30,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the line runs that came before; documents with nothing else in them go."""
-    out = dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
+    out = dedup_lines(docs, words=RUN_WORDS).withColumn("n_chars", F.length("text").cast("long"))
     emptied = (F.col("n_removed") > 0) & ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     return out.filter(~emptied).select(docs.columns)
 

@@ -186,6 +186,33 @@ def test_lines_match_brute_force(docs, texts):
     assert sum(map(len, gone.values())) > 100
 
 
+def test_short_runs_go_by_their_words(spark):
+    import corpus_pipeline
+
+    long, half = " ".join(f"w{i}" for i in range(50)), " ".join(f"h{i}" for i in range(25))
+    texts = {
+        1: f"a\n{long}\nb", 2: f"c\n\n{long}\nd", 3: f"e\n{half}\n{half} x\nf", 4: f"g\n{half}\n{half} x\nh", 5: f"{half}\ni\nj",
+        6: "short", 7: "short", 8: "two\nlines", 9: "\ntwo\n\nlines", 10: "two\nlines\nmore", 11: "lines", 12: f"{long}\n{long}", 13: None, 14: "",
+    }
+    seen, gone = set(), defaultdict(set)
+    for d in sorted(texts):
+        lines = [x for x in (texts[d] or "").split("\n") if words(x)]
+        for i in range(len(lines)):
+            for n in range(1, min(3, len(lines) - i) + 1):
+                part = tuple(lines[i : i + n])
+                units = [part] if n == 3 or len(words(" ".join(part))) >= 50 else []
+                for unit in units + ([("whole", part)] if n == len(lines) < 3 else []):
+                    if (unit, n) in seen:
+                        gone[d] |= set(range(i, i + n))
+                    seen.add((unit, n))
+    docs = spark.createDataFrame([(d, t, "s", 0) for d, t in texts.items()], "doc_id long, text string, source string, n_chars long").repartition(3)
+    got = {r.doc_id: r.n_removed for r in dedup_lines(docs, words=50).collect()}
+    assert got == {d: len(gone[d]) for d in texts}
+    assert {d for d in texts if gone[d]} == {2, 4, 7, 9, 12}
+    kept = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, None).collect()}
+    assert kept[2] == "c\n\nd" and kept[4] == "g\nh" and {7, 9, 12}.isdisjoint(kept) and kept[10] == texts[10]
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -6,6 +6,9 @@ occurred before, in the same text or in one with a smaller key, is repeated, and
 it. Fingerprints that occur once are dropped after a partial count; the windows of the others are
 joined by position to the first place with equal lines, and matches that overlap extend each other both ways into runs.
 
+With ``words``, fewer lines that hold that many words together are a run as well, and so is the whole of a text that has
+fewer than ``run`` lines, where it repeats another such text. op7 goes by ``run`` alone, as its SQL does.
+
 Lines are compared whole, by pairs of 64-bit hashes. A null or empty text has no lines and stays as it is. Blank lines
 go only with the deleted line before them. First occurrences always stay; repeated rows of one key count as one text that
 occurs once, and each gets the same result. An empty table gives an empty result.
@@ -25,36 +28,56 @@ def _hash(c):
     return F.struct(F.xxhash64(c).alias("a"), F.xxhash64(F.lit(1), c).alias("b"))
 
 
-def line_windows(docs: DataFrame, run: int, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """A row per window of ``run`` content lines: key, at (its first line), mark (the fingerprint), own (the whole window's hash)."""
+def line_windows(docs: DataFrame, run: int, text: str = "text", key: str = "doc_id", words: int | None = None) -> DataFrame:
+    """A row per window: key, at (its first line), width (its lines), mark (the fingerprint), own (the whole window's hash).
+
+    Windows have ``run`` content lines. With ``words``, those of fewer lines that hold as many words count too, and the
+    whole of a text that has fewer lines than ``run``, which equals other whole texts only.
+    """
     lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: x.rlike(_CONTENT))
 
     def windows(h):
-        def one(i):
-            part = F.slice(h, i, run)
-            return F.struct(
-                i.alias("at"),
-                F.array_min(F.transform(part, lambda x: x["a"])).alias("mark"),
-                F.xxhash64(part).alias("a"),
-                F.xxhash64(F.lit(1), part).alias("b"),
-            )
-
-        return F.when(F.size(h) >= run, F.transform(F.sequence(F.lit(1), F.size(h) - (run - 1)), one))
-
-    made = docs.select(F.col(key), F.explode(let(F.transform(lines, _hash), windows)).alias("w"))
+        def one(width, salt):
+            def at(i):
+                part = F.slice(h, i, width)
+                least = F.array_min(F.transform(part, lambda x: x["a"]))
+                return F.struct(
+                    i.alias("at"),
+                    F.lit(width).alias("width") if isinstance(width, int) else width.alias("width"),
+                    (F.xxhash64(least, salt, F.lit(width)) if salt is not None else least).alias("mark"),
+                    F.xxhash64(part, *([] if salt is None else [salt])).alias("a"),
+                    F.xxhash64(F.lit(1), part, *([] if salt is None else [salt])).alias("b"),
+                )
+
+            return at
+
+        def rich(width):
+            return lambda i: sum((F.get(h, i + (j - 1))["n"] for j in range(width)), F.lit(0)) >= words
+
+        full = F.when(F.size(h) >= run, F.transform(F.sequence(F.lit(1), F.size(h) - (run - 1)), one(run, None)))
+        if words is None:
+            return full
+        kinds = [full, F.when(F.size(h).between(1, run - 1), F.transform(F.array(F.lit(1)), one(F.size(h), F.lit("whole"))))]
+        for width in range(1, run):
+            places = F.filter(F.sequence(F.lit(1), F.size(h) - (width - 1)), rich(width))
+            kinds.append(F.when(F.size(h) >= width, F.transform(places, one(width, F.lit("words")))))
+        return F.flatten(F.filter(F.array(*kinds), lambda x: x.isNotNull()))
+
+    counted = _hash if words is None else lambda x: _hash(x).withField("n", F.regexp_count(x, F.lit(_CONTENT + "+")))
+    made = docs.select(F.col(key), F.explode(let(F.transform(lines, counted), windows)).alias("w"))
     return made.select(F.col(key), "w.*")
 
 
-def repeated_lines(docs: DataFrame, run: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
+def repeated_lines(docs: DataFrame, run: int = 3, text: str = "text", key: str = "doc_id", words: int | None = None) -> DataFrame:
     """key and lines, the sorted numbers (from 1) of the content lines that go, for the texts that lose any."""
-    windows = materialize(line_windows(docs.filter(F.col(key).isNotNull()), run, text, key).distinct(), "windows")
+    windows = materialize(line_windows(docs.filter(F.col(key).isNotNull()), run, text, key, words).distinct(), "windows")
     marks = windows.groupBy("mark").agg(F.min(key).alias("_k"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("mark")
     shared = windows.join(marks, "mark", "left_semi").drop("mark")
     place = F.struct(F.col(key).alias("k"), F.col("at"))
     first = shared.groupBy("a", "b").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     later = shared.join(first, ["a", "b"]).filter(place != F.col("first"))
-    covered = later.groupBy(key).agg(F.collect_set("at").alias("at"))
-    spread = F.flatten(F.transform("at", lambda i: F.sequence(i, i + (run - 1))))
+    covered = later.groupBy(key).agg(F.collect_set(F.struct("at", "width")).alias("at"))
+    spread = F.flatten(F.transform("at", lambda w: F.sequence(w["at"], w["at"] + w["width"] - 1)))
     return covered.select(F.col(key), F.array_sort(F.array_distinct(spread)).alias("lines"))
 
 
@@ -74,9 +97,9 @@ def without_lines(text, gone):
     return let(F.split(text, "\n"), cut)
 
 
-def dedup_lines(docs: DataFrame, run: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
+def dedup_lines(docs: DataFrame, run: int = 3, text: str = "text", key: str = "doc_id", words: int | None = None) -> DataFrame:
     """docs with the text less its repeated runs, and n_removed, the number of content lines that went."""
-    gone = repeated_lines(docs, run, text, key).withColumnRenamed(key, "_key")
+    gone = repeated_lines(docs, run, text, key, words).withColumnRenamed(key, "_key")
     out = docs.join(gone, docs[key] == F.col("_key"), "left").drop("_key")
     cut = F.when(F.col("lines").isNull(), F.col(text)).otherwise(without_lines(F.col(text), F.col("lines")))
     return out.withColumn(text, cut).withColumn("n_removed", F.coalesce(F.size("lines"), F.lit(0)).cast("long")).drop("lines")
