@@ -43,11 +43,9 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it. Documents without an id are taken once."""
-    copies = mix(docs, table(spark, sf_dir, "labels")).select(F.col("doc_id").alias("_id"), "copies").distinct()
-    taken = docs.join(copies, docs["doc_id"] == F.col("_id"), "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
-    repeated = F.explode(F.sequence(F.lit(1), F.col("copies")))
-    return taken.filter("copies > 0").withColumn("_copy", repeated).select(docs.columns)
+    """Every document as often as the mix takes it, those without an id too."""
+    taken = mix(docs, table(spark, sf_dir, "labels"), keep=tuple(docs.columns)).filter("copies > 0")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -202,6 +202,27 @@ def test_mix_of_odd_tables(spark):
     assert mixing.mix(docs.filter("false"), labels).count() == 0
 
 
+def test_documents_without_an_id_are_mixed_too(spark, monkeypatch, tmp_path):
+    import corpus_pipeline
+
+    kinds = ["clean"] * 280 + ["junk"] * 60 + ["toxic"] * 120
+    post = {"clean": [0.98, 0.01, 0.01], "junk": [0.01, 0.98, 0.01], "toxic": [0.01, 0.01, 0.98]}
+    rows = [(None if i % 2 else i, f"{k} {i}", 100, post[k]) for i, k in enumerate(kinds)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, tokens long, post array<double>")
+    monkeypatch.setattr(mixing, "fit_domains", lambda docs, labels: None)
+    monkeypatch.setattr(mixing, "memberships", lambda docs, model: docs.join(df.drop("doc_id"), "text"))
+    out = mixing.mix(df.select("doc_id", "text"), None).toPandas()
+    a = np.array(out.post.tolist()) * out.tokens.to_numpy()[:, None]
+    share = np.array([mixing.WEIGHTS[d] for d in mixing.DOMAINS])
+    target = np.minimum(a.sum(0), share * a.sum(0)[0] / share[0])
+    assert len(out) == 460 and out.doc_id.isna().sum() == 230
+    assert np.abs(out.rate.to_numpy() @ a - target).max() <= 2e-3 * target.sum() / 3
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = [r for r in corpus_pipeline.mixing(spark, df.select("doc_id", "text"), str(tmp_path)).collect() if r.doc_id is None]
+    n = {k: sum(r.text.startswith(k) for r in kept) for k in post}
+    assert n["toxic"] < 15 and n["junk"] < 25 and 125 <= n["clean"] <= 155
+
+
 @pytest.mark.parametrize("operator", [quality_rules.host_rules, audio.store_media])
 def test_empty_tables(spark, operator):
     assert operator(spark.createDataFrame([], "doc_id long, source string, text string")).count() == 0

@@ -8,7 +8,8 @@ depends on the posteriors alone, so one very long text doesn't slow or stop the
 optimum raises an error; targets that no nonnegative rates can meet (all posteriors equal, say) give a warning.
 
 Null and empty texts have no tokens: their rate is 1. Labels that are null in any field, and documents without a label,
-don't teach. Without labels all posteriors are equal. Repeated rows count each and get the same rate. An empty table
+don't teach. Documents without an id count like all others; the hash that draws their copies is that of the text, so
+that equal texts without an id share a draw. Without labels all posteriors are equal. Repeated rows count each and get the same rate. An empty table
 gives an empty result.
 """
 
@@ -215,18 +216,20 @@ def fit_rates(members: DataFrame, weights: dict[str, float] = WEIGHTS, ridge: fl
     return rate(residuals, steps, ridge)
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
-    """docs with tokens, post, rate and copies: how often the mix takes the document, by its rate and a hash of its id.
+def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns keep of docs with tokens, post, rate and copies: how often the mix takes the document, by its rate and a hash.
 
-    copies is the rate rounded up or down by that hash, so that the expected totals of the mix are those of the fit.
+    copies is the rate rounded up or down by the hash of the id, or of the text where the id is null, so that the
+    expected totals of the mix are those of the fit.
     """
     model = fit_domains(docs, labels)
-    keyed = docs.select("doc_id", "text").filter("doc_id IS NOT NULL")
-    members = materialize(memberships(keyed, model).select("doc_id", "tokens", "post"), "members")
+    seed = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.lit("mix"))).otherwise(F.xxhash64("text", F.lit("mix")))
+    keyed = docs.select(*dict.fromkeys([*keep, "doc_id", "text"])).withColumn("_seed", seed)
+    members = materialize(memberships(keyed, model).select(*keep, "tokens", "post", "_seed"), "members")
     fitted = F.when(F.col("tokens") == 0, 1.0).otherwise(solve_rates(members, weights))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1_000_000)) / 1_000_000
-    rated = members.withColumn("rate", fitted)
-    return rated.withColumn("copies", F.floor(F.col("rate") + draw).cast("int"))
+    draw = F.pmod(F.col("_seed"), F.lit(1_000_000)) / 1_000_000
+    rated = members.withColumn("rate", fitted).withColumn("copies", F.floor(F.col("rate") + draw).cast("int"))
+    return rated.drop("_seed")
 
 
 def op5(spark, sf_dir):
