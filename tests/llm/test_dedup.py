@@ -72,10 +72,10 @@ def test_short_records_take_the_exact_way(spark, monkeypatch):
     assert got == {0: 0, 1: 0, 2: 0, 3: 0, 9: 9}
 
 
-def test_every_linked_pair_shares_a_key_of_enough_value():
-    """The pigeonhole: sets at the limit of similarity share a segment, or all but a shingle of one."""
+def test_linked_sets_lose_no_more_segments_than_they_differ_in():
+    """The pigeonhole: of two sets at the limit of similarity, either one's segments that the other lacks are under need."""
     rng = np.random.default_rng(5)
-    for n in (1, 2, 3, 4, 7, 20, 31, 32, 40, 63, 64, 100, 250):
+    for n in (1, 2, 3, 4, 7, 20, 31, 32, 40, 63, 64, 100, 127, 128, 250, 600):
         for _ in range(20):
             a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
             drop = rng.integers(0, n // 4 + 1)
@@ -83,12 +83,44 @@ def test_every_linked_pair_shares_a_key_of_enough_value():
             while 4 * (n - drop) >= 3 * (n + add + 1):
                 add += 1
             b = np.unique(np.concatenate([a[drop:], rng.integers(0, 1 << 63, add, dtype=np.uint64)]))
+            if not len(b):
+                continue
             small, large = sorted((a, b), key=len)
             _, keys, own, value, _ = ngram_join.record_keys([small])
             _, other, *_ = ngram_join.record_keys([large])
-            assert value[0] >= ngram_join.differences(len(small)) + 1
-            if len(b):
-                assert set(keys[own].tolist()) & set(other.tolist())
+            need = ngram_join.differences(len(small)) + 1
+            assert value[0] >= need
+            assert len(set(keys[own].tolist()) - set(other.tolist())) < need
+
+
+def test_large_groups_around_a_passage_and_an_original(spark):
+    """Copies of an absent original with changed words, texts that share most of a passage, and mixtures, in several size bands."""
+    rng = random.Random(11)
+
+    def new(k):
+        return [f"{rng.randrange(10**9):x}" for _ in range(k)]
+
+    texts, i = {}, 0
+    for size in (40, 90, 200, 420):
+        original, passage = new(size), new(size * 3 // 4)
+        for _ in range(70):
+            copy = list(original)
+            for _ in range(rng.randrange(0, size // 18 + 1)):
+                copy[rng.randrange(size)] = new(1)[0]
+            texts[i] = " ".join(copy)
+            texts[i + 1] = " ".join(passage + new(rng.randrange(size // 30, size // 3)))
+            texts[i + 2] = " ".join(copy[: size * rng.randrange(60, 100) // 100] + new(rng.randrange(0, size // 6)))
+            i += 3
+    want = brute_components(texts)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == want
+    assert 30 < len({c for _, c in want.values()}) < len(texts) - 100
+
+
+def test_allocated_segments_find_every_pair_of_open_records(spark, monkeypatch):
+    """Without rounds of hubs, segments and one-deletion neighbourhoods alone must find the links."""
+    monkeypatch.setattr(ngram_join, "_hub_pairs", lambda rows, by: rows.select(rows.fp.alias("a"), rows.fp.alias("b")).filter("a <> b"))
+    test_large_groups_around_a_passage_and_an_original(spark)
 
 
 def brute_spans(seqs, length, rule):

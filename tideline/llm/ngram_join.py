@@ -1,28 +1,37 @@
 """Near-duplicate texts by an exact Jaccard join of word 5-grams (similarity of 0.75 or more).
 
 Texts with one set of shingles are one record, named by the set's fingerprint. A record of n shingles belongs to the
-size band of 2^j <= n < 2^(j+1), whose scheme hashes the universe of shingles into 1.25 * 2^j segments. Two linked
-records differ in at most H = (n + 4n/3) / 7 shingles, so among segments whose values add up to more than H one must
-match: a segment counts 1 if equal, and 2 if all but one shingle is. Every record indexes each of its segments in its
-band's scheme, and in the next lower one if a smaller partner may be there; for an eighth of the segments also the
-neighbourhood with one shingle deleted. Records of under 32 shingles have a segment per shingle.
-
-A key that one record alone has can't miss a link, and neither can one whose records are all in one component: such
-segments are free. Keys are matched in buckets of bounded size, after equal keys of a batch are combined. Each key
-names its least record as hub; every record is verified against the hub that most of its keys name, and components
-follow. Records whose free segments don't add up to more than H are allocated anew: their segments, and those of the
-records that share an open key with one of them, become single shingles, of which the n/4 + 1 rarest are taken, and pairs of
-two components that share one are compared. So no link between components is lost, and no group is expanded into pairs.
-Verification intersects whole sets.
+size band of 2^j <= n < 2^(j+1), whose scheme hashes the universe of shingles into 1.25 * 2^j segments (under 64 shingles:
+one for each). Two linked records differ in at most H = (n + 4n/3) / 7 shingles, so more than H segments that no other
+record has rule out any link. A record indexes its segments in its band's scheme, and in the next lower one if a smaller
+partner may be there.
+
+1. Keys are matched in buckets of bounded size, after equal keys of a batch are combined. A key that one record alone
+   has, or one component, is free; a record with more than H free segments is done.
+2. Each open key names its most central record as hub (the one whose keys are the most common); every record is verified
+   against the hub that most of its keys name, and components follow.
+3. For what is left, shingles are looked at one by one. With c of its n shingles live, that is shared with another
+   component's record that may still be linked, a pair needs 7 (c + c') >= 6 (n + n'): a bound by counts alone, which is
+   repeated, with rounds of hubs, as long as they merge much. Groups around a common passage go here, without pairs.
+4. What is still open gets segments and one-deletion neighbourhoods over its live shingles, in a scheme of its live
+   count's band. A segment counts 1 if equal and 2 if all but one of its shingles are; each record takes the cheapest
+   of these, by the counted records behind their keys, until they add up to more than it can differ in. Only pairs
+   between two components that meet at one of them are compared.
+
+Verification intersects whole sets, which are at most 4/3 as large as each other, so what is shipped follows the members
+of a group. No link between components is lost, and no group is expanded into pairs. Each step's cost follows its rows,
+but records of different components that are all just under the limit to each other must be compared pair by pair.
 
 Null and empty texts, and texts without words, have no shingles and no links. A null key is a text of its own. Repeated
-rows are copies. An empty table gives an empty result.
+rows are copies; rows of one key with other texts are texts of their own with that key. A very long text is one record of
+one row; its set must fit a task. Other columns aren't read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -34,11 +43,11 @@ from tideline.llm.hashing import Prefix, binary_parts, blocks, mix, signed, word
 N = 5
 _BLOCK = 1 << 20
 #: Bands under this one have a segment per shingle.
-_FIRST_BAND = 5
-_TOKENS = 0
-#: In the low 16 bits of a key: its unit, for segments with a one-deletion neighbourhood; all ones for the others.
-_PLAIN = (1 << 16) - 1
+_FIRST_BAND = 6
+_SALT = 0x9E3779B97F4A7C15
 _ENTRIES = 1_000_000
+#: Rounds of hubs go on while they link so large a share of the open records.
+_GAIN = 0.05
 _FP = np.uint64(0xFFFFFFFFFFFFFFFE)
 
 
@@ -64,45 +73,25 @@ def fingerprint(s: np.ndarray) -> int:
 
 
 def differences(n):
-    """The most shingles in which a record of n differs from a linked one that is at most 4n/3 large; without those that only the other has, where each is a segment."""
+    """The most shingles in which a record of n differs from a linked one that is at least as large; of its own, where each is a segment."""
     return np.where(n < 1 << _FIRST_BAND, n // 4, (n + n * 4 // 3) // 7)
 
 
-def _segments(sets: list[np.ndarray], band: int):
-    """Group hashes of the segments of some sets in one scheme: (set, segment, sum, size) of the segments, and for each shingle its segment's row."""
-    m = max(1, (5 << band) // 4)
+def scheme_keys(sets: list[np.ndarray], band: int):
+    """(set, key) of the segments of some sets in a band's scheme, and how many each set has."""
     which = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     tokens = np.concatenate(sets)
-    spread = mix(tokens ^ np.uint64(band * 0x9E3779B97F4A7C15 & (2**64 - 1)))
+    if band < _FIRST_BAND:
+        return which, mix(tokens ^ np.uint64(_SALT)), np.array([len(s) for s in sets])
+    m = (5 << band) // 4
+    spread = mix(tokens ^ np.uint64(band * _SALT & (2**64 - 1)))
     place = which * m + (spread % np.uint64(m)).astype(np.int64)
     order = np.argsort(place, kind="stable")
     place, spread = place[order], mix(spread[order])
     first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-    size = np.diff(np.concatenate([first, [len(place)]]))
-    total = np.add.reduceat(spread, first)
-    return place[first] // m, place[first] % m, total, size, spread, np.repeat(np.arange(len(first)), size), min(m // 8, _PLAIN)
-
-
-def _key(total, segment, band, unit):
-    salt = mix((segment.astype(np.uint64) << np.uint64(6)) + np.uint64(band + 1))
-    return (mix(total ^ salt) & np.uint64(0xFFFFFFFFFFFF0000)) | unit.astype(np.uint64)
-
-
-def scheme_keys(sets: list[np.ndarray], band: int):
-    """(set, key) of the index keys of some sets in a band's scheme, and each set's total value."""
-    if band < _FIRST_BAND:
-        which = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        tokens = np.concatenate(sets)
-        keys = _key(mix(tokens), np.zeros(len(tokens), dtype=np.int64), _TOKENS, np.full(len(tokens), _PLAIN))
-        return which, keys, np.array([len(s) for s in sets])
-    owner, segment, total, size, spread, row, deletions = _segments(sets, band)
-    unit = np.where(segment < deletions, segment, _PLAIN)
-    value = np.where((segment < deletions) & (size > 1), 2, 1)
-    less = np.flatnonzero((segment < deletions)[row] & (size > 1)[row])
-    at = row[less]
-    deleted = _key(total[at] - spread[less], segment[at], band, unit[at])
-    keys = np.concatenate([_key(total, segment, band, unit), deleted])
-    return np.concatenate([owner, owner[at]]), keys, np.bincount(owner, value, len(sets)).astype(np.int64)
+    segment = ((place[first] % m).astype(np.uint64) << np.uint64(6)) + np.uint64(band)
+    owner = place[first] // m
+    return owner, mix(np.add.reduceat(spread, first) ^ mix(segment)), np.bincount(owner, minlength=len(sets)).astype(np.int64)
 
 
 def _bands(n: np.ndarray) -> np.ndarray:
@@ -110,7 +99,7 @@ def _bands(n: np.ndarray) -> np.ndarray:
 
 
 def record_keys(sets: list[np.ndarray]):
-    """(set, key, own) of all index keys, and each set's total value in its own scheme and in the next lower one."""
+    """(set, key, own) of all segments, and how many each set has in its own scheme and in the next lower one."""
     n = np.array([len(s) for s in sets])
     own = _bands(n)
     value, value_below = np.zeros(len(sets), dtype=np.int64), np.zeros(len(sets), dtype=np.int64)
@@ -138,7 +127,7 @@ def _text_blocks(batches):
 
 
 def digests(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """key, n, fp, and value and need: the sum of its segments' values, and what it must reach; value_below: in the next lower scheme."""
+    """key, n, fp, and value and need: the segments it has, and how many must be free; value_below: in the next lower scheme."""
 
     def run(batches):
         for keys, sets in _text_blocks(batches):
@@ -201,7 +190,7 @@ def shared_entries(packed: DataFrame) -> DataFrame:
             return np.frombuffer(b"".join(x.as_py() for x in column), dtype=np.uint64)
 
         found = t.filter(t["found"])
-        rest = t.filter(pa.compute.invert(t["found"]))
+        rest = t.filter(pc.invert(t["found"]))
         keys, fps = read(rest["keys"]), read(rest["fps"])
         order = np.argsort(keys, kind="stable")
         keys, fps = keys[order], fps[order]
@@ -213,64 +202,49 @@ def shared_entries(packed: DataFrame) -> DataFrame:
 
 
 def set_table(docs: DataFrame, wanted: DataFrame, text: str, key: str) -> DataFrame:
-    """fp and shingles (sorted hashes, as bytes) of the records whose (fp, rep) are wanted."""
+    """fp, n and shingles (sorted hashes) of the records whose (fp, n, rep) are wanted."""
 
     def run(batches):
         for b in batches:
-            data, offsets = binary_parts(b.column(1))
+            data, offsets = binary_parts(b.column(0))
             for i, j in blocks(offsets, _BLOCK):
                 sets = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                yield pa.record_batch([b.column(2).slice(i, j - i), pa.array([s.tobytes() for s in sets], pa.binary())], names=["fp", "shingles"])
-
-    joined = docs.select(key, text).join(wanted.select(F.col("rep").alias(key), "fp"), key)
-    return joined.select(key, text, "fp").mapInArrow(run, "fp long, shingles binary").dropDuplicates(["fp"])
+                fps = np.array([fingerprint(s) for s in sets], dtype=np.uint64)
+                rows = pa.record_batch([signed(fps), b.column(2).slice(i, j - i), _lists(sets)], names=["fp", "n", "shingles"])
+                yield rows.filter(pc.equal(rows.column(0), b.column(1).slice(i, j - i)))
 
+    joined = docs.select(F.col(key).alias("rep"), F.col(text).alias("_text")).join(wanted.select("rep", "fp", "n"), "rep")
+    return joined.select("_text", "fp", "n").mapInArrow(run, "fp long, n long, shingles array<long>").dropDuplicates(["fp"])
 
-def linked(docs: DataFrame, pairs: DataFrame, records: DataFrame, text: str, key: str) -> DataFrame:
-    """The (a, b) pairs of records whose sets have 100 * intersection >= 75 * union."""
-    size = records.select("fp", "n")
-    sized = pairs.join(size.select(F.col("fp").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("fp").alias("b"), F.col("n").alias("nb")), "b")
-    near = materialize(sized.filter("4 * least(na, nb) >= 3 * greatest(na, nb)").select("a", "b"), "pairs")
-    ends = near.select(F.col("a").alias("fp")).unionByName(near.select(F.col("b").alias("fp"))).distinct()
-    sets = materialize(set_table(docs, records.join(ends, "fp", "left_semi"), text, key), "sets")
 
-    def run(batches):
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                p, q = (np.frombuffer(z.as_buffer(), dtype=np.uint64) for z in (x, y))
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * both >= 75 * (len(p) + len(q) - both))
-            yield pa.record_batch([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    left = near.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("sa")), "a")
-    full = left.join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb")
-    out = materialize(full.mapInArrow(run, "a long, b long"), "links")
-    drop_scratch(sets)
-    drop_scratch(near)
-    return out
+def _lists(sets: list[np.ndarray]) -> pa.Array:
+    values = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), signed(values))
 
 
-def _pairs(df: DataFrame) -> DataFrame:
-    return df.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The (a, b) pairs of records whose sets have 100 * intersection >= 75 * union. Written as a table."""
+    left = pairs.join(sets.select(F.col("fp").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa")), "a")
+    both = left.join(sets.select(F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb")), "b")
+    near = both.filter("4 * least(na, nb) >= 3 * greatest(na, nb) AND 7 * size(array_intersect(sa, sb)) >= 3 * (na + nb)")
+    return materialize(near.select("a", "b"), "links")
 
 
 def _narrow(rows: DataFrame, records: DataFrame, rounds: int) -> DataFrame:
-    """The (key, fp, own, root) rows that may still show a link between two roots.
+    """The (key, fp, own, root) rows that may still show a link between two roots, with pop, how common fp's keys are.
 
-    A key is open if rows of two roots have it, one of them in its own scheme; all other segments are free. A record whose
-    free segments in a scheme add up to more than two linked records can differ in has no link there, so its rows go,
-    which frees segments of others. Linked records of two roots never go: what they share is open.
+    A key is open if rows of two roots have it, one of them in its own scheme; all other segments are free. A record with
+    more free segments in a scheme than two linked records can differ in has no link there, so its rows go, which frees
+    segments of others. Linked records of two roots never go: what they share is open.
     """
     limits = records.select("fp", "value", "need", "value_below", (F.floor(2 * F.col("n") / 7) + 1).alias("need_below"))
-    plain = F.col("key").bitwiseAND(F.lit(_PLAIN)) == _PLAIN
     spare = F.when(F.col("own"), F.col("value") - F.col("lost") < F.col("need")).otherwise(F.col("value_below") - F.col("lost") < F.col("need_below"))
     for i in range(rounds):
-        found = rows.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.max("own").alias("_own")).filter("_lo < _hi AND _own").select("key")
-        left = materialize(rows.join(found, "key", "left_semi"), "open")
-        lost = left.groupBy("fp", "own").agg(F.sum(F.when(plain, 1).otherwise(2)).alias("lost"))
-        needy = lost.join(limits, "fp").filter(spare).select("fp", "own")
-        kept = materialize(left.join(needy, ["fp", "own"], "left_semi"), "narrow")
+        found = rows.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.max("own").alias("_own"), F.count(F.lit(1)).alias("_df"))
+        left = materialize(rows.drop("pop").join(found.filter("_lo < _hi AND _own").select("key", "_df"), "key"), "open")
+        lost = left.groupBy("fp", "own").agg(F.count(F.lit(1)).alias("lost"), F.sum("_df").alias("pop"))
+        needy = lost.join(limits, "fp").filter(spare).select("fp", "own", "pop")
+        kept = materialize(left.drop("_df").join(needy, ["fp", "own"]), "narrow")
         drop_scratch(left)
         if i:
             drop_scratch(rows)
@@ -278,46 +252,99 @@ def _narrow(rows: DataFrame, records: DataFrame, rounds: int) -> DataFrame:
     return rows
 
 
-def _allocate(docs: DataFrame, reached: DataFrame, text: str, key: str) -> DataFrame:
-    """Pairs of open records of two components that share one of their n/4 + 1 rarest shingles, each a segment of its own.
+def _hub_pairs(rows: DataFrame, by: str) -> DataFrame:
+    """For every record, the hub of another root that most of its keys name: one pair a record at most."""
+    hubs = rows.groupBy(by).agg(F.max_by(F.struct(F.col("fp").alias("hub"), F.col("root").alias("hub_root")), F.struct("pop", "fp")).alias("h")).select(by, "h.*")
+    votes = rows.join(hubs, by).filter("root <> hub_root").groupBy("fp", "hub").agg(F.count(F.lit(1)).alias("votes"))
+    return _pairs(votes.groupBy(F.col("fp").alias("a")).agg(F.max_by("hub", F.struct("votes", "hub")).alias("b")))
+
+
+def _pairs(df: DataFrame) -> DataFrame:
+    return df.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    A linked record lacks at most n/4 of the others' shingles, so both have a common one among these, in one order by
-    frequency. From the first common one on, both must have enough left for the overlap of 3/7 of their sizes. Frequencies
-    are counted over the open records; shingles of one component are left out before pairing.
+
+def _live(rows: DataFrame, rounds: int = 2) -> DataFrame:
+    """The live (fp, n, root, token) rows, with c, slack = 7c - 6n, most: the largest slack at the token, pop and df.
+
+    Two linked records share 3/7 of their sizes together at least, all of it live, so their slacks add up to 0 or more. A
+    token is live for a record if two roots have it and the largest slack there makes up for the record's own.
     """
+    own = Window.partitionBy("fp")
+    for i in range(rounds):
+        spread = rows.groupBy("token").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.max("slack").alias("most"), F.count(F.lit(1)).alias("df"))
+        left = rows.select("fp", "n", "root", "token", "slack").join(spread.filter("_lo < _hi AND most >= 0").drop("_lo", "_hi"), "token").filter("slack + most >= 0").drop("slack")
+        counted = left.withColumn("c", F.count(F.lit(1)).over(own)).withColumn("pop", F.sum("df").over(own)).withColumn("slack", 7 * F.col("c") - 6 * F.col("n"))
+        kept = materialize(counted.filter("slack + most >= 0"), "live")
+        drop_scratch(rows)
+        rows = kept
+    return rows
 
-    def run(batches):
-        for b in batches:
-            for fp, s in zip(b.column(0), b.column(1), strict=True):
-                tokens = np.frombuffer(s.as_buffer(), dtype=np.int64)
-                yield pa.record_batch([pa.array(np.full(len(tokens), fp.as_py())), pa.array(tokens)], names=["fp", "token"])
 
-    tokens = materialize(set_table(docs, reached, text, key).mapInArrow(run, "fp long, token long").join(reached.select("fp", "n", "root"), "fp"), "shingles")
-    spread = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"), (F.min("root") < F.max("root")).alias("cross"))
-    order = Window.partitionBy("fp").orderBy("df", "token")
-    ranked = tokens.join(spread, "token").withColumn("rank", F.row_number().over(order))
-    rare = materialize(ranked.filter((F.col("rank") <= F.floor(F.col("n") / 4) + 1) & F.col("cross")).select("token", "fp", "n", "root", "rank"), "rare")
-    drop_scratch(tokens)
-    a, b = (rare.select("token", F.col("fp").alias(x), F.col("n").alias(f"n{x}"), F.col("root").alias(f"r{x}"), (F.col("n") - F.col("rank") + 1).alias(f"m{x}")) for x in "ab")
-    near = "a < b AND ra <> rb AND 4 * least(na, nb) >= 3 * greatest(na, nb) AND 7 * least(ma, mb) >= 3 * (na + nb)"
-    return a.join(b, "token").filter(near).select("a", "b").distinct()
+def _band(c):
+    return F.when(c < 1 << _FIRST_BAND, F.lit(_FIRST_BAND - 1)).otherwise(F.length(F.bin(c)) - 1)
 
 
-def _short_pairs(docs: DataFrame, records: DataFrame, text: str, key: str) -> DataFrame:
-    """All pairs that share a shingle with a record whose segments can't add up to what it needs: the exact way for a hash that falls badly."""
-    short = records.filter("value < need")
+def _shifted(n: int, band):
+    return F.call_function("shiftleft", F.lit(n).cast("long"), band)
 
-    def shingles(wanted):
-        def run(batches):
-            for b in batches:
-                for fp, s in zip(b.column(0), b.column(1), strict=True):
-                    tokens = np.frombuffer(s.as_buffer(), dtype=np.int64)
-                    yield pa.record_batch([pa.array(np.full(len(tokens), fp.as_py())), pa.array(tokens)], names=["fp", "token"])
 
-        return set_table(docs, wanted, text, key).mapInArrow(run, "fp long, token long")
+def _indexed(live: DataFrame) -> DataFrame:
+    """(fp, root, n, c, slack, most, own, scheme, seg, key, kind, size): the segments of all live records and what is left of them with a shingle less.
+
+    kind is E for a segment, D for one with a shingle deleted. A record is in the scheme of its live count's band, and in
+    those of the bands next to it where a linked record's count may fall: counts of linked records differ by 4/3 at most.
+    """
+    band = _band(F.col("c"))
+    low = F.when((band >= _FIRST_BAND) & (3 * F.col("c") < _shifted(4, band)), band - 1)
+    high = F.when(4 * F.col("c") >= _shifted(6, band), band + 1)
+    rows = live.select("fp", "root", "n", "c", "slack", "token", "most", band.alias("_own"), F.explode(F.array_compact(F.array(low, band, high))).alias("scheme"))
+    place = F.xxhash64("token", "scheme")
+    seg = F.when(F.col("scheme") < _FIRST_BAND, place).otherwise(F.pmod(place, F.floor(_shifted(5, F.col("scheme")) / 4)))
+    per = rows.select("*", seg.alias("seg"), F.xxhash64(F.lit(7), "token").alias("h")).groupBy("fp", "root", "n", "c", "slack", "scheme", "seg")
+    made = per.agg((F.col("scheme") == F.max("_own")).alias("own"), F.max("most").alias("most"), F.bit_xor("h").alias("whole"), F.collect_list("h").alias("hs"))
+    less = F.when(F.size("hs") > 1, F.transform("hs", lambda h: F.struct(F.col("whole").bitwiseXOR(h).alias("x"), F.lit("D").alias("kind")))).otherwise(F.array())
+    keys = F.explode(F.concat(F.array(F.struct(F.col("whole").alias("x"), F.lit("E").alias("kind"))), less)).alias("k")
+    out = made.select("fp", "root", "n", "c", "slack", "most", "own", "scheme", "seg", F.size("hs").alias("size"), keys)
+    return out.select("*", F.xxhash64("scheme", "seg", "k.x").alias("key"), "k.kind").drop("k")
+
+
+def _allocated_pairs(live: DataFrame) -> DataFrame:
+    """Pairs of open records of two roots that meet at an allocated segment or neighbourhood.
+
+    Within its live shingles, a record of c differs from a linked one that is no smaller in at most H = c - 2n/3, and in
+    no more than (slack + most) / 7. Its segments give a value of 1 for the records that have them whole, or of 2 for
+    those with one shingle more or less too; it takes the cheapest of them, by counted records, up to a value of H + 1.
+    """
+    index = materialize(_indexed(live), "index")
+    counts = index.groupBy("key").agg(F.count_if(F.col("kind") == "E").alias("e"), F.count_if(F.col("kind") == "D").alias("d"), (F.min("root") < F.max("root")).alias("open"))
+    exact = F.col("kind") == "E"
+    mine = index.filter("own").join(counts, "key")
+    seen = mine.withColumn("one", F.when(exact & F.col("open"), F.col("e") - 1).otherwise(0)).withColumn("both", F.when(~F.col("open"), 0).when(exact, F.col("e") - 1 + F.col("d")).otherwise(F.col("e")))
+    costs = seen.groupBy("fp", "n", "c", "slack", "seg").agg(F.max("one").alias("one"), F.sum("both").alias("both"), F.max("size").alias("size"), F.max("most").alias("most"))
+    first, second = F.struct(F.col("one").alias("cost"), F.lit(1).alias("step")), F.struct(F.greatest("one", F.col("both") - F.col("one")).alias("cost"), F.lit(2).alias("step"))
+    steps = costs.withColumn("s", F.explode(F.when(F.col("size") > 1, F.array(first, second)).otherwise(F.array(first)))).select("*", "s.*")
+    own = Window.partitionBy("fp")
+    ranked = steps.withColumn("most", F.max("most").over(own)).withColumn("value", F.count(F.lit(1)).over(own)).withColumn("rank", F.row_number().over(own.orderBy("cost", "step", "seg")))
+    need = F.least(F.floor(F.col("c") - 2 * F.col("n") / 3), F.floor((F.col("slack") + F.col("most")) / 7)) + 1
+    taken = materialize(ranked.withColumn("need", need).filter("rank <= need").select("fp", "seg", "step", "cost", "value", "need"), "taken")
+    chosen = taken.filter("cost > 0").groupBy("fp", "seg").agg(F.max("step").alias("step"))
+    probes = index.filter("own").join(chosen, ["fp", "seg"]).filter((F.col("kind") == "E") | (F.col("step") == 2))
+    wanted = F.when(F.col("kind") == "D", F.array(F.lit("E"))).when(F.col("step") == 2, F.array(F.lit("E"), F.lit("D"))).otherwise(F.array(F.lit("E")))
+    probes = probes.join(counts.filter("open").select("key"), "key", "left_semi").select("key", F.explode(wanted).alias("kind"), *(F.col(x).alias(f"{x}_a") for x in ("fp", "root", "n", "slack")))
+    found = probes.join(index.select("key", "kind", "fp", "root", "n", "slack"), ["key", "kind"]).filter(_POSSIBLE).select(F.col("fp_a").alias("a"), F.col("fp").alias("b"))
+    # Segments that can't add up to what a record needs: as many of its rarest shingles, each looked up in all records.
+    rank = F.row_number().over(Window.partitionBy("fp").orderBy("df", "token"))
+    short = live.join(taken.filter("value < need").groupBy("fp").agg(F.max("need").alias("need")), "fp").withColumn("_rank", rank).filter("_rank <= need")
+    few = short.select("token", *(F.col(x).alias(f"{x}_a") for x in ("fp", "root", "n", "slack")))
+    plain = few.join(live.select("token", "fp", "root", "n", "slack"), "token").filter(_POSSIBLE).select(F.col("fp_a").alias("a"), F.col("fp").alias("b"))
+    out = materialize(_pairs(found.unionByName(plain)), "pairs")
+    drop_scratch(index)
+    drop_scratch(taken)
+    return out
 
-    few = shingles(short).withColumnRenamed("fp", "a")
-    return _pairs(few.join(shingles(records).withColumnRenamed("fp", "b"), "token").select("a", "b"))
+
+#: The first of a pair isn't the larger one, and their live shingles may suffice.
+_POSSIBLE = "root_a <> root AND n_a <= n AND 4 * n_a >= 3 * n AND slack_a + slack >= 0"
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -325,38 +352,65 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     told = materialize(digests(docs, text, key), "digests")
     records = told.filter(F.col(key).isNotNull() & (F.col("n") > 0)).groupBy("fp", "n", "value", "need", "value_below").agg(F.min(key).alias("rep"))
     records = materialize(records, "records")
-    total, short = records.agg(F.sum("n"), F.count_if(F.col("value") < F.col("need"))).first()
-    buckets = max(12, (total or 0) // _ENTRIES + 1)
+    buckets = max(12, (records.agg(F.sum("n")).first()[0] or 0) // _ENTRIES + 1)
     named = docs.filter(F.col(key).isNotNull())
     entries = materialize(shared_entries(packed_keys(named, buckets, text, key)), "entries")
+    # Where a hash falls so badly that a record has too few segments to tell, all records stay open.
+    hard = not records.filter("value < need OR value_below > 0 AND value_below < floor(2 * n / 7) + 1").isEmpty()
 
     left = _narrow(entries.withColumn("root", F.col("fp")), records, 2)
     drop_scratch(entries)
-    hubs = left.groupBy("key").agg(F.min("fp").alias("hub"))
-    votes = left.join(hubs, "key").filter("fp <> hub").groupBy("fp", "hub").agg(F.count(F.lit(1)).alias("n"))
-    first = votes.groupBy(F.col("fp").alias("a")).agg(F.max_by("hub", F.struct("n", "hub")).alias("b"))
-    links = linked(docs, _pairs(first), records, text, key)
-    roots = components(links)
-    placed = left.drop("root").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    placed = materialize(placed, "placed")
+    opened = records if hard else records.join(left.select("fp").distinct(), "fp", "left_semi")
+    sets = materialize(set_table(named, opened, text, key), "sets")
+    links = [linked(_hub_pairs(left, "key"), sets)]
+    roots = components(links[0])
+    placed = materialize(_rooted(left, roots), "placed")
     drop_scratch(left)
-    reached = _narrow(placed, records, 3).select("fp", "root").distinct()
-    reached = materialize(reached.join(records.select("fp", "n", "rep"), "fp"), "reached")
+    still = _narrow(placed, records, 1)
     drop_scratch(placed)
-    rest = _allocate(docs, reached, text, key)
-    if short:
-        rest = rest.unionByName(_short_pairs(docs, records, text, key)).distinct()
-    rest = materialize(rest, "rest")
-    if not rest.isEmpty():
-        more = linked(docs, rest, records, text, key)
-        roots = components(links.unionByName(more))
-
-    named_roots = records.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    reached = _rooted((sets if hard else sets.join(still.select("fp").distinct(), "fp", "left_semi")).withColumn("root", F.col("fp")), roots)
+    live = materialize(reached.select("fp", "n", "root", F.explode("shingles").alias("token"), F.col("n").alias("slack")), "live")
+    drop_scratch(still)
+    while True:
+        live = _live(live)
+        made = linked(_hub_pairs(live, "token"), sets)
+        open_records, gained = live.select("fp").distinct().count(), made.count()
+        if not gained:
+            break
+        links.append(made)
+        roots = components(_all(links))
+        moved = materialize(_rooted(live, roots), "live")
+        drop_scratch(live)
+        live = moved
+        if gained < _GAIN * open_records:
+            break
+    live = _live(live, 1)
+    pairs = _allocated_pairs(live)
+    made = linked(pairs, sets)
+    if not made.isEmpty():
+        roots = components(_all([*links, made]))
+    for used in (live, sets, pairs):
+        drop_scratch(used)
+
+    named_roots = _rooted(records.withColumn("root", F.col("fp")), roots)
     smallest = named_roots.groupBy("root").agg(F.min("rep").alias("component_id"))
     classes = materialize(named_roots.join(smallest, "root").select("fp", "component_id"), "classes")
     out = told.withColumn("_fp", F.when(F.col(key).isNotNull() & (F.col("n") > 0), F.col("fp"))).join(classes.withColumnRenamed("fp", "_c"), F.col("_fp") == F.col("_c"), "left")
     return out.select(key, F.col("n").alias("n_shingles"), F.coalesce("component_id", F.col(key)).alias("component_id"))
 
 
+def _all(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows with root from the table of roots, by fp."""
+    told = roots.select(F.col("node").alias("fp"), F.col("root").alias("_root"))
+    return rows.join(told, "fp", "left").withColumn("root", F.coalesce("_root", "root")).drop("_root")
+
+
 def op1(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
