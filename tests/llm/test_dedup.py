@@ -1,16 +1,18 @@
+import hashlib
 import random
 from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tideline.llm import matching, ngram_join
 from tideline.llm.components import components
 from tideline.llm.line_dedup import dedup_lines
 from tideline.llm.matching import Units
 from tideline.llm.ngram_join import near_duplicates
-from tideline.llm.substring_lz import dedup_words
-from tideline.llm.suffix_dedup import dedup_bytes
+from tideline.llm.substring_lz import dedup_words, factors, op3, reference_index
+from tideline.llm.suffix_dedup import SuffixIndex, dedup_bytes, op2
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -147,16 +149,91 @@ def test_words_match_brute_force(docs, texts):
 
 
 def test_bytes_match_brute_force(docs, texts):
-    seqs = {d: (t or "").encode() for d, t in texts.items() if d not in (5000, 5001)}
+    seqs = {d: (t or "").encode() for d, t in texts.items()}
     gone = brute_spans(seqs, 400, "any")
-    small = docs.filter("doc_id NOT IN (5000, 5001)")
-    for r in dedup_bytes(small, batches=3).collect():
+    for r in dedup_bytes(docs, batches=3).collect():
         s, g = seqs[r.doc_id], gone[r.doc_id]
         assert r.n_bytes == len(s)
         assert bytes(r.kept) == bytes(c for c, x in zip(s, g, strict=True) if not x)
         assert len(r.removed) == sum(x and not y for x, y in zip(g, [False, *g], strict=False))
 
 
+def test_the_dedup_queries_match_brute_force(spark, docs, texts, tmp_path):
+    """op2 and op3 themselves, on the table with its null, empty, repeated and long texts."""
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+
+    def sha(b):
+        return hashlib.sha256(b).hexdigest()
+
+    seqs = {d: (t or "").encode() for d, t in texts.items()}
+    gone = brute_spans(seqs, 400, "any")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in op2(spark, str(tmp_path)).collect()}
+    assert got == {
+        d: (len(s), sum(gone[d]), sum(x and not y for x, y in zip(gone[d], [False, *gone[d]], strict=False)), sha(bytes(c for c, x in zip(s, gone[d], strict=True) if not x)))
+        for d, s in seqs.items()
+    }
+    lists = {d: words(t) for d, t in texts.items()}
+    gone = brute_spans(lists, 50, "smaller")
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in op3(spark, str(tmp_path)).collect()}
+    assert got == {d: (len(w), sum(gone[d]), sha(" ".join(x for x, g in zip(w, gone[d], strict=True) if not g).encode())) for d, w in lists.items()}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 7])
+def test_tangled_repeats_match_brute_force(spark, seed):
+    """Small alphabets, periods, pieces of pieces and repeated rows of neighbours: matches that start, end and switch anywhere."""
+    rng = random.Random(seed)
+    pool = ["".join(rng.choice("ab") for _ in range(rng.randint(20, 200))) for _ in range(6)] + ["ab" * 90, "a" * 130, "aab" * 50]
+    texts = {}
+    for d in range(40):
+        parts = []
+        for _ in range(rng.randint(1, 6)):
+            p = rng.choice(pool)
+            i = rng.randrange(len(p))
+            parts.append(p[i : i + rng.randint(10, 200)] if rng.random() < 0.7 else "".join(rng.choice("ab") for _ in range(rng.randint(1, 60))))
+        texts[d] = "".join(parts)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    gone = brute_spans(texts, 60, "any")
+    found = {r.doc_id: bytes(r.kept).decode() for r in dedup_bytes(df, Units("bytes", 60, 16, 6), batches=5).collect()}
+    assert found == {d: "".join(c for c, g in zip(t, gone[d], strict=True) if not g) for d, t in texts.items()}
+    gone = brute_spans(texts, 30, "smaller")
+    spaced = df.select("doc_id", F.array_join(F.split("text", ""), " ").alias("text"))
+    found = {r.doc_id: r.kept.replace(" ", "") for r in dedup_words(spaced, Units("words", 30, 8, 3)).collect()}
+    assert found == {d: "".join(c for c, g in zip(t, gone[d], strict=True) if not g) for d, t in texts.items()}
+
+
+def test_factors_name_their_reference_block(spark):
+    rng = random.Random(4)
+    said = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    rows = [(1, " ".join(said)), (2, " ".join(["x", *said[50:250], "y", *said[300:330]])), (3, " ".join(said[100:200]))]
+    units = Units("words", 50, 16, 3)
+    phrases = matching.anchors(spark.createDataFrame(rows, "doc_id long, text string"), units)
+    made = factors(phrases.join(reference_index(phrases), "phrase"), units).filter("phrase IS NULL").collect()
+    found = {r.doc_id: (r.lo, r.hi, r.ref, r.ref_pos) for r in made}
+    assert set(found) == {2, 3} and len(made) == 2
+    for d, shift in ((2, 49), (3, 100)):
+        lo, hi, ref, at = found[d]
+        assert ref == 1 and at - lo == shift and hi - lo >= 70
+    assert phrases.join(reference_index(phrases), "phrase").filter("ref_pos IS NULL").count() == 0
+
+
+def test_levels_merge_geometrically(spark):
+    df = spark.createDataFrame([(i % 7, i) for i in range(70)], "phrase long, b long").withColumn("head", F.col("phrase") * 0)
+    with SuffixIndex(spark, 2) as index:
+        sizes = []
+        for b in range(5):
+            index.add(df.filter(df.b % 5 == b).select("head", "phrase"))
+            sizes.append([n for n, _ in index.levels])
+        names = list(index.tables)
+        assert sizes == [[1], [1, 1], [2, 1], [2, 1, 1], [4, 1]]
+        assert spark.table(index.levels[0][1]).agg(F.sum("n")).first()[0] == 56
+    assert not any(spark.catalog.tableExists(n) for n in names)
+    with pytest.raises(ZeroDivisionError), SuffixIndex(spark, 2) as index:
+        index.add(df.select("head", "phrase"))
+        names = list(index.tables)
+        1 / 0
+    assert not any(spark.catalog.tableExists(n) for n in names)
+
+
 def test_long_texts_go_through_segments(spark, monkeypatch):
     monkeypatch.setattr(matching, "_SEGMENT", 300)
     monkeypatch.setattr(matching, "_BLOCK", 500)
@@ -179,20 +256,15 @@ def test_segments_give_the_anchors_of_the_whole():
     units = Units("bytes", 60, 16, 6)
     values = rng.integers(0, 3, 2000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(7)
     whole = _anchor_rows(values, np.array([0, len(values)]), units)
-    covered, longs = set(), {}
+    covered = set()
     for s in range(0, len(values), 300):
         a, last = max(0, s - 1), min(s + 300 + units.length - 1, len(values))
-        part = values[a : last + units.long_phrase]
-        got = _anchor_rows(part, np.array([0, last - a]), units, np.array([len(part)]), s > 0)
+        got = _anchor_rows(values[a:last], np.array([0, last - a]), units, s > 0)
         if got is None:
             continue
-        for pos, lo, hi, long in zip(got[1] + a, got[2], got[3], got[5], strict=True):
-            covered |= {(pos, i) for i in range(pos - lo, pos - hi + 1)}
-            if long:
-                assert pos not in longs
-                longs[pos] = long
-    assert covered == {(p, i) for p, lo, hi in zip(*whole[1:4], strict=True) for i in range(p - lo, p - hi + 1)}
-    assert {p for p, x in zip(whole[1], whole[5], strict=True) if x} == set(longs)
+        for pos, lo, hi, phrase in zip(got[1] + a, *got[2:5], strict=True):
+            covered |= {(pos, i, phrase) for i in range(pos - lo, pos - hi + 1)}
+    assert covered == {(p, i, h) for p, lo, hi, h in zip(*whole[1:5], strict=True) for i in range(p - lo, p - hi + 1)}
 
 
 def test_lines_match_brute_force(docs, texts):

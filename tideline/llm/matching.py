@@ -1,12 +1,8 @@
-"""Exact repeats of windows of L units across a corpus, without a row per window.
+"""Anchors and hashed windows, which the operators on repeated strings and passages share.
 
 Every window of L units picks one anchor inside itself (see hashing). The phrase from the anchor, of L - w + 1 units,
-lies inside the window, so a window can repeat only where its anchor's phrase does. Phrases that repeat are candidates. A
-long phrase, of L + w - 1 units from an anchor, that repeats settles all windows up to the next anchor at once. What is
-left are the windows near the ends of shared regions, which are hashed one by one (128 bits) and compared.
-
-Two rules for "repeats": ``any`` (it starts at another place, the same text included) and ``smaller`` (it starts in a text
-with a smaller key).
+lies inside the window, so a window can repeat only where its anchor's phrase does. Windows that an operator can't decide
+by phrases are hashed one by one, to 128 bits.
 """
 
 from __future__ import annotations
@@ -18,7 +14,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import drop_scratch, materialize
 from tideline.llm.hashing import BYTE_VALUES, Prefix, binary_parts, blocks, signed, window_minima, word_values
 
 _BLOCK = 1 << 20
@@ -38,10 +33,6 @@ class Units:
     def phrase(self) -> int:
         return self.length - self.w + 1
 
-    @property
-    def long_phrase(self) -> int:
-        return self.length + self.w - 1
-
     def of(self, data: np.ndarray, offsets: np.ndarray, family: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Values of the units of some texts, and each text's offset in units."""
         if self.kind == "words":
@@ -53,14 +44,12 @@ BYTES_400 = Units("bytes", 400, 128, 12)
 WORDS_50 = Units("words", 50, 16, 3)
 
 
-def _anchor_rows(values, offsets, units: Units, limits=None, known: bool = False):
-    """(text, pos, back_lo, back_hi, phrase, long phrase or 0) of the anchors of the windows in some texts.
+def _anchor_rows(values, offsets, units: Units, known: bool = False):
+    """(text, pos, back_lo, back_hi, phrase, place in values) of the anchors of the windows in some texts.
 
-    limits: where the long phrases of each text must end; at its end, if not given. known: the first window belongs to
-    what came before and only tells whether its anchor is known already; such an anchor gets no long phrase again.
+    known: the first window belongs to what came before and only tells whether its anchor is known already.
     """
     starts, ends = offsets[:-1], offsets[1:] - units.length
-    limits = offsets[1:] if limits is None else limits
     fits = np.flatnonzero(ends >= starts)
     if not len(fits):
         return None
@@ -73,103 +62,47 @@ def _anchor_rows(values, offsets, units: Units, limits=None, known: bool = False
     edge = np.flatnonzero((pos[1:] != pos[:-1]) | (text[1:] != text[:-1])) + 1
     lo_at, hi_at = np.concatenate([[0], edge]), np.concatenate([edge - 1, [len(i) - 1]])
     text, pos, lo, hi = text[lo_at], pos[lo_at], i[lo_at], i[hi_at]
-    phrase = prefix.at(pos, pos + units.phrase)
-    whole = pos + units.long_phrase <= limits[text]
-    whole[0] &= not known
-    long_phrase = np.zeros(len(pos), dtype=np.uint64)
-    long_phrase[whole] = prefix.at(pos[whole], pos[whole] + units.long_phrase) | np.uint64(1)
     lo[0] += known
     keep = lo <= hi
-    text, pos, lo, hi, phrase, long_phrase = (x[keep] for x in (text, pos, lo, hi, phrase, long_phrase))
-    return text, pos - offsets[text], pos - lo, pos - hi, phrase, long_phrase
+    text, pos, lo, hi = (x[keep] for x in (text, pos, lo, hi))
+    return text, pos - offsets[text], pos - lo, pos - hi, prefix.at(pos, pos + units.phrase), pos
 
 
-def anchors(docs: DataFrame, units: Units, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """A row per anchor: phrase, long (0 where the text ends before), key, pos, and back_lo and back_hi: its windows start so many units before it."""
-    names = ["phrase", "long", key, "pos", "back_lo", "back_hi"]
+def anchors(docs: DataFrame, units: Units, text: str = "text", key: str = "doc_id", head: bool = False) -> DataFrame:
+    """A row per anchor: phrase, key, pos, and back_lo and back_hi: its windows start so many units before it.
 
-    def batch(keys, found, shift=0):
-        t, pos, lo, hi, phrase, long_phrase = found
-        numbers = [pa.array(x.astype(np.int32)) for x in (pos + shift, lo, hi)]
-        return pa.record_batch([signed(phrase), signed(long_phrase), keys.take(pa.array(t)), *numbers], names=names)
+    head, for bytes: with the number of the first 8 bytes from the anchor, which sorts as they do.
+    """
+    names = ["phrase", key, "pos", "back_lo", "back_hi", "head"][: 5 + head]
+
+    def batch(keys, found, part, shift=0):
+        t, pos, lo, hi, phrase, at = found
+        cols = [signed(phrase), keys.take(pa.array(t)), *(pa.array(x.astype(k)) for x, k in ((pos + shift, np.int32), (lo, np.int16), (hi, np.int16)))]
+        if head:
+            first = np.zeros(len(at), dtype=np.uint64)
+            for i in range(8):
+                first = (first << np.uint64(8)) | part[at + i].astype(np.uint64)
+            cols.append(signed(first ^ np.uint64(1 << 63)))
+        return pa.record_batch(cols, names=names)
 
     def run(batches):
         for b in batches:
             data, offsets = binary_parts(b.column(1))
             for i, j in blocks(offsets, _BLOCK):
-                keys = b.column(0).slice(i, j - i)
-                values, at = units.of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                keys, part = b.column(0).slice(i, j - i), data[offsets[i] : offsets[j]]
+                values, at = units.of(part, offsets[i : j + 1] - offsets[i])
                 if len(values) <= 2 * _SEGMENT:
                     if found := _anchor_rows(values, at, units):
-                        yield batch(keys, found)
+                        yield batch(keys, found, part)
                     continue
                 for s in range(0, len(values), _SEGMENT):  # one long text, by segments of window starts
                     a, last = max(0, s - 1), min(s + _SEGMENT + units.length - 1, len(values))
-                    part = values[a : last + units.long_phrase]
-                    if found := _anchor_rows(part, np.array([0, last - a]), units, np.array([len(part)]), s > 0):
-                        yield batch(keys, found, a)
+                    if found := _anchor_rows(values[a:last], np.array([0, last - a]), units, s > 0):
+                        yield batch(keys, found, part[a:last], a)
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(key, text).filter(F.col(key).isNotNull())
-    return rows.mapInArrow(run, f"phrase long, long long, {key} {kind}, pos int, back_lo int, back_hi int")
-
-
-def settle(candidates: DataFrame, units: Units, rule: str, key: str = "doc_id") -> DataFrame:
-    """candidates (with least: whether no smaller key has the phrase) with settled (its long phrase repeats) and again (and it isn't where that is kept for comparison)."""
-    whole = candidates.filter("long <> 0")
-    if rule == "any":
-        place = F.struct(F.col(key), F.col("pos"))
-        groups = whole.groupBy("long").agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-        again = F.col("_first").isNotNull() & (F.col("_first") != place)
-    else:
-        groups = whole.groupBy("long").agg(F.min(key).alias("_first"), F.max(key).alias("_last")).filter("_first < _last")
-        again = F.col("_first").isNotNull() & (F.col("_first") < F.col(key))
-    settled = F.col("_first").isNotNull() if rule == "any" else again
-    joined = candidates.join(groups.withColumnRenamed("long", "_long"), (F.col("long") == F.col("_long")) & (F.col("long") != 0), "left")
-    return joined.select("phrase", key, "pos", "back_lo", "back_hi", "least", settled.alias("settled"), again.alias("again"))
-
-
-def open_ranges(settled: DataFrame, units: Units, rule: str, key: str = "doc_id") -> DataFrame:
-    """(phrase, key, needs, lo, hi): ranges of window starts to hash, by anchor; needs: some window there is still undecided."""
-    item = F.struct("pos", "phrase", "back_lo", "back_hi", "least", "settled", "again")
-    per_text = settled.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("a"))
-    w = units.w
-
-    def covered(lo, hi, starts):
-        """How many of the windows lo..hi start in [s, s + w) for some s of the sorted starts, and the first of these runs' ends."""
-        mask = lo[:, None] + np.arange(w)[None, :]
-        at = np.searchsorted(starts, mask, side="right") - 1
-        inside = (at >= 0) & (mask - np.where(at >= 0, starts[np.maximum(at, 0)], 0) < w) if len(starts) else np.zeros(mask.shape, bool)
-        return inside, mask <= hi[:, None]
-
-    def run(batches):
-        for b in batches:
-            out = []
-            for k, items in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                a = items.values.flatten() if items.values is not None else []
-                pos, phrase, back_lo, back_hi, least, settled_at, again = (np.asarray(x) for x in a)
-                lo, hi = (pos - back_lo).astype(np.int64), (pos - back_hi).astype(np.int64)
-                pos = pos.astype(np.int64)
-                for c in range(0, len(lo), 4096):
-                    part = slice(c, c + 4096)
-                    done, real = covered(lo[part], hi[part], np.unique(pos[settled_at.astype(bool)]))
-                    skip, _ = covered(lo[part], hi[part], np.unique(pos[again.astype(bool)]))
-                    needs = (real & ~done).any(axis=1)
-                    if rule == "smaller":
-                        needs &= ~least[part].astype(bool)
-                    edges = np.diff(np.pad((real & ~skip).astype(np.int8), ((0, 0), (1, 1))), axis=1)
-                    row, start = np.nonzero(edges == 1)
-                    _, end = np.nonzero(edges == -1)
-                    base = lo[part][row]
-                    out.append((phrase[part][row], np.full(len(row), len(out)), needs[row], base + start, base + end - 1, k))
-            if out:
-                keys = pa.array([o[5] for o in out], b.column(0).type).take(pa.array(np.concatenate([o[1] for o in out])))
-                cols = [pa.array(np.concatenate([o[0] for o in out]).astype(np.int64)), keys, pa.array(np.concatenate([o[2] for o in out]))]
-                cols += [pa.array(np.concatenate([o[i] for o in out]).astype(np.int32)) for i in (3, 4)]
-                yield pa.record_batch(cols, names=["phrase", key, "needs", "lo", "hi"])
-
-    kind = settled.schema[key].dataType.simpleString()
-    return per_text.mapInArrow(run, f"phrase long, {key} {kind}, needs boolean, lo int, hi int")
+    return rows.mapInArrow(run, f"phrase long, {key} {kind}, pos int, back_lo short, back_hi short" + ", head long" * head)
 
 
 def window_rows(docs: DataFrame, ranges: DataFrame, units: Units, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -208,30 +141,6 @@ def _window_hashes(values, at, length, family):
     return out
 
 
-def repeated_spans(docs: DataFrame, candidates: DataFrame, units: Units, rule: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key and spans, the (start, end) unit ranges of a text that repeated windows cover; they may overlap. Uses up the candidates' table."""
-    settled = materialize(settle(candidates, units, rule, key), "settled")
-    drop_scratch(candidates)
-    ranges = materialize(open_ranges(settled, units, rule, key), "ranges")
-    large = settled.filter("settled").select(key, F.col("pos").alias("s"), (F.col("pos") + units.long_phrase).alias("e"))
-    large = materialize(large, "large")
-    drop_scratch(settled)
-    wanted = ranges.filter("needs").select("phrase").distinct()
-    rows = materialize(window_rows(docs, ranges.join(wanted, "phrase", "left_semi"), units, text, key), "windows")
-    drop_scratch(ranges)
-    if rule == "any":
-        groups = rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
-        found = rows.join(groups, ["h1", "h2"], "left_semi")
-    else:
-        groups = rows.groupBy("h1", "h2").agg(F.min(key).alias("_first"), F.max(key).alias("_last")).filter("_first < _last").drop("_last")
-        found = rows.join(groups, ["h1", "h2"]).filter(F.col("_first") < F.col(key))
-    single = found.select(key, F.col("at").alias("s"), (F.col("at") + units.length).alias("e"))
-    spans = materialize(large.unionByName(single).groupBy(key).agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
-    drop_scratch(rows)
-    drop_scratch(large)
-    return spans
-
-
 def union(spans: pa.Scalar) -> np.ndarray:
     """(n, 2) disjoint sorted ranges that cover the same units; touching ranges become one."""
     if spans.values is None or not len(spans.values):

@@ -1,38 +1,126 @@
 """Substring dedup by relative Lempel-Ziv parsing: word passages that texts with smaller keys hold already go.
 
 Every text is a reference block for all texts with larger keys. The index maps the phrase at each anchor (see matching) to
-the smallest key that holds it. A text is factored greedily against it: from an anchor whose long phrase stands in an
-earlier block, the factor goes on from anchor to anchor while that holds. The windows of 50 words near the boundaries of
-factors, where the parse alone doesn't decide, are checked word for word by 128-bit hashes.
+its first place in the smallest key that holds it. Each text is factored greedily against it: from an anchor whose phrase
+stands in an earlier block, a factor goes on from anchor to anchor while these stand at the same distance in the same
+block. Factors of 50 words or more are duplicate spans. Windows of 50 words that no factor holds whole lie at factor
+boundaries; where an earlier block has their phrase, they are checked word for word by 128-bit hashes.
 
 Null texts have no words; texts under 50 words and rows without a key keep everything. Rows of one key must have one text;
-they don't repeat each other. An empty table gives an empty result.
+they don't repeat each other. A very long text is parsed in one task, by blocks. Other columns aren't read. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.common import drop_scratch, materialize, table
-from tideline.llm.matching import WORDS_50, Units, anchors, repeated_spans, union
+from tideline.llm.matching import WORDS_50, Units, anchors, union, window_rows
+
+#: Texts and anchors that are parsed at once.
+_TEXTS, _ANCHORS = 256, 1 << 14
 
 
 def reference_index(phrases: DataFrame, key: str = "doc_id") -> DataFrame:
-    """phrase and ref, the smallest key that holds it, for phrases that a larger key holds too."""
-    found = phrases.groupBy("phrase").agg(F.min(key).alias("ref"), F.max(key).alias("_last"))
-    return found.filter(F.col("ref") < F.col("_last")).drop("_last")
+    """phrase, ref and ref_pos, the first place in the smallest key that holds it, for phrases that a larger key holds too."""
+    place = F.struct(F.col(key).alias("ref"), F.col("pos").alias("ref_pos"))
+    found = phrases.groupBy("phrase").agg(F.min(place).alias("_first"), F.max(key).alias("_last"))
+    return found.filter(F.col("_first.ref") < F.col("_last")).select("phrase", "_first.*")
+
+
+def parse(owner, pos, earlier, ref, ref_pos, phrase: int):
+    """Greedy factors of texts whose anchors are given in order: (first, last) anchors of each.
+
+    From an anchor whose phrase stands in an earlier block, a factor goes on to the next one as long as that stands at the
+    same distance in the same block and no unit between them is left out.
+    """
+    if not len(pos):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    on = np.zeros(len(pos), dtype=bool)
+    same = (owner[1:] == owner[:-1]) & (ref[1:] == ref[:-1]) & (ref_pos[1:] - ref_pos[:-1] == pos[1:] - pos[:-1])
+    on[1:] = same & earlier[1:] & earlier[:-1] & (pos[1:] - pos[:-1] <= phrase)
+    first = np.flatnonzero(earlier & ~on)
+    ends = earlier & ~np.append(on[1:], False)
+    return first, np.flatnonzero(ends)
+
+
+def factors(found: DataFrame, units: Units, key: str = "doc_id") -> DataFrame:
+    """The parse of every text, from its anchors with ref and ref_pos (see reference_index).
+
+    Rows with a null phrase are factors: key's units lo..hi (hi excluded) stand in ref from ref_pos on. The others are
+    ranges lo..hi of starts of windows that no factor holds whole; needs tells whether an earlier block has their phrase.
+    """
+    item = F.struct("pos", "phrase", "back_lo", "back_hi", "ref_pos", (F.col("ref") < F.col(key)).alias("earlier"), F.xxhash64("ref").alias("block"), "ref")
+    per_text = found.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("a"))
+    kind = found.schema[key].dataType.simpleString()
+    names = ["phrase", key, "needs", "lo", "hi", "ref", "ref_pos"]
+
+    def rows(keys, owner, phrase, needs, lo, hi, ref, ref_pos):
+        n = len(lo)
+        cols = [
+            pa.array(phrase) if phrase is not None else pa.nulls(n, pa.int64()), keys.take(pa.array(owner)), pa.array(needs),
+            pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), ref if ref is not None else pa.nulls(n, keys.type),
+            pa.array(ref_pos.astype(np.int32)) if ref_pos is not None else pa.nulls(n, pa.int32()),
+        ]
+        return pa.record_batch(cols, names=names)
+
+    def block(keys, lists):
+        size = np.asarray(pc.list_value_length(lists))
+        owner = np.repeat(np.arange(len(keys)), size)
+        flat = lists.flatten()
+        pos, phrase, back_lo, back_hi, ref_pos, earlier, ref = (np.asarray(flat.field(i)) for i in range(7))
+        pos, ref_pos, earlier = pos.astype(np.int64), ref_pos.astype(np.int64), earlier.astype(bool)
+        first, last = parse(owner, pos, earlier, ref, ref_pos, units.phrase)
+        start, end = pos[first], pos[last] + units.phrase
+        whole = end - start >= units.length
+        yield rows(keys, owner[first][whole], None, np.zeros(int(whole.sum()), bool), start[whole], end[whole], flat.field(7).take(pa.array(first[whole])), ref_pos[first][whole])
+        # Factors begin and end in order, so the last one that begins no later than a window is the one that may hold it.
+        far = int(pos.max(initial=0)) + 2 * units.length + 1
+        begins = owner[first] * far + start
+        for c in range(0, len(pos), _ANCHORS):
+            part = slice(c, c + _ANCHORS)
+            low, high = (pos - back_lo)[part], (pos - back_hi)[part]
+            at = low[:, None] + np.arange(units.w)
+            real = at <= high[:, None]
+            j = np.searchsorted(begins, owner[part][:, None] * far + at, side="right") - 1
+            held = np.zeros(at.shape, dtype=bool)
+            if len(first):
+                held = (j >= 0) & (owner[first][j] == owner[part][:, None]) & (at + units.length <= end[j])
+            edges = np.diff(np.pad((real & ~held).astype(np.int8), ((0, 0), (1, 1))), axis=1)
+            row, lo = np.nonzero(edges == 1)
+            _, hi = np.nonzero(edges == -1)
+            yield rows(keys, owner[part][row], phrase[part][row], earlier[part][row], low[row] + lo, low[row] + hi - 1, None, None)
+
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, _TEXTS):
+                yield from block(b.column(0).slice(i, _TEXTS), b.column(1).slice(i, _TEXTS))
+
+    return per_text.mapInArrow(run, f"phrase long, {key} {kind}, needs boolean, lo int, hi int, ref {kind}, ref_pos int")
 
 
 def repeated_words(docs: DataFrame, units: Units = WORDS_50, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key and spans of the words that windows of units.length words cover which start in a text with a smaller key too."""
     phrases = materialize(anchors(docs, units, text, key), "phrases")
     found = phrases.join(reference_index(phrases, key), "phrase")
-    candidates = materialize(found.withColumn("least", F.col("ref") == F.col(key)).drop("ref"), "candidates")
+    parsed = materialize(factors(found, units, key), "factors")
     drop_scratch(phrases)
-    return repeated_spans(docs, candidates, units, "smaller", text, key)
+    ranges = parsed.filter("phrase IS NOT NULL")
+    wanted = ranges.filter("needs").select("phrase").distinct()
+    rows = materialize(window_rows(docs, ranges.join(wanted, "phrase", "left_semi"), units, text, key), "windows")
+    first = rows.groupBy("h1", "h2").agg(F.min(key).alias("_first"), F.max(key).alias("_last")).filter("_first < _last").drop("_last")
+    later = rows.join(first, ["h1", "h2"]).filter(F.col("_first") < F.col(key))
+    single = later.select(key, F.col("at").alias("s"), (F.col("at") + units.length).alias("e"))
+    whole = parsed.filter("phrase IS NULL").select(key, F.col("lo").alias("s"), F.col("hi").alias("e"))
+    spans = materialize(whole.unionByName(single).groupBy(key).agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
+    drop_scratch(parsed)
+    drop_scratch(rows)
+    return spans
 
 
 def dedup_words(docs: DataFrame, units: Units = WORDS_50, text: str = "text", key: str = "doc_id") -> DataFrame:

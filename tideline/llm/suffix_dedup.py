@@ -1,14 +1,20 @@
 """Suffix-array dedup: repeated strings of at least 400 bytes go, found by a logarithmic family of suffix indexes.
 
-The index takes a corpus in batches. A batch's suffix array is sparse: it holds the suffixes at anchors (see matching),
-ordered by the fingerprint of their first 273 bytes, which puts suffixes with a long match side by side. It is written
-as a bucketed, sorted table. A new batch is merge-scanned against every level, bucket by bucket; the phrases found in
-both, or twice in the batch, are long matches. Before the next batch comes, levels of equal size merge, so that an entry
-is rewritten once for each doubling. Matches are then extended and checked to the byte by matching.repeated_spans.
-
-Strings are compared by two 64-bit fingerprints. Null texts are empty; texts under 400 bytes and rows without a key keep
-everything. Repeated rows repeat each other's strings; rows of one key must have one text. An empty table gives an empty
-result.
+The index takes a corpus in batches of BATCH bytes (larger ones from 32 batches on). A batch's suffix array is sparse: it
+holds the suffixes at anchors (see matching), in the order of their first 8 bytes and then of the fingerprint of their
+first 273, so that suffixes with a long match stand side by side. It is written as a bucketed, sorted table. A new batch
+is merge-scanned against every level; suffixes that agree with one of a level, or of the batch, have a long match. Before
+the next batch comes, levels of equal size merge, so that an entry is rewritten once for each doubling.
+
+Among the suffixes with one long match, in the order of their places, each is compared with its neighbours: the first of
+all (the first with the last), and the one before it in its own text (the first there with the next). Where neighbours
+stay at one distance from anchor to anchor, the match goes on, which gives its length; matches of 400 bytes or more go.
+Only at the ends of matches can another suffix share a string that no neighbour does: the strings there are compared
+by 128-bit hashes, with one place of each of those inside matches.
+
+Null texts are empty; texts under 400 bytes and rows without a key keep everything. Repeated rows repeat each other's
+strings; rows of one key must have one text. A very long text is indexed and matched in one task, by blocks. Other columns
+aren't read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,46 +23,61 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm.common import drop_scratch, materialize, scratch_dir, shuffle_cleanup, table
 from tideline.llm.hashing import binary_parts
-from tideline.llm.matching import BYTES_400, Units, anchors, repeated_spans, union
+from tideline.llm.matching import BYTES_400, Units, anchors, union, window_rows
+
+#: Bytes of a batch, and the most batches.
+BATCH, MOST_BATCHES = 128 << 20, 32
+_BUCKET_BYTES = 64 << 20
+_TEXTS, _ANCHORS = 256, 1 << 12
 
 
 class SuffixIndex:
-    """Levels of sorted phrase tables; level i holds 2^i batches."""
+    """Levels of sorted suffix tables; level i holds 2^i batches. Use it in a with statement, which drops its tables."""
+
+    def __init__(self, spark: SparkSession, buckets: int):
+        self.spark, self.buckets, self.levels, self.tables = spark, buckets, [], []
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.levels = spark, []
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    def __enter__(self) -> SuffixIndex:
+        return self
+
+    def __exit__(self, *failure) -> None:
+        for name in list(self.tables):
+            self._drop(name)
 
     def _store(self, entries: DataFrame) -> str:
         name = f"tideline_level_{uuid.uuid4().hex}"
         path = f"{scratch_dir(self.spark)}/{name.replace('_', '-')}"
-        dealt = entries.repartition(self.buckets, "phrase").sortWithinPartitions("phrase")
+        dealt = entries.repartition(self.buckets, "phrase").sortWithinPartitions("head", "phrase")
+        self.tables.append(name)
         with shuffle_cleanup(self.spark):
-            dealt.write.bucketBy(self.buckets, "phrase").sortBy("phrase").option("path", path).format("parquet").saveAsTable(name)
+            dealt.write.bucketBy(self.buckets, "phrase").sortBy("head", "phrase").option("path", path).format("parquet").saveAsTable(name)
         return name
 
     def _drop(self, name: str) -> None:
-        drop_scratch(self.spark.table(name))
-        self.spark.sql(f"DROP TABLE {name}")
+        self.tables.remove(name)
+        if self.spark.catalog.tableExists(name):
+            drop_scratch(self.spark.table(name))
+            self.spark.sql(f"DROP TABLE {name}")
 
     def _merge(self) -> None:
         """Equal-sized levels become one of twice the size."""
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (size, a), (_, b) = self.levels.pop(), self.levels.pop()
-            both = self.spark.table(a).unionByName(self.spark.table(b)).groupBy("phrase").agg(F.sum("n").alias("n"))
+            both = self.spark.table(a).unionByName(self.spark.table(b)).groupBy("phrase", "head").agg(F.sum("n").alias("n"))
             self.levels.append((2 * size, self._store(both)))
             self._drop(a)
             self._drop(b)
 
     def add(self, suffixes: DataFrame) -> DataFrame:
-        """Index a batch of (phrase) rows; the phrases that it shares with a level, or holds twice."""
+        """Index a batch of (head, phrase) rows; the phrases that it shares with a level, or holds twice."""
         self._merge()
-        name = self._store(suffixes.groupBy("phrase").agg(F.count(F.lit(1)).alias("n")))
+        name = self._store(suffixes.groupBy("phrase", "head").agg(F.count(F.lit(1)).alias("n")))
         batch = self.spark.table(name)
         found = batch.filter("n > 1").select("phrase")
         for _, level in self.levels:
@@ -65,33 +86,135 @@ class SuffixIndex:
         self.levels.append((1, name))
         return found
 
-    def close(self) -> None:
-        for _, name in self.levels:
-            self._drop(name)
-        self.levels = []
-
 
-def repeated_phrases(suffixes: DataFrame, batches: int, key: str) -> DataFrame:
+def long_matches(suffixes: DataFrame, batches: int, buckets: int, key: str) -> DataFrame:
     """The phrases that stand at two places or more, from all batches in turn."""
-    index = SuffixIndex(suffixes.sparkSession)
-    found = [index.add(suffixes.filter(F.pmod(F.xxhash64(key), F.lit(batches)) == b).select("phrase")) for b in range(batches)]
-    index.close()
+    with SuffixIndex(suffixes.sparkSession, buckets) as index:
+        found = [index.add(suffixes.filter(F.pmod(F.xxhash64(key), F.lit(batches)) == b).select("head", "phrase")) for b in range(batches)]
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
     return out.distinct()
 
 
-def repeated_bytes(docs: DataFrame, units: Units = BYTES_400, batches: int = 4, text: str = "text", key: str = "doc_id") -> DataFrame:
+def with_neighbours(suffixes: DataFrame, key: str) -> DataFrame:
+    """phrase, key, pos, back_lo, back_hi, and near_key, near (its hash) and near_pos: the first place of the phrase, or for that one (lead) the last."""
+    place = F.struct(F.col(key).alias("k"), F.col("pos").alias("p"))
+    ends = suffixes.groupBy("phrase").agg(F.min(place).alias("_first"), F.max(place).alias("_last"))
+    lead = place == F.col("_first")
+    near = F.when(lead, F.col("_last")).otherwise(F.col("_first"))
+    joined = suffixes.join(ends, "phrase").select("phrase", key, "pos", "back_lo", "back_hi", lead.alias("lead"), near.alias("n"))
+    return joined.select("phrase", key, "pos", "back_lo", "back_hi", "lead", F.xxhash64("n.k").alias("near"), F.col("n.p").alias("near_pos"), F.col("n.k").alias("near_key"))
+
+
+def own_neighbours(owner: np.ndarray, phrase: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of suffixes in order of text and place: the index of the one before with the same text and phrase, and of the one after; -1 where there is none."""
+    order = np.lexsort((pos, phrase, owner))
+    same = (owner[order[1:]] == owner[order[:-1]]) & (phrase[order[1:]] == phrase[order[:-1]]) & (pos[order[1:]] > pos[order[:-1]])
+    before, after = np.full(len(pos), -1), np.full(len(pos), -1)
+    before[order[1:][same]] = order[:-1][same]
+    after[order[:-1][same]] = order[1:][same]
+    return before, after
+
+
+def match_lengths(owner, pos, chosen, near, near_pos, phrase: int) -> tuple[np.ndarray, ...]:
+    """(owner, start, end, first suffix) of the matches of suffixes, in order of text and place, with their neighbours, where chosen."""
+    if not chosen.any():
+        return owner[:0], pos[:0], pos[:0], np.zeros(0, dtype=np.int64)
+    on = (owner[1:] == owner[:-1]) & (near[1:] == near[:-1]) & (near_pos[1:] - near_pos[:-1] == pos[1:] - pos[:-1])
+    on &= chosen[1:] & chosen[:-1] & (pos[1:] - pos[:-1] <= phrase)
+    first = np.flatnonzero(chosen & ~np.concatenate([[False], on]))
+    last = np.flatnonzero(chosen & ~np.concatenate([on, [False]]))
+    return owner[first], pos[first], pos[last] + phrase, first
+
+
+def _held(found, owner, at, length: int, far: int) -> np.ndarray:
+    """Mask of the strings of some texts, by their starts, that a match holds whole. Matches of a text begin and end in order."""
+    of, start, end, _ = found
+    if not len(of):
+        return np.zeros(at.shape, dtype=bool)
+    j = np.searchsorted(of * far + start, owner[:, None] * far + at, side="right") - 1
+    return (j >= 0) & (of[j] == owner[:, None]) & (at + length <= end[j])
+
+
+def matches(candidates: DataFrame, units: Units, key: str = "doc_id") -> DataFrame:
+    """The matches of every text's suffixes with their neighbours, and what these don't decide.
+
+    Rows with a null phrase are matches, the bytes lo..hi (hi excluded), at the suffix and at its neighbour. The others are
+    ranges lo..hi of starts of strings, by anchor, that are to be compared; needs tells whether some string there is in no
+    match. Left out are strings in a match with the first place, or with an earlier one of the same text: these stand
+    there again.
+    """
+    item = F.struct("pos", "phrase", "back_lo", "back_hi", "near_pos", "near", "lead", "near_key")
+    per_text = with_neighbours(candidates, key).groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("a"))
+    kind = candidates.schema[key].dataType.simpleString()
+
+    def rows(keys, phrase, needs, lo, hi):
+        cols = [pa.nulls(len(lo), pa.int64()) if phrase is None else pa.array(phrase), keys, pa.array(needs), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))]
+        return pa.record_batch(cols, names=["phrase", key, "needs", "lo", "hi"])
+
+    def block(keys, lists):
+        owner = np.repeat(np.arange(len(keys)), np.asarray(pc.list_value_length(lists)))
+        flat = lists.flatten()
+        pos, phrase, back_lo, back_hi, near_pos, near, lead = (np.asarray(flat.field(i)) for i in range(7))
+        pos, near_pos, lead = pos.astype(np.int64), near_pos.astype(np.int64), lead.astype(bool)
+        before, after = own_neighbours(owner, phrase, pos)
+        zero = np.zeros(len(pos), dtype=np.int64)
+        again = [match_lengths(owner, pos, ~lead, near, near_pos, units.phrase), match_lengths(owner, pos, before >= 0, zero, pos[before], units.phrase)]
+        kept = [match_lengths(owner, pos, lead, near, near_pos, units.phrase), match_lengths(owner, pos, (before < 0) & (after >= 0), zero, pos[after], units.phrase)]
+        for i, (of, start, end, first) in enumerate(again + kept):
+            whole = end - start >= units.length
+            of, start, end, first = (x[whole] for x in (of, start, end, first))
+            shift = pos[first] - (near_pos[first] if i in (0, 2) else pos[(before if i == 1 else after)[first]])
+            there = flat.field(7).take(pa.array(first)) if i in (0, 2) else keys.take(pa.array(of))
+            none = np.zeros(len(of), dtype=bool)
+            yield rows(keys.take(pa.array(of)), None, none, start, end)
+            yield rows(there, None, none, start - shift, end - shift)
+        far = int(pos.max(initial=0)) + 2 * units.length + 1
+        for c in range(0, len(pos), _ANCHORS):
+            part = slice(c, c + _ANCHORS)
+            low, high = (pos - back_lo)[part], (pos - back_hi)[part]
+            at = low[:, None] + np.arange(units.w)
+            real = at <= high[:, None]
+            skip = np.logical_or.reduce([_held(m, owner[part], at, units.length, far) for m in again])
+            done = np.logical_or.reduce([skip, *(_held(m, owner[part], at, units.length, far) for m in kept)])
+            edges = np.diff(np.pad((real & ~skip).astype(np.int8), ((0, 0), (1, 1))), axis=1)
+            row, lo = np.nonzero(edges == 1)
+            _, hi = np.nonzero(edges == -1)
+            yield rows(keys.take(pa.array(owner[part][row])), phrase[part][row], (real & ~done).any(axis=1)[row], low[row] + lo, low[row] + hi - 1)
+
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, _TEXTS):
+                yield from block(b.column(0).slice(i, _TEXTS), b.column(1).slice(i, _TEXTS))
+
+    return per_text.mapInArrow(run, f"phrase long, {key} {kind}, needs boolean, lo int, hi int")
+
+
+def repeated_bytes(docs: DataFrame, units: Units = BYTES_400, batches: int | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key and spans of the bytes that strings of units.length bytes cover which start at another place too."""
-    suffixes = materialize(anchors(docs, units, text, key), "suffixes")
-    phrases = repeated_phrases(suffixes, batches, key)
-    candidates = materialize(suffixes.join(phrases, "phrase", "left_semi").withColumn("least", F.lit(False)), "candidates")
+    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    suffixes = materialize(anchors(docs, units, text, key, head=True), "suffixes")
+    batches = batches or int(min(MOST_BATCHES, max(2, -(-total // BATCH))))
+    buckets = max(12, total // _BUCKET_BYTES)
+    candidates = materialize(suffixes.drop("head").join(long_matches(suffixes, batches, buckets, key), "phrase", "left_semi"), "candidates")
     drop_scratch(suffixes)
-    return repeated_spans(docs, candidates, units, "any", text, key)
-
-
-def dedup_bytes(docs: DataFrame, units: Units = BYTES_400, batches: int = 4, text: str = "text", key: str = "doc_id") -> DataFrame:
+    found = materialize(matches(candidates, units, key), "found")
+    drop_scratch(candidates)
+    ranges = found.filter("phrase IS NOT NULL")
+    wanted = ranges.filter("needs").select("phrase").distinct()
+    strings = materialize(window_rows(docs, ranges.join(wanted, "phrase", "left_semi"), units, text, key), "strings")
+    twice = strings.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    single = strings.join(twice, ["h1", "h2"], "left_semi").select(key, F.col("at").alias("s"), (F.col("at") + units.length).alias("e"))
+    # A text has no more starts of matches than anchors, however many others match it.
+    whole = found.filter("phrase IS NULL").groupBy(key, F.col("lo").alias("s")).agg(F.max("hi").alias("e"))
+    spans = materialize(whole.unionByName(single).groupBy(key).agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
+    drop_scratch(found)
+    drop_scratch(strings)
+    return spans
+
+
+def dedup_bytes(docs: DataFrame, units: Units = BYTES_400, batches: int | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, n_bytes, removed (disjoint byte ranges, in order) and kept (the other bytes)."""
     spans = repeated_bytes(docs, units, batches, text, key).withColumnRenamed(key, "_key")
     joined = docs.select(key, text).join(spans, docs[key] == F.col("_key"), "left").drop("_key")
