@@ -11,12 +11,12 @@ partner may be there.
 2. Each open key names its most central record as hub (the one whose keys are the most common); every record is verified
    against the hub that most of its keys name, and components follow.
 3. For what is left, shingles are looked at one by one. With c of its n shingles live, that is shared with another
-   component's record that may still be linked, a pair needs 7 (c + c') >= 6 (n + n'): a bound by counts alone, which is
-   repeated, with rounds of hubs, as long as they merge much. Groups around a common passage go here, without pairs.
+   component's record that may still be linked, a pair needs 7 min(c, c') >= 3 (n + n'): a bound by counts alone, which
+   is repeated, with rounds of hubs, as long as they merge much. Groups around a common passage go here, without pairs.
 4. What is still open gets segments and one-deletion neighbourhoods over its live shingles, in a scheme of its live
    count's band. A segment counts 1 if equal and 2 if all but one of its shingles are; each record takes the cheapest
-   of these, by the counted records behind their keys, until they add up to more than it can differ in. Only pairs
-   between two components that meet at one of them are compared.
+   of these, by the counted records behind their keys, until they add up to more than it can differ in. The records of
+   the smaller component are compared with those of larger ones that they meet there.
 
 Verification intersects whole sets, which are at most 4/3 as large as each other, so what is shipped follows the members
 of a group. No link between components is lost, and no group is expanded into pairs. Each step's cost follows its rows,
@@ -231,7 +231,7 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _narrow(rows: DataFrame, records: DataFrame, rounds: int) -> DataFrame:
-    """The (key, fp, own, root) rows that may still show a link between two roots, with pop, how common fp's keys are.
+    """The (key, fp, own, root) rows that may still show a link between two roots, with pop, how many records have each of fp's segments on the average.
 
     A key is open if rows of two roots have it, one of them in its own scheme; all other segments are free. A record with
     more free segments in a scheme than two linked records can differ in has no link there, so its rows go, which frees
@@ -243,7 +243,7 @@ def _narrow(rows: DataFrame, records: DataFrame, rounds: int) -> DataFrame:
         found = rows.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.max("own").alias("_own"), F.count(F.lit(1)).alias("_df"))
         left = materialize(rows.drop("pop").join(found.filter("_lo < _hi AND _own").select("key", "_df"), "key"), "open")
         lost = left.groupBy("fp", "own").agg(F.count(F.lit(1)).alias("lost"), F.sum("_df").alias("pop"))
-        needy = lost.join(limits, "fp").filter(spare).select("fp", "own", "pop")
+        needy = lost.join(limits, "fp").filter(spare).select("fp", "own", (F.col("pop") / F.when(F.col("own"), F.col("value")).otherwise(F.col("value_below"))).alias("pop"))
         kept = materialize(left.drop("_df").join(needy, ["fp", "own"]), "narrow")
         drop_scratch(left)
         if i:
@@ -252,10 +252,23 @@ def _narrow(rows: DataFrame, records: DataFrame, rounds: int) -> DataFrame:
     return rows
 
 
-def _hub_pairs(rows: DataFrame, by: str) -> DataFrame:
+def _hub_pairs(rows: DataFrame) -> DataFrame:
     """For every record, the hub of another root that most of its keys name: one pair a record at most."""
-    hubs = rows.groupBy(by).agg(F.max_by(F.struct(F.col("fp").alias("hub"), F.col("root").alias("hub_root")), F.struct("pop", "fp")).alias("h")).select(by, "h.*")
-    votes = rows.join(hubs, by).filter("root <> hub_root").groupBy("fp", "hub").agg(F.count(F.lit(1)).alias("votes"))
+    hubs = rows.groupBy("key").agg(F.max_by(F.struct(F.col("fp").alias("hub"), F.col("root").alias("hub_root")), F.struct("pop", "fp")).alias("h")).select("key", "h.*")
+    return _voted(rows.join(hubs, "key").filter("root <> hub_root"))
+
+
+def _live_hub_pairs(live: DataFrame) -> DataFrame:
+    """The same by shingles. A shingle has a hub in each band of sizes: the record that is live for the largest part."""
+    band = F.floor(F.log("n") / F.log(F.lit(4 / 3)))
+    best = F.max_by(F.struct(F.col("fp").alias("hub"), F.col("root").alias("root_a"), F.col("n").alias("n_a"), F.col("c").alias("c_a")), F.struct(F.col("c") / F.col("n"), F.col("df"), F.col("fp")))
+    hubs = live.groupBy("token", band.alias("band")).agg(best.alias("h")).select("token", "band", "h.*")
+    near = live.select("fp", "root", "n", "c", "token", F.explode(F.array(band - 1, band, band + 1)).alias("band"))
+    return _voted(near.join(hubs, ["token", "band"]).filter(_POSSIBLE))
+
+
+def _voted(named: DataFrame) -> DataFrame:
+    votes = named.groupBy("fp", "hub").agg(F.count(F.lit(1)).alias("votes"))
     return _pairs(votes.groupBy(F.col("fp").alias("a")).agg(F.max_by("hub", F.struct("votes", "hub")).alias("b")))
 
 
@@ -264,17 +277,20 @@ def _pairs(df: DataFrame) -> DataFrame:
 
 
 def _live(rows: DataFrame, rounds: int = 2) -> DataFrame:
-    """The live (fp, n, root, token) rows, with c, slack = 7c - 6n, most: the largest slack at the token, pop and df.
+    """The live (fp, n, root, token) rows, with c (live shingles), most: the largest 7c - 6n at the token, and df.
 
-    Two linked records share 3/7 of their sizes together at least, all of it live, so their slacks add up to 0 or more. A
-    token is live for a record if two roots have it and the largest slack there makes up for the record's own.
+    Two linked records share 3/7 of their sizes together at least, all of it live, and 3/4 of either size. So a token is
+    live for a record if two roots have it, if the record's c suffices for the smallest record there and if some record's
+    c there suffices for a partner of its size.
     """
     own = Window.partitionBy("fp")
+    enough = "4 * c >= 3 * n AND 7 * c >= 3 * (n + _least) AND _room >= 3 * n AND 7 * c - 6 * n + most >= 0"
     for i in range(rounds):
-        spread = rows.groupBy("token").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.max("slack").alias("most"), F.count(F.lit(1)).alias("df"))
-        left = rows.select("fp", "n", "root", "token", "slack").join(spread.filter("_lo < _hi AND most >= 0").drop("_lo", "_hi"), "token").filter("slack + most >= 0").drop("slack")
-        counted = left.withColumn("c", F.count(F.lit(1)).over(own)).withColumn("pop", F.sum("df").over(own)).withColumn("slack", 7 * F.col("c") - 6 * F.col("n"))
-        kept = materialize(counted.filter("slack + most >= 0"), "live")
+        stats = F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.min("n").alias("_least"), F.max(7 * F.col("c") - 3 * F.col("n")).alias("_room")
+        spread = rows.groupBy("token").agg(*stats, F.max(7 * F.col("c") - 6 * F.col("n")).alias("most"), F.count(F.lit(1)).alias("df"))
+        left = rows.select("fp", "n", "root", "token", "c").join(spread.filter("_lo < _hi").drop("_lo", "_hi"), "token").filter(enough)
+        counted = left.withColumn("c", F.count(F.lit(1)).over(own))
+        kept = materialize(counted.filter(enough).drop("_least", "_room"), "live")
         drop_scratch(rows)
         rows = kept
     return rows
@@ -289,7 +305,7 @@ def _shifted(n: int, band):
 
 
 def _indexed(live: DataFrame) -> DataFrame:
-    """(fp, root, n, c, slack, most, own, scheme, seg, key, kind, size): the segments of all live records and what is left of them with a shingle less.
+    """(fp, root, n, c, most, own, scheme, seg, key, kind, size): the segments of all live records and what is left of them with a shingle less.
 
     kind is E for a segment, D for one with a shingle deleted. A record is in the scheme of its live count's band, and in
     those of the bands next to it where a linked record's count may fall: counts of linked records differ by 4/3 at most.
@@ -297,54 +313,62 @@ def _indexed(live: DataFrame) -> DataFrame:
     band = _band(F.col("c"))
     low = F.when((band >= _FIRST_BAND) & (3 * F.col("c") < _shifted(4, band)), band - 1)
     high = F.when(4 * F.col("c") >= _shifted(6, band), band + 1)
-    rows = live.select("fp", "root", "n", "c", "slack", "token", "most", band.alias("_own"), F.explode(F.array_compact(F.array(low, band, high))).alias("scheme"))
+    rows = live.select("fp", "root", "n", "c", "token", "most", band.alias("_own"), F.explode(F.array_compact(F.array(low, band, high))).alias("scheme"))
     place = F.xxhash64("token", "scheme")
     seg = F.when(F.col("scheme") < _FIRST_BAND, place).otherwise(F.pmod(place, F.floor(_shifted(5, F.col("scheme")) / 4)))
-    per = rows.select("*", seg.alias("seg"), F.xxhash64(F.lit(7), "token").alias("h")).groupBy("fp", "root", "n", "c", "slack", "scheme", "seg")
+    per = rows.select("*", seg.alias("seg"), F.xxhash64(F.lit(7), "token").alias("h")).groupBy("fp", "root", "n", "c", "scheme", "seg")
     made = per.agg((F.col("scheme") == F.max("_own")).alias("own"), F.max("most").alias("most"), F.bit_xor("h").alias("whole"), F.collect_list("h").alias("hs"))
     less = F.when(F.size("hs") > 1, F.transform("hs", lambda h: F.struct(F.col("whole").bitwiseXOR(h).alias("x"), F.lit("D").alias("kind")))).otherwise(F.array())
     keys = F.explode(F.concat(F.array(F.struct(F.col("whole").alias("x"), F.lit("E").alias("kind"))), less)).alias("k")
-    out = made.select("fp", "root", "n", "c", "slack", "most", "own", "scheme", "seg", F.size("hs").alias("size"), keys)
+    out = made.select("fp", "root", "n", "c", "most", "own", "scheme", "seg", F.size("hs").alias("size"), keys)
     return out.select("*", F.xxhash64("scheme", "seg", "k.x").alias("key"), "k.kind").drop("k")
 
 
 def _allocated_pairs(live: DataFrame) -> DataFrame:
-    """Pairs of open records of two roots that meet at an allocated segment or neighbourhood.
+    """Pairs of open records of two roots where one meets the other's root at an allocated segment or neighbourhood.
 
-    Within its live shingles, a record of c differs from a linked one that is no smaller in at most H = c - 2n/3, and in
-    no more than (slack + most) / 7. Its segments give a value of 1 for the records that have them whole, or of 2 for
-    those with one shingle more or less too; it takes the cheapest of them, by counted records, up to a value of H + 1.
+    Within its live shingles, a record of c differs from a linked one in at most H = c - 2n/3, and in no more than
+    (7c - 6n + most) / 7. Its segments give a value of 1 for the records that have them whole, or of 2 for those with one
+    shingle more or less too; it takes the cheapest of them, by counted records, up to a value of H + 1. The records of
+    smaller roots look up the larger roots there, and are compared with such a root's records whose sizes allow it.
     """
     index = materialize(_indexed(live), "index")
     counts = index.groupBy("key").agg(F.count_if(F.col("kind") == "E").alias("e"), F.count_if(F.col("kind") == "D").alias("d"), (F.min("root") < F.max("root")).alias("open"))
     exact = F.col("kind") == "E"
     mine = index.filter("own").join(counts, "key")
     seen = mine.withColumn("one", F.when(exact & F.col("open"), F.col("e") - 1).otherwise(0)).withColumn("both", F.when(~F.col("open"), 0).when(exact, F.col("e") - 1 + F.col("d")).otherwise(F.col("e")))
-    costs = seen.groupBy("fp", "n", "c", "slack", "seg").agg(F.max("one").alias("one"), F.sum("both").alias("both"), F.max("size").alias("size"), F.max("most").alias("most"))
+    costs = seen.groupBy("fp", "n", "c", "seg").agg(F.max("one").alias("one"), F.sum("both").alias("both"), F.max("size").alias("size"), F.max("most").alias("most"))
     first, second = F.struct(F.col("one").alias("cost"), F.lit(1).alias("step")), F.struct(F.greatest("one", F.col("both") - F.col("one")).alias("cost"), F.lit(2).alias("step"))
     steps = costs.withColumn("s", F.explode(F.when(F.col("size") > 1, F.array(first, second)).otherwise(F.array(first)))).select("*", "s.*")
     own = Window.partitionBy("fp")
     ranked = steps.withColumn("most", F.max("most").over(own)).withColumn("value", F.count(F.lit(1)).over(own)).withColumn("rank", F.row_number().over(own.orderBy("cost", "step", "seg")))
-    need = F.least(F.floor(F.col("c") - 2 * F.col("n") / 3), F.floor((F.col("slack") + F.col("most")) / 7)) + 1
+    need = F.least(F.floor(F.col("c") - 2 * F.col("n") / 3), F.floor((7 * F.col("c") - 6 * F.col("n") + F.col("most")) / 7)) + 1
     taken = materialize(ranked.withColumn("need", need).filter("rank <= need").select("fp", "seg", "step", "cost", "value", "need"), "taken")
     chosen = taken.filter("cost > 0").groupBy("fp", "seg").agg(F.max("step").alias("step"))
     probes = index.filter("own").join(chosen, ["fp", "seg"]).filter((F.col("kind") == "E") | (F.col("step") == 2))
     wanted = F.when(F.col("kind") == "D", F.array(F.lit("E"))).when(F.col("step") == 2, F.array(F.lit("E"), F.lit("D"))).otherwise(F.array(F.lit("E")))
-    probes = probes.join(counts.filter("open").select("key"), "key", "left_semi").select("key", F.explode(wanted).alias("kind"), *(F.col(x).alias(f"{x}_a") for x in ("fp", "root", "n", "slack")))
-    found = probes.join(index.select("key", "kind", "fp", "root", "n", "slack"), ["key", "kind"]).filter(_POSSIBLE).select(F.col("fp_a").alias("a"), F.col("fp").alias("b"))
-    # Segments that can't add up to what a record needs: as many of its rarest shingles, each looked up in all records.
+    probes = probes.join(counts.filter("open").select("key"), "key", "left_semi").select("key", F.explode(wanted).alias("kind"), "fp", "root")
+    # Segments that can't add up to what a record needs: as many of its rarest shingles, each looked up whole.
     rank = F.row_number().over(Window.partitionBy("fp").orderBy("df", "token"))
     short = live.join(taken.filter("value < need").groupBy("fp").agg(F.max("need").alias("need")), "fp").withColumn("_rank", rank).filter("_rank <= need")
-    few = short.select("token", *(F.col(x).alias(f"{x}_a") for x in ("fp", "root", "n", "slack")))
-    plain = few.join(live.select("token", "fp", "root", "n", "slack"), "token").filter(_POSSIBLE).select(F.col("fp_a").alias("a"), F.col("fp").alias("b"))
-    out = materialize(_pairs(found.unionByName(plain)), "pairs")
+    single = F.lit("T").alias("kind")
+    probes = probes.unionByName(short.select(F.col("token").alias("key"), single, "fp", "root"))
+    places = index.select("key", "kind", "root").unionByName(live.select(F.col("token").alias("key"), single, "root")).distinct()
+    size = live.groupBy("root").agg(F.count_distinct("fp").alias("size"))
+    probes = probes.join(size.withColumnRenamed("size", "own_size"), "root")
+    places = places.join(size, "root").select("key", "kind", F.col("root").alias("other"), "size")
+    met = probes.join(places, ["key", "kind"]).filter("root <> other AND struct(own_size, root) <= struct(size, other)").select(F.col("fp").alias("fp_a"), "other").distinct()
+    records = live.groupBy("fp", "root", "n").agg(F.max("c").alias("c"))
+    a, b = records.select(*(F.col(x).alias(f"{x}_a") for x in records.columns)), records.withColumnRenamed("root", "other")
+    found = met.join(a, "fp_a").join(b.withColumn("root", F.col("other")), "other").filter(_POSSIBLE)
+    out = materialize(_pairs(found.select(F.col("fp_a").alias("a"), F.col("fp").alias("b"))), "pairs")
     drop_scratch(index)
     drop_scratch(taken)
     return out
 
 
-#: The first of a pair isn't the larger one, and their live shingles may suffice.
-_POSSIBLE = "root_a <> root AND n_a <= n AND 4 * n_a >= 3 * n AND slack_a + slack >= 0"
+#: Two roots, and live shingles that may suffice.
+_POSSIBLE = "root_a <> root AND 4 * least(n_a, n) >= 3 * greatest(n_a, n) AND 7 * least(c_a, c) >= 3 * (n_a + n)"
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -362,18 +386,18 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     drop_scratch(entries)
     opened = records if hard else records.join(left.select("fp").distinct(), "fp", "left_semi")
     sets = materialize(set_table(named, opened, text, key), "sets")
-    links = [linked(_hub_pairs(left, "key"), sets)]
+    links = [linked(_hub_pairs(left), sets)]
     roots = components(links[0])
     placed = materialize(_rooted(left, roots), "placed")
     drop_scratch(left)
     still = _narrow(placed, records, 1)
     drop_scratch(placed)
     reached = _rooted((sets if hard else sets.join(still.select("fp").distinct(), "fp", "left_semi")).withColumn("root", F.col("fp")), roots)
-    live = materialize(reached.select("fp", "n", "root", F.explode("shingles").alias("token"), F.col("n").alias("slack")), "live")
+    live = materialize(reached.select("fp", "n", "root", F.explode("shingles").alias("token"), F.col("n").alias("c")), "live")
     drop_scratch(still)
     while True:
         live = _live(live)
-        made = linked(_hub_pairs(live, "token"), sets)
+        made = linked(_live_hub_pairs(live), sets)
         open_records, gained = live.select("fp").distinct().count(), made.count()
         if not gained:
             break
