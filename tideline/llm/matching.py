@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +34,10 @@ class Units:
     def phrase(self) -> int:
         return self.length - self.w + 1
 
+    @property
+    def block(self) -> int:
+        return max(1, self.w // 8)
+
     def of(self, data: np.ndarray, offsets: np.ndarray, family: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Values of the units of some texts, and each text's offset in units."""
         if self.kind == "words":
@@ -105,6 +110,28 @@ def anchors(docs: DataFrame, units: Units, text: str = "text", key: str = "doc_i
     return rows.mapInArrow(run, f"phrase long, {key} {kind}, pos int, back_lo short, back_hi short" + ", head long" * head)
 
 
+def by_text(anchors: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows in order of key and pos, all of a key in one partition, for whole_texts."""
+    return anchors.repartition(key).sortWithinPartitions(key, "pos")
+
+
+def whole_texts(batches):
+    """Batches, in order of their first column, cut so that all rows of a key are in one; and for each row the number of its key in the batch."""
+    rest = None
+    for b in batches:
+        b = b if rest is None else pa.Table.from_batches([rest, b]).combine_chunks().to_batches()[0]
+        if not b.num_rows:
+            continue
+        keys = b.column(0)
+        change = np.flatnonzero(pc.not_equal(keys.slice(1), keys.slice(0, len(keys) - 1)).to_numpy(zero_copy_only=False)) + 1
+        cut = int(change[-1]) if len(change) else 0
+        rest = b.slice(cut)
+        if cut:
+            yield b.slice(0, cut), np.searchsorted(change, np.arange(cut), side="right")
+    if rest is not None:
+        yield rest, np.zeros(rest.num_rows, dtype=np.int64)
+
+
 def window_rows(docs: DataFrame, ranges: DataFrame, units: Units, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(h1, h2, key, at) of the windows that start in a text's ranges."""
 
@@ -112,15 +139,12 @@ def window_rows(docs: DataFrame, ranges: DataFrame, units: Units, text: str = "t
         for b in batches:
             data, offsets = binary_parts(b.column(1))
             for r in range(b.num_rows):
-                part, local = data[offsets[r] : offsets[r + 1]], np.array([0, offsets[r + 1] - offsets[r]])
+                part = data[offsets[r] : offsets[r + 1]]
                 spans = b.column(2)[r].values
                 lo, hi = (np.asarray(x).astype(np.int64) for x in spans.flatten())
                 n = hi - lo + 1
                 at = np.unique(np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n))
-                hashes = []
-                for family in (0, 1):
-                    values, _ = units.of(part, local, family)
-                    hashes.append(_window_hashes(values, at, units.length, family))
+                hashes = [hashed_ranges(part, at, at + units.length, units, family) for family in (0, 1)]
                 keys = b.column(0).take(pa.array(np.full(len(at), r)))
                 yield pa.record_batch([signed(hashes[0]), signed(hashes[1]), keys, pa.array(at.astype(np.int32))], names=["h1", "h2", key, "at"])
 
@@ -130,14 +154,18 @@ def window_rows(docs: DataFrame, ranges: DataFrame, units: Units, text: str = "t
     return joined.mapInArrow(run, f"h1 long, h2 long, {key} {kind}, at int")
 
 
-def _window_hashes(values, at, length, family):
+def hashed_ranges(part: np.ndarray, start: np.ndarray, end: np.ndarray, units: Units, family: int) -> np.ndarray:
+    """Hashes of ranges of one text's units, by blocks of a long one; ranges are shorter than a block."""
+    values, _ = units.of(part, np.array([0, len(part)]), family)
     if len(values) <= _SEGMENT:
-        return Prefix(values, family).at(at, at + length)
-    out = np.empty(len(at), dtype=np.uint64)
+        return Prefix(values, family).at(start, end)
+    out = np.empty(len(start), dtype=np.uint64)
+    order = np.argsort(start, kind="stable")
     for s in range(0, len(values), _SEGMENT):
-        i, j = np.searchsorted(at, [s, s + _SEGMENT])
+        i, j = np.searchsorted(start[order], [s, s + _SEGMENT])
         if j > i:
-            out[i:j] = Prefix(values[s : s + _SEGMENT + length], family).at(at[i:j] - s, at[i:j] - s + length)
+            which = order[i:j]
+            out[which] = Prefix(values[s : int(end[which].max())], family).at(start[which] - s, end[which] - s)
     return out
 
 

@@ -15,15 +15,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.common import drop_scratch, materialize, table
-from tideline.llm.matching import WORDS_50, Units, anchors, union, window_rows
+from tideline.llm.matching import WORDS_50, Units, anchors, by_text, union, whole_texts, window_rows
 
-#: Texts and anchors that are parsed at once.
-_TEXTS, _ANCHORS = 256, 1 << 14
+#: Anchors whose windows are looked at at once.
+_ANCHORS = 1 << 14
 
 
 def reference_index(phrases: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -55,30 +54,29 @@ def factors(found: DataFrame, units: Units, key: str = "doc_id") -> DataFrame:
     Rows with a null phrase are factors: key's units lo..hi (hi excluded) stand in ref from ref_pos on. The others are
     ranges lo..hi of starts of windows that no factor holds whole; needs tells whether an earlier block has their phrase.
     """
-    item = F.struct("pos", "phrase", "back_lo", "back_hi", "ref_pos", (F.col("ref") < F.col(key)).alias("earlier"), F.xxhash64("ref").alias("block"), "ref")
-    per_text = found.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("a"))
+    earlier, place = (F.col("ref") < F.col(key)).alias("earlier"), F.xxhash64("ref").alias("block")
+    ordered = by_text(found.select(key, "pos", "phrase", "back_lo", "back_hi", "ref_pos", earlier, place, "ref"), key)
     kind = found.schema[key].dataType.simpleString()
     names = ["phrase", key, "needs", "lo", "hi", "ref", "ref_pos"]
 
-    def rows(keys, owner, phrase, needs, lo, hi, ref, ref_pos):
+    def rows(keys, phrase, needs, lo, hi, ref, ref_pos):
         n = len(lo)
         cols = [
-            pa.array(phrase) if phrase is not None else pa.nulls(n, pa.int64()), keys.take(pa.array(owner)), pa.array(needs),
+            pa.array(phrase) if phrase is not None else pa.nulls(n, pa.int64()), keys, pa.array(needs),
             pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), ref if ref is not None else pa.nulls(n, keys.type),
             pa.array(ref_pos.astype(np.int32)) if ref_pos is not None else pa.nulls(n, pa.int32()),
         ]
         return pa.record_batch(cols, names=names)
 
-    def block(keys, lists):
-        size = np.asarray(pc.list_value_length(lists))
-        owner = np.repeat(np.arange(len(keys)), size)
-        flat = lists.flatten()
-        pos, phrase, back_lo, back_hi, ref_pos, earlier, ref = (np.asarray(flat.field(i)) for i in range(7))
-        pos, ref_pos, earlier = pos.astype(np.int64), ref_pos.astype(np.int64), earlier.astype(bool)
+    def block(b, owner):
+        keys, ref_key = b.column(0), b.column(8)
+        pos, phrase, back_lo, back_hi, ref_pos, earlier, ref = (b.column(i).to_numpy(zero_copy_only=False) for i in range(1, 8))
+        pos, ref_pos = pos.astype(np.int64), ref_pos.astype(np.int64)
         first, last = parse(owner, pos, earlier, ref, ref_pos, units.phrase)
         start, end = pos[first], pos[last] + units.phrase
         whole = end - start >= units.length
-        yield rows(keys, owner[first][whole], None, np.zeros(int(whole.sum()), bool), start[whole], end[whole], flat.field(7).take(pa.array(first[whole])), ref_pos[first][whole])
+        at = pa.array(first[whole])
+        yield rows(keys.take(at), None, np.zeros(len(at), dtype=bool), start[whole], end[whole], ref_key.take(at), ref_pos[first][whole])
         # Factors begin and end in order, so the last one that begins no later than a window is the one that may hold it.
         far = int(pos.max(initial=0)) + 2 * units.length + 1
         begins = owner[first] * far + start
@@ -94,14 +92,13 @@ def factors(found: DataFrame, units: Units, key: str = "doc_id") -> DataFrame:
             edges = np.diff(np.pad((real & ~held).astype(np.int8), ((0, 0), (1, 1))), axis=1)
             row, lo = np.nonzero(edges == 1)
             _, hi = np.nonzero(edges == -1)
-            yield rows(keys, owner[part][row], phrase[part][row], earlier[part][row], low[row] + lo, low[row] + hi - 1, None, None)
+            yield rows(keys.take(pa.array(c + row)), phrase[part][row], earlier[part][row], low[row] + lo, low[row] + hi - 1, None, None)
 
     def run(batches):
-        for b in batches:
-            for i in range(0, b.num_rows, _TEXTS):
-                yield from block(b.column(0).slice(i, _TEXTS), b.column(1).slice(i, _TEXTS))
+        for b, owner in whole_texts(batches):
+            yield from block(b, owner)
 
-    return per_text.mapInArrow(run, f"phrase long, {key} {kind}, needs boolean, lo int, hi int, ref {kind}, ref_pos int")
+    return ordered.mapInArrow(run, f"phrase long, {key} {kind}, needs boolean, lo int, hi int, ref {kind}, ref_pos int")
 
 
 def repeated_words(docs: DataFrame, units: Units = WORDS_50, text: str = "text", key: str = "doc_id") -> DataFrame:

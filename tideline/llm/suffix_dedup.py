@@ -9,8 +9,10 @@ the next batch comes, levels of equal size merge, so that an entry is rewritten
 Among the suffixes with one long match, in the order of their places, each is compared with its neighbours: the first of
 all (the first with the last), and the one before it in its own text (the first there with the next). Where neighbours
 stay at one distance from anchor to anchor, the match goes on, which gives its length; matches of 400 bytes or more go.
-Only at the ends of matches can another suffix share a string that no neighbour does: the strings there are compared
-by 128-bit hashes, with one place of each of those inside matches.
+Only at the ends of matches can another suffix share a string that no neighbour does. The strings there are taken in
+blocks of 16 neighbouring starts: where what all of a block have in common stands nowhere else, none of them does; where
+all of it together does, each of them does; the others are compared one by one. All this goes by 128-bit hashes, with
+one place of each string inside matches.
 
 Null texts are empty; texts under 400 bytes and rows without a key keep everything. Repeated rows repeat each other's
 strings; rows of one key must have one text. A very long text is indexed and matched in one task, by blocks. Other columns
@@ -28,13 +30,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm.common import drop_scratch, materialize, scratch_dir, shuffle_cleanup, table
-from tideline.llm.hashing import binary_parts
-from tideline.llm.matching import BYTES_400, Units, anchors, union, window_rows
+from tideline.llm.hashing import binary_parts, signed
+from tideline.llm.matching import BYTES_400, Units, anchors, by_text, hashed_ranges, union, whole_texts, window_rows
 
 #: Bytes of a batch, and the most batches.
 BATCH, MOST_BATCHES = 128 << 20, 32
 _BUCKET_BYTES = 64 << 20
-_TEXTS, _ANCHORS = 256, 1 << 12
+#: Anchors whose strings are looked at at once.
+_ANCHORS = 1 << 12
 
 
 class SuffixIndex:
@@ -141,23 +144,22 @@ def matches(candidates: DataFrame, units: Units, key: str = "doc_id") -> DataFra
     """The matches of every text's suffixes with their neighbours, and what these don't decide.
 
     Rows with a null phrase are matches, the bytes lo..hi (hi excluded), at the suffix and at its neighbour. The others are
-    ranges lo..hi of starts of strings, by anchor, that are to be compared; needs tells whether some string there is in no
-    match. Left out are strings in a match with the first place, or with an earlier one of the same text: these stand
-    there again.
+    blocks of strings to be compared: of those that start so many bytes before pos, the block-th group, in lo..hi; needs
+    tells whether some string there is in no match. Left out are strings in a match with the first place, or with an
+    earlier one of the same text: these stand there again.
     """
-    item = F.struct("pos", "phrase", "back_lo", "back_hi", "near_pos", "near", "lead", "near_key")
-    per_text = with_neighbours(candidates, key).groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("a"))
+    b = units.block
+    ordered = by_text(with_neighbours(candidates, key).select(key, "pos", "phrase", "back_lo", "back_hi", "near_pos", "near", "lead", "near_key"), key)
     kind = candidates.schema[key].dataType.simpleString()
 
-    def rows(keys, phrase, needs, lo, hi):
-        cols = [pa.nulls(len(lo), pa.int64()) if phrase is None else pa.array(phrase), keys, pa.array(needs), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))]
-        return pa.record_batch(cols, names=["phrase", key, "needs", "lo", "hi"])
+    def rows(keys, phrase, needs, lo, hi, pos, block):
+        cols = [pa.nulls(len(lo), pa.int64()) if phrase is None else pa.array(phrase), keys, pa.array(needs), *(pa.array(x.astype(np.int32)) for x in (lo, hi, pos, block))]
+        return pa.record_batch(cols, names=["phrase", key, "needs", "lo", "hi", "pos", "block"])
 
-    def block(keys, lists):
-        owner = np.repeat(np.arange(len(keys)), np.asarray(pc.list_value_length(lists)))
-        flat = lists.flatten()
-        pos, phrase, back_lo, back_hi, near_pos, near, lead = (np.asarray(flat.field(i)) for i in range(7))
-        pos, near_pos, lead = pos.astype(np.int64), near_pos.astype(np.int64), lead.astype(bool)
+    def block(batch, owner):
+        keys = batch.column(0)
+        pos, phrase, back_lo, back_hi, near_pos, near, lead = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 8))
+        pos, near_pos = pos.astype(np.int64), near_pos.astype(np.int64)
         before, after = own_neighbours(owner, phrase, pos)
         zero = np.zeros(len(pos), dtype=np.int64)
         again = [match_lengths(owner, pos, ~lead, near, near_pos, units.phrase), match_lengths(owner, pos, before >= 0, zero, pos[before], units.phrase)]
@@ -166,29 +168,52 @@ def matches(candidates: DataFrame, units: Units, key: str = "doc_id") -> DataFra
             whole = end - start >= units.length
             of, start, end, first = (x[whole] for x in (of, start, end, first))
             shift = pos[first] - (near_pos[first] if i in (0, 2) else pos[(before if i == 1 else after)[first]])
-            there = flat.field(7).take(pa.array(first)) if i in (0, 2) else keys.take(pa.array(of))
-            none = np.zeros(len(of), dtype=bool)
-            yield rows(keys.take(pa.array(of)), None, none, start, end)
-            yield rows(there, None, none, start - shift, end - shift)
+            here = keys.take(pa.array(first))
+            there = batch.column(8).take(pa.array(first)) if i in (0, 2) else here
+            none, zeros = np.zeros(len(of), dtype=bool), np.zeros(len(of))
+            yield rows(here, None, none, start, end, zeros, zeros)
+            yield rows(there, None, none, start - shift, end - shift, zeros, zeros)
         far = int(pos.max(initial=0)) + 2 * units.length + 1
         for c in range(0, len(pos), _ANCHORS):
             part = slice(c, c + _ANCHORS)
-            low, high = (pos - back_lo)[part], (pos - back_hi)[part]
-            at = low[:, None] + np.arange(units.w)
-            real = at <= high[:, None]
+            at = pos[part][:, None] - np.arange(units.w)
+            real = (np.arange(units.w) <= back_lo[part][:, None]) & (np.arange(units.w) >= back_hi[part][:, None])
             skip = np.logical_or.reduce([_held(m, owner[part], at, units.length, far) for m in again])
             done = np.logical_or.reduce([skip, *(_held(m, owner[part], at, units.length, far) for m in kept)])
-            edges = np.diff(np.pad((real & ~skip).astype(np.int8), ((0, 0), (1, 1))), axis=1)
-            row, lo = np.nonzero(edges == 1)
-            _, hi = np.nonzero(edges == -1)
-            yield rows(keys.take(pa.array(owner[part][row])), phrase[part][row], (real & ~done).any(axis=1)[row], low[row] + lo, low[row] + hi - 1)
+            left = (real & ~skip).reshape(len(at), -1, b)
+            row, group = np.nonzero(left.any(axis=2))
+            mine, here = left[row, group], pos[part][row] - group * b
+            needs = (real & ~done).reshape(left.shape)[row, group].any(axis=1)
+            yield rows(keys.take(pa.array(c + row)), phrase[part][row], needs, here - (b - 1 - mine[:, ::-1].argmax(axis=1)), here - mine.argmax(axis=1), pos[part][row], group)
 
     def run(batches):
-        for b in batches:
-            for i in range(0, b.num_rows, _TEXTS):
-                yield from block(b.column(0).slice(i, _TEXTS), b.column(1).slice(i, _TEXTS))
+        for x, owner in whole_texts(batches):
+            yield from block(x, owner)
 
-    return per_text.mapInArrow(run, f"phrase long, {key} {kind}, needs boolean, lo int, hi int")
+    return ordered.mapInArrow(run, f"phrase long, {key} {kind}, needs boolean, lo int, hi int, pos int, block int")
+
+
+def block_hashes(docs: DataFrame, blocks: DataFrame, units: Units, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """blocks (key, pos, block, lo, hi) with start, where they begin, and hashes: c1, c2 of what all strings of the block share, u1, u2 of all of it (null beyond the text)."""
+    b = units.block
+    kind = docs.schema[key].dataType.simpleString()
+    names = ["c1", "c2", "u1", "u2", key, "start", "lo", "hi"]
+
+    def run(batches):
+        for x in batches:
+            data, offsets = binary_parts(x.column(1))
+            for r in range(x.num_rows):
+                part = data[offsets[r] : offsets[r + 1]]
+                pos, group, lo, hi = (np.asarray(c).astype(np.int64) for c in x.column(2)[r].values.flatten())
+                first = pos - group * b
+                inside = (first - (b - 1) >= 0) & (first + units.length <= len(part))
+                out = [signed(hashed_ranges(part, first, first - (b - 1) + units.length, units, f)) for f in (0, 1)]
+                out += [pc.if_else(pa.array(inside), signed(hashed_ranges(part, np.maximum(first - (b - 1), 0), np.minimum(first + units.length, len(part)), units, f)), None) for f in (0, 1)]
+                keys = x.column(0).take(pa.array(np.full(len(pos), r)))
+                yield pa.record_batch([*out, keys, *(pa.array(v.astype(np.int32)) for v in (first - (b - 1), lo, hi))], names=names)
+
+    per_text = blocks.groupBy(key).agg(F.collect_list(F.struct("pos", "block", "lo", "hi")).alias("blocks"))
+    return docs.select(key, text).join(per_text, key).mapInArrow(run, f"c1 long, c2 long, u1 long, u2 long, {key} {kind}, start int, lo int, hi int")
 
 
 def repeated_bytes(docs: DataFrame, units: Units = BYTES_400, batches: int | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -201,17 +226,29 @@ def repeated_bytes(docs: DataFrame, units: Units = BYTES_400, batches: int | Non
     drop_scratch(suffixes)
     found = materialize(matches(candidates, units, key), "found")
     drop_scratch(candidates)
-    ranges = found.filter("phrase IS NOT NULL")
-    wanted = ranges.filter("needs").select("phrase").distinct()
-    strings = materialize(window_rows(docs, ranges.join(wanted, "phrase", "left_semi"), units, text, key), "strings")
+    blocks = found.filter("phrase IS NOT NULL")
+    wanted = blocks.filter("needs").select("phrase").distinct()
+    hashed = materialize(block_hashes(docs, blocks.join(wanted, "phrase", "left_semi"), units, text, key), "blocks")
+    place = F.struct(key, "start")
+    ends = [F.min(place).alias("_first"), F.max(place).alias("_last")]
+    whole = hashed.filter("u1 IS NOT NULL").groupBy("u1", "u2").agg(*ends).filter("_first < _last").drop("_last")
+    told = materialize(hashed.join(whole, ["u1", "u2"], "left").select("c1", "c2", key, "start", "lo", "hi", F.col("_first").isNotNull().alias("whole"), (F.col("_first") != place).alias("again")), "told")
+    drop_scratch(hashed)
+    mixed = told.groupBy("c1", "c2").agg(*ends, F.max(~F.col("whole")).alias("_some")).filter("_first < _last AND _some").select("c1", "c2")
+    ranges = told.filter("NOT coalesce(again, false)").join(mixed, ["c1", "c2"], "left_semi")
+    strings = materialize(window_rows(docs, ranges, units, text, key), "strings")
     twice = strings.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
-    single = strings.join(twice, ["h1", "h2"], "left_semi").select(key, F.col("at").alias("s"), (F.col("at") + units.length).alias("e"))
-    # A text has no more starts of matches than anchors, however many others match it.
-    whole = found.filter("phrase IS NULL").groupBy(key, F.col("lo").alias("s")).agg(F.max("hi").alias("e"))
-    spans = materialize(whole.unionByName(single).groupBy(key).agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
-    drop_scratch(found)
-    drop_scratch(strings)
-    return spans
+    spans = [
+        found.filter("phrase IS NULL").select(key, F.col("lo").alias("s"), F.col("hi").alias("e")),
+        told.filter("whole").select(key, F.col("start").alias("s"), (F.col("start") + (units.length + units.block - 1)).alias("e")),
+        strings.join(twice, ["h1", "h2"], "left_semi").select(key, F.col("at").alias("s"), (F.col("at") + units.length).alias("e")),
+    ]
+    # By start: a text has no more of them than bytes, however many others match it.
+    longest = spans[0].unionByName(spans[1]).unionByName(spans[2]).groupBy(key, "s").agg(F.max("e").alias("e"))
+    out = materialize(longest.groupBy(key).agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
+    for used in (found, told, strings):
+        drop_scratch(used)
+    return out
 
 
 def dedup_bytes(docs: DataFrame, units: Units = BYTES_400, batches: int | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
