@@ -71,3 +71,20 @@ def words(text):
 def let(value, body):
     """Column: body(value) with value evaluated once per row, even where body uses it inside a lambda."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores in front where a column of df has them already."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        out.append(n)
+    return out
+
+
+def others(df: DataFrame, *names: str) -> list[str]:
+    """The columns of df but for those of these names, which an operator replaces."""
+    gone = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in gone]
