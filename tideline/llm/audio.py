@@ -2,10 +2,13 @@
 
 ``to_wav`` stores 8-bit samples losslessly. ``audio_features`` reads a stored file back, resamples it by a polyphase
 filter bank, takes overlapped log-mel frames, marks active spans by energy with hysteresis, and cuts the frames into
-patches of one shape: an Arrow IPC stream per file holds the tensors and the start and end second of each.
+patches of one shape: an Arrow IPC stream per file holds the tensors and the start and end second of each. The active
+spans are kept with their start and end seconds too.
 
-Long files go through fixed blocks, so memory doesn't follow their length. Equal bytes give equal values. A null text
-is an empty one, whose payload is 64 zero bytes. An empty table gives an empty result.
+Samples go through blocks of a fixed number of frames; beside a file's bytes, only its frames are held whole. Files go
+through a task one by one, in groups of a bounded size. Equal bytes give equal values. A null text is an empty one, whose
+payload is 64 zero bytes. Extra columns stay; those with the name of a result are replaced. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -19,15 +22,18 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import materialize
+from tideline.llm.common import materialize, others
+from tideline.llm.hashing import blocks
 
 RATE, UP, DOWN = 16_000, 1, 2
 FRAME, HOP, MELS, PATCH = 256, 128, 32, 32
 _BLOCK = 1 << 16
-FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, frames int, segments int, active double, feature string, tensor binary"
+_FRAMES, _FILES = 4096, 4 << 20
+FIELDS = ("payload_bytes long", "payload_sha256 string", "tail_crc32 long", "frames int", "segments int", "spans array<struct<start_s:double,end_s:double>>", "active double", "feature string", "tensor binary")
 
 
 def to_wav(payload: bytes, rate: int = RATE) -> bytes:
@@ -123,11 +129,27 @@ def read_tensors(stored: bytes) -> pa.Table:
     return pa.ipc.open_stream(stored).read_all()
 
 
+def mel_frames(payload: bytes, rate: int) -> np.ndarray:
+    """The log-mel frames of the resampled samples, block by block; the blocks' ends are those of the whole."""
+    n_in = len(payload)
+    n_out = -(-n_in * UP // DOWN)
+    n = max(1, -(-max(n_out - FRAME, 0) // HOP) + 1)
+    out, margin = [], 32 * DOWN
+    for f in range(0, n, _FRAMES):
+        last = min(f + _FRAMES, n)
+        low, high = f * HOP, min((last - 1) * HOP + FRAME, n_out)
+        a, b = max(0, low * DOWN // UP - margin), min(n_in, -(-high * DOWN // UP) + margin)
+        samples = (np.frombuffer(payload, dtype=np.uint8, count=b - a, offset=a).astype(np.float32) - 128) / 128
+        part = resample(samples)[low - a * UP // DOWN : high - a * UP // DOWN]
+        out.append(log_mel(part, rate * UP // DOWN))
+    return np.concatenate(out)
+
+
 def features_of(media: bytes, with_tensors: bool) -> dict:
     payload, rate = from_wav(media)
-    samples = (np.frombuffer(payload, dtype=np.uint8).astype(np.float32) - 128) / 128
-    mel = log_mel(resample(samples), rate * UP // DOWN)
+    mel = mel_frames(payload, rate)
     spans = active_spans(mel.mean(axis=1))
+    step = HOP / (rate * UP // DOWN)
     active = int((spans[:, 1] - spans[:, 0]).sum()) / len(mel)
     bands = mel.mean(axis=0, dtype=np.float64).reshape(8, -1).mean(axis=1)
     return {
@@ -136,6 +158,7 @@ def features_of(media: bytes, with_tensors: bool) -> dict:
         "tail_crc32": zlib.crc32(payload[-64:]),
         "frames": len(mel),
         "segments": len(spans),
+        "spans": [{"start_s": a * step, "end_s": b * step} for a, b in spans.tolist()],
         "active": active,
         "feature": f"{len(mel)} frames, {len(spans)} spans, {active:.3f} active, bands " + " ".join(f"{b:.2f}" for b in bands),
         "tensor": tensors(mel, rate * UP // DOWN) if with_tensors else None,
@@ -153,22 +176,29 @@ def store_media(docs: DataFrame, text: str = "text") -> DataFrame:
 
         return pa.array([one(t) for t in texts.cast(pa.large_binary())], pa.binary())
 
-    keep = [c for c in docs.columns if c != text]
     size = F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long")
-    return docs.select(*keep, size.alias("n_bytes"), wav(F.col(text)).alias("media"))
+    return docs.select(*others(docs, text, "n_bytes", "media"), size.alias("n_bytes"), wav(F.col(text)).alias("media"))
 
 
 def audio_features(media: DataFrame, with_tensors: bool = True) -> DataFrame:
-    """media with the fields of FEATURES, from its column of stored files."""
-
-    @F.arrow_udf(f"struct<{', '.join(f.strip().replace(' ', ':', 1) for f in FEATURES.split(','))}>")
-    def features(files: pa.Array) -> pa.Array:
-        made = [features_of(f.as_py(), with_tensors) for f in files]
-        kinds = {"long": pa.int64(), "string": pa.string(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary()}
-        fields = [pa.field(n, kinds[k]) for n, k in (f.split() for f in FEATURES.split(","))]
-        return pa.StructArray.from_arrays([pa.array([m[f.name] for m in made], f.type) for f in fields], fields=fields)
-
-    return media.withColumn("_f", features(F.col("media"))).select(*media.columns, "_f.*")
+    """media with the fields of FIELDS, from its column of stored files."""
+    names = [f.split()[0] for f in FIELDS]
+    kept = media.select(*others(media, *names))
+    at = kept.columns.index("media")
+    spans = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))
+    kinds = dict(zip(names, (pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int32(), spans, pa.float64(), pa.string(), pa.binary()), strict=True))
+
+    def run(batches):
+        for b in batches:
+            files = b.column(at)
+            size = np.cumsum([0, *pc.fill_null(pc.binary_length(files), 0).to_numpy(zero_copy_only=False).tolist()])
+            for i, j in blocks(size, _FILES):
+                made = [features_of(f.as_py() or to_wav(bytes(64)), with_tensors) for f in files.slice(i, j - i)]
+                columns = [pa.array([m[n] for m in made], k) for n, k in kinds.items()]
+                yield pa.RecordBatch.from_arrays([*b.slice(i, j - i).columns, *columns], names=[*b.schema.names, *names])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields), *FIELDS])
+    return kept.mapInArrow(run, schema)
 
 
 def op6(spark, sf_dir):
@@ -185,5 +215,6 @@ def op6(spark, sf_dir):
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         "feature",
-        F.octet_length("tensor").cast("long").alias("tensor_bytes"),
+        "spans",
+        "tensor",
     )

@@ -2,15 +2,17 @@
 
 A classifier learnt from a labelled table gives every document posteriors over domains. With t the tokens of a document
 and p its posteriors, nonnegative rates w minimise sum over domains of (sum(w t p) - target)^2 / target
-+ ridge * sum(t (w - 1)^2). The optimum is w = max(0, 1 - p . lam) with one number a domain in lam, found by Newton's
-method on the convex dual: each step sums K gradient and K x K curvature numbers over all documents in Spark. A rate
++ ridge * sum(t (w - 1)^2), by projected gradient: w = max(0, 1 - p . lam), where lam, one number a domain, collects the
+steps. Each step sums the K gradient numbers over all documents in Spark, and the K x K Gram matrix of those whose rate
+isn't 0, by which it is scaled (Newton's method on the dual). A rate
 depends on the posteriors alone, so one very long text doesn't slow or stop the others. A fit that hasn't reached the
 optimum raises an error; targets that no nonnegative rates can meet (all posteriors equal, say) give a warning.
 
 Null and empty texts have no tokens: their rate is 1. Labels that are null in any field, and documents without a label,
 don't teach. Documents without an id count like all others; the hash that draws their copies is that of the text, so
-that equal texts without an id share a draw. Without labels all posteriors are equal. Repeated rows count each and get the same rate. An empty table
-gives an empty result.
+that equal texts without an id share a draw. Without labels all posteriors are equal. Repeated rows count each and get
+the same rate. A very long text counts with all its words. Columns to keep may have any names but those of the results.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import materialize, table
+from tideline.llm.common import fresh, materialize, others, table
 from tideline.llm.quality_classifier import STATS, Features, text_stats
 
 DOMAINS = ("clean", "junk", "toxic")
@@ -130,21 +132,8 @@ def memberships(docs: DataFrame, model: DomainModel) -> DataFrame:
         post = pa.array(list(model.posteriors(x)), pa.list_(pa.float64()))
         return pa.StructArray.from_arrays([pa.array([len(t.split()) for t in raw], pa.int64()), post], names=["tokens", "post"])
 
-    return docs.withColumn("_m", member(F.col("text"))).select(*docs.columns, "_m.*")
-
-
-def rate(residuals: list[list[float]], steps: list[float], ridge: float):
-    """Column: a document's rate after the given scaled residuals, by one projected step each from 1."""
-    if not residuals:
-        return F.lit(1.0)
-    path = F.array(*[F.array(*[F.lit(float(x)) for x in r]) for r in residuals])
-    mass = [F.col("tokens") * F.get("post", F.lit(i)) * s for i, s in enumerate(steps)]
-
-    def step(w, r):
-        slope = sum((m * F.get(r, F.lit(i)) for i, m in enumerate(mass)), F.lit(0.0))
-        return F.greatest(F.lit(0.0), w - slope - ridge * (w - 1.0))
-
-    return F.aggregate(path, F.lit(1.0), step)
+    (m,) = fresh(docs, "_m")
+    return docs.withColumn(m, member(F.col("text"))).select(*others(docs, "tokens", "post"), f"{m}.*")
 
 
 def _sums(members: DataFrame, columns: list) -> np.ndarray:
@@ -156,8 +145,10 @@ def rate_by_tokens(lam: np.ndarray):
     return F.greatest(F.lit(0.0), F.lit(1.0) - sum((F.get("post", F.lit(i)) * float(x) for i, x in enumerate(lam)), F.lit(0.0)))
 
 
-def solve_rates(members: DataFrame, weights: dict[str, float] = WEIGHTS, ridge: float = 1e-4, most_steps: int = 100, tolerance: float = 2e-3):
-    """Column of the rates at the optimum. The anchor, the first domain, keeps its expected total; others come down to their share.
+def solve_rates(members: DataFrame, weights: dict[str, float] = WEIGHTS, ridge: float = 1e-4, most_steps: int = 100, tolerance: float = 2e-3, upsample: bool = True):
+    """Column of the rates at the optimum. The anchor, the first domain, keeps its expected total; others come to their share of it.
+
+    With ``upsample`` off, shares are upper bounds: a domain that has less keeps what it has.
 
     At the optimum the miss of a domain is ridge * target * lam. Newton's steps are halved until the dual falls enough.
     """
@@ -167,7 +158,8 @@ def solve_rates(members: DataFrame, weights: dict[str, float] = WEIGHTS, ridge:
     if not total.sum():
         return F.lit(1.0)
     share = np.array([weights[d] for d in DOMAINS])
-    target = np.minimum(total, share * total[0] / share[0])
+    target = np.where(total > 0, share * total[0] / share[0], 0.0)
+    target = target if upsample and total[0] else np.minimum(total, target)
     slack = ridge * np.maximum(target, 1e-9 * total.sum())
     pairs = [p * F.get("post", F.lit(j)) for p in part for j in range(k)]
 
@@ -193,30 +185,7 @@ def solve_rates(members: DataFrame, weights: dict[str, float] = WEIGHTS, ridge:
     return rate_by_tokens(lam)
 
 
-def fit_rates(members: DataFrame, weights: dict[str, float] = WEIGHTS, ridge: float = 1e-4, iterations: int = 25, tolerance: float = 2e-3):
-    """Column of the rates after at most so many plain gradient steps, converged or not; mix() takes solve_rates instead."""
-    k = len(DOMAINS)
-    part = [F.col("tokens") * F.get("post", F.lit(i)) for i in range(k)]
-    s = members.agg(*[F.sum(p) for p in part], *[F.sum(p * q) for p in part for q in part]).first()
-    total = np.array([x or 0.0 for x in s[:k]])
-    gram = np.array([x or 0.0 for x in s[k:]]).reshape(k, k)
-    if not total.sum():
-        return F.lit(1.0)
-    share = np.array([weights[d] for d in DOMAINS])
-    target = np.minimum(total, share * total[0] / share[0])
-    norm = 1 / np.sqrt(np.maximum(np.diag(gram), 1e-12))
-    pace = 1 / np.linalg.eigvalsh(gram * norm[:, None] * norm).max()
-    steps, residuals = (pace * norm).tolist(), []
-    for _ in range(iterations):
-        w = rate(residuals, steps, ridge)
-        now = np.array([x or 0.0 for x in members.agg(*[F.sum(w * p) for p in part]).first()])
-        if np.abs(now - target).max() <= tolerance * target.sum() / k:
-            break
-        residuals.append(((now - target) * norm).tolist())
-    return rate(residuals, steps, ridge)
-
-
-def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, keep: tuple[str, ...] = ("doc_id",), upsample: bool = True) -> DataFrame:
     """The columns keep of docs with tokens, post, rate and copies: how often the mix takes the document, by its rate and a hash.
 
     copies is the rate rounded up or down by the hash of the id, or of the text where the id is null, so that the
@@ -226,7 +195,7 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS,
     seed = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.lit("mix"))).otherwise(F.xxhash64("text", F.lit("mix")))
     keyed = docs.select(*dict.fromkeys([*keep, "doc_id", "text"])).withColumn("_seed", seed)
     members = materialize(memberships(keyed, model).select(*keep, "tokens", "post", "_seed"), "members")
-    fitted = F.when(F.col("tokens") == 0, 1.0).otherwise(solve_rates(members, weights))
+    fitted = F.when(F.col("tokens") == 0, 1.0).otherwise(solve_rates(members, weights, upsample=upsample))
     draw = F.pmod(F.col("_seed"), F.lit(1_000_000)) / 1_000_000
     rated = members.withColumn("rate", fitted).withColumn("copies", F.floor(F.col("rate") + draw).cast("int"))
     return rated.drop("_seed")

@@ -6,7 +6,8 @@ the driver solves one system of fixed size. A second part of the labelled rows c
 adjacent violators over fixed bins. Labels are read from the fitting rows alone; score inputs come from the text alone.
 
 Null and empty texts have the statistics of an empty text and get a score. Labelled rows whose label is null are left
-out; repeated ones count each. Without labelled rows every score is 0.5. An empty table gives an empty result.
+out; repeated ones count each. Without labelled rows every score is 0.5. A very long text is read whole, in one task. Extra
+columns stay; one with the name of the score is replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations

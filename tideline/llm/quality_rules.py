@@ -5,7 +5,8 @@ fitted to the failure rates of all hosts by the method of moments, each host's r
 whose shrunk rate is over ``max_rate`` lose all their documents.
 
 Nulls: a null text has no words (so it fails the base rule); a null host has no pooled verdict and its documents keep
-the base one. An empty table gives an empty result. Repeated rows are counted as often as they occur.
+the base one. An empty table gives an empty result. Repeated rows are counted as often as they occur. A very long text is
+one row of arrays of its words and window hashes. Extra columns stay; those with the name of a result are replaced.
 """
 
 from __future__ import annotations
@@ -13,10 +14,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import let, materialize, words
+from tideline.llm.common import fresh, let, materialize, others, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def _repeat_words(tokens):
@@ -62,9 +64,10 @@ def rule_counts(docs: DataFrame, text: str = "text") -> DataFrame:
             _repeat_words(w).alias("n_repeat_words"),
         )
 
-    keep = [c for c in docs.columns if c != text]
-    out = docs.select(*keep, let(words(F.col(text)), counts).alias("_rules"))
-    out = out.select(*keep, "_rules.*")
+    keep = others(docs, text, *COUNTS, "base_failed")
+    (rules,) = fresh(docs, "_rules")
+    out = docs.select(*keep, let(words(F.col(text)), counts).alias(rules))
+    out = out.select(*keep, f"{rules}.*")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return out.withColumn("base_failed", failed)
 
@@ -93,9 +96,10 @@ def beta_prior(mean: float | None, var: float | None, inv: float | None) -> tupl
 
 def host_rules(docs: DataFrame, text: str = "text", host: str = "source", max_rate: float = 0.5) -> DataFrame:
     """rule_counts with host_rate and kept: not base_failed, and the host's shrunk failure rate is at most max_rate."""
-    counts = materialize(rule_counts(docs, text), "rules")
-    rates = host_rates(counts, host).select(F.col(host).alias("_host"), F.col("rate").alias("host_rate"))
-    out = counts.join(rates, F.col(host) == F.col("_host"), "left").drop("_host")
+    counts = materialize(rule_counts(docs.select(*others(docs, "host_rate", "kept")), text), "rules")
+    (named,) = fresh(counts, "_host")
+    rates = host_rates(counts, host).select(F.col(host).alias(named), F.col("rate").alias("host_rate"))
+    out = counts.join(rates, F.col(host) == F.col(named), "left").drop(named)
     return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("host_rate"), F.lit(0.0)) <= max_rate))
 
 
