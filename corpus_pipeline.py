@@ -43,9 +43,10 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it, those without an id too."""
-    taken = mix(docs, table(spark, sf_dir, "labels"), keep=tuple(docs.columns)).filter("copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
+    """Every document as often as the mix takes it, those without an id too. No domain is raised: the texts are deduplicated by now."""
+    packed = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+    taken = mix(packed, table(spark, sf_dir, "labels"), keep=("row",), upsample=False).filter("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
