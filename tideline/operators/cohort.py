@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tideline.config import DEFAULT, UNIT, Thresholds
 from tideline.functions import timefn
+from tideline.operators.joins import global_rank
 
 SHARES = ["pct_chair", "pct_bed", "pct_ambulatory", "pct_not_located"]
 COUNTERS = ["num_alarms", "num_nudges", "num_announcements"]
@@ -29,12 +30,11 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
 def anchor_events(events: DataFrame, site: int, zone: str = DEFAULT.time_zone) -> DataFrame:
     """B2: events of a site with full unit keys, their UTC stamp from the wall clock, and a deterministic id.
 
-    The id ranks all events. Anchors are few beside signals; the rank is the one global sort of the engine.
+    The id ranks all events, by sorted partitions.
     """
     kept = events.filter((F.col("site_id") == site) & F.col("ts_local").isNotNull() & F.col("division_id").isNotNull() & F.col("monitor_id").isNotNull())
     kept = kept.withColumn("ts_utc", timefn.to_utc(F.col("ts_local"), zone))
-    order = Window.orderBy("ts_utc", "site_id", "division_id", F.col("subject_id").asc_nulls_first(), "monitor_id", "summary")
-    return kept.withColumn("anchor_id", F.row_number().over(order).cast("long"))
+    return global_rank(kept, ["ts_utc", "site_id", "division_id", F.col("subject_id").asc_nulls_first(), "monitor_id", "summary"], "anchor_id")
 
 
 def key_dimensions(events: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -55,20 +56,24 @@ def response_summary(windows: DataFrame) -> DataFrame:
     return g.select("n", "response_rate", *[F.get("q", F.lit(i)).alias(f"p{p}") for i, p in enumerate((50, 75, 90))])
 
 
-def subject_day_hour(events: DataFrame, ts: str) -> DataFrame:
-    """Events of a unit by weekday and hour, with the share in the unit."""
-    g = events.groupBy("monitor_id", timefn.day_name(F.col(ts)).alias("weekday"), F.hour(ts).alias("hour")).agg(F.count(F.lit(1)).alias("n"))
-    return g.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("monitor_id")))
+def subject_day_hour(events: DataFrame, ts: str, label: str = "label") -> DataFrame:
+    """Events of a subject by local date, hour and state, and their share of the subject's hour. Unknown keys are keys too."""
+    keys = ["subject_id", "date", "hour"]
+    g = events.groupBy("subject_id", F.to_date(ts).alias("date"), F.hour(ts).alias("hour"), F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    g = g.withColumn("bucket_total", F.sum("n").over(Window.partitionBy(*keys)))
+    return g.withColumn("pct_in_bucket", F.round(F.col("n") / F.col("bucket_total"), 4))
 
 
-def circular_kde(events: DataFrame, hour, weight, by: str, bandwidth: float = 1.5) -> DataFrame:
-    """Gaussian density on 24 hour centres that wraps round midnight. Equal hours are summed first, so the 72 kernels meet distinct hours only."""
-    g = events.groupBy(F.col(by), hour.cast("double").alias("h")).agg(F.sum(weight).alias("w"))
-    centre = F.explode(F.sequence(F.lit(0), F.lit(23))).alias("centre")
-    x = g.select(by, "h", "w", centre)
+def circular_kde(events: DataFrame, hour, weight, by: str, bandwidth: float = 1.35) -> DataFrame:
+    """Gaussian density at 24 hour centres that wraps round midnight, over the total weight; 0 without any. Only positive weights have a kernel.
+
+    Equal hours are summed first, so the 72 kernels meet distinct hours only.
+    """
+    g = events.groupBy(F.col(by), hour.cast("double").alias("h")).agg(F.sum(F.greatest(weight, F.lit(0.0))).alias("w"), F.sum(weight).alias("t"))
+    x = g.select(by, "h", "w", "t", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("centre"))
     kernel = reduce(lambda a, b: a + b, [F.exp(-0.5 * ((F.col("h") + s - F.col("centre")) / bandwidth) ** 2) for s in (-24, 0, 24)])
-    d = x.groupBy(by, "centre").agg(F.sum(F.col("w") * kernel).alias("mass"))
-    return d.withColumn("density", F.col("mass") / F.sum("mass").over(Window.partitionBy(by))).drop("mass")
+    d = x.groupBy(by, "centre").agg(F.sum(F.col("w") * kernel).alias("mass"), F.sum("t").alias("t"))
+    return d.select(by, "centre", F.when(F.col("t") > 0, F.col("mass") / (F.col("t") * bandwidth * math.sqrt(2 * math.pi))).otherwise(0.0).alias("density"))
 
 
 def weekday_daypart_matrix(events: DataFrame, ts: str) -> DataFrame:

@@ -13,16 +13,16 @@ from pyspark.sql import functions as F
 
 from tideline.config import DEFAULT
 from tideline.operators import rates as R
+from tideline.sources.staging import stage
 
-FORMULA = "fall_count ~ position + division_id + daypart + day_of_week + calendar_quarter"
 RESULT = "label string, rr double, ci_lower double, ci_upper double, p_value double, n_events double, exposure_hours double, family string, se_type string, deviance_df double, pearson_df double, notes string"
 
 
 def _design(cells: DataFrame) -> tuple[DataFrame, list[str]]:
     """Features with the alphabetically first level of each factor as the reference, and their names; constant factors drop out."""
-    cells = cells.withColumn("division_id", F.col("division_id").cast("string")).withColumn("position", F.when(F.col("position") == "chair", "a_chair").otherwise("b_bed"))
+    cells = cells.withColumn("division_id", F.col("division_id").cast("string"))
     factors = [c for c in ("division_id", "daypart", "day_of_week", "calendar_quarter") if cells.select(c).distinct().limit(2).count() > 1]
-    cells = cells.withColumn("position", F.when(F.col("position") == "a_chair", "z_chair").otherwise("b_bed"))
+    cells = cells.withColumn("position", F.when(F.col("position") == "chair", "z_chair").otherwise("b_bed"))
     formula = RFormula(formula="fall_count ~ " + " + ".join(["position", *factors]), stringIndexerOrderType="alphabetDesc", featuresCol="features", labelCol="y")
     made = formula.fit(cells).transform(cells).withColumn("offset", F.log("exposure_hours"))
     attrs = made.schema["features"].metadata["ml_attr"]["attrs"]
@@ -93,6 +93,16 @@ def fit_rate_model(cells: DataFrame, label: str, se_type: str = "default", max_i
     return spark.createDataFrame([row], RESULT)
 
 
+def subset_models(base: DataFrame) -> DataFrame:
+    """The model refitted on the cells of every subset of the sensitivity analysis."""
+    tagged = stage(base.withColumn("subset", F.explode(R.subset_of())), "subsets")
+    out = None
+    for (name,) in sorted(tagged.select("subset").distinct().collect()):  # ten subsets at most
+        fit = fit_rate_model(R.position_cells(tagged.filter(F.col("subset") == name)), name)
+        out = fit if out is None else out.unionByName(fit)
+    return out
+
+
 def _information(design: DataFrame, beta: np.ndarray) -> np.ndarray:
     x = F.concat(vector_to_array("features"), F.array(F.lit(1.0)))
     mu = F.exp(F.col("offset") + sum((F.get("x", F.lit(i)) * float(b) for i, b in enumerate(beta)), F.lit(0.0)))

@@ -275,10 +275,28 @@ def response_metrics(scored: DataFrame) -> DataFrame:
     return wide.unpivot([], list(wide.columns), "metric", "value")
 
 
-def population_stats(truth: DataFrame) -> DataFrame:
-    """B107: instances, sequences and share by truth label."""
-    g = truth.groupBy("truth_label").agg(F.count(F.lit(1)).alias("instances"), F.count_distinct("sequence_id").alias("sequences"), F.count_if("relabelled").alias("relabelled"))
-    return g.withColumn("share", F.col("instances") / F.sum("instances").over(Window.partitionBy()))
+def sequences(truth: DataFrame) -> DataFrame:
+    """A row per sequence: its instances, whether any is off screen, and whether it is scored for location and for response."""
+    g = truth.groupBy("sequence_id").agg(F.count(F.lit(1)).alias("instances"), F.max(F.col("status") == "excluded_offscreen").alias("offscreen"), F.min("fall_seconds").alias("_fall"))
+    return g.select("sequence_id", "instances", "offscreen", (~F.col("offscreen")).alias("scored_for_location"), (~F.col("offscreen") & F.col("_fall").isNotNull()).alias("scored_for_response"))
+
+
+def population_stats(truth: DataFrame, monitors: int | None = None) -> DataFrame:
+    """B107: metric, value: rows, keys, monitors (and whether they are as many as expected), sequences, and rows by truth label."""
+    unit = F.get(F.split("event_key", r"\|"), F.lit(0))
+    off = F.count_if(F.col("status") == "excluded_offscreen")
+    t = truth.agg(
+        F.count(F.lit(1)).alias("truth_rows"), F.count_distinct("event_key").alias("truth_unique_event_keys"), F.count_distinct(unit).alias("truth_unique_monitors"),
+        (F.count_distinct(unit) == F.lit(monitors)).cast("int").alias("truth_monitor_count_matches_expectation"), off.alias("truth_offscreen_rows"),
+        *[F.count_if(F.col("truth_label") == s).alias(f"truth_label_count_{s}") for s in STATES],
+    )
+    counted = lambda c: F.count_if(F.col(c))
+    s = sequences(truth).agg(
+        F.count(F.lit(1)).alias("sequence_count"), counted("offscreen").alias("sequence_offscreen_count"), F.round(F.avg("instances"), 6).alias("sequence_mean_instances"),
+        counted("scored_for_location").alias("sequence_scored_for_location"), counted("scored_for_response").alias("sequence_scored_for_response"),
+    )
+    wide = t.crossJoin(F.broadcast(s))
+    return wide.unpivot([], [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in wide.columns], "metric", "value")
 
 
 def tag_association(df: DataFrame, label: str, tags: str, min_count: int = 3) -> DataFrame:
@@ -308,17 +326,17 @@ def signal_profile(scored: DataFrame) -> DataFrame:
     return scored.groupBy("truth").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(f"prob_{s}"), 6).alias(f"mean_{s}") for s in STATES], F.round(F.avg((F.col("truth") == F.col("derived")).cast("double")), 6).alias("hit_rate"))
 
 
-#: Check, metric, direction and limit (fixed values).
-CHECKS = (("macro_f1", "macro_f1", "min", 0.55), ("calibration", "ece", "max", 0.15), ("accuracy", "accuracy", "min", 0.50))
+#: Check, metric, operator and limit (fixed values).
+CHECKS = (("macro_f1", "macro_f1", ">=", 0.55), ("ece_10_bin", "ece", "<=", 0.15), ("response_detection_f1", "detection_f1", ">=", 0.70), ("response_latency_mae_seconds", "latency_mae_seconds", "<=", 45.0))
 
 
 def threshold_checks(metrics: DataFrame, checks=CHECKS) -> DataFrame:
     """B111: each check's value, limit and whether it passes; a missing metric fails."""
     spark = metrics.sparkSession
-    rules = spark.createDataFrame(list(checks), "check string, metric string, direction string, limit double")
+    rules = spark.createDataFrame(list(checks), "check string, metric string, operator string, threshold double")
     j = rules.join(metrics, "metric", "left")
-    ok = F.when(F.col("direction") == "min", F.col("value") >= F.col("limit")).otherwise(F.col("value") <= F.col("limit"))
-    return j.select("check", "metric", "value", "limit", F.coalesce(ok, F.lit(False)).alias("passed"))
+    ok = F.when(F.col("operator") == ">=", F.col("value") >= F.col("threshold")).otherwise(F.col("value") <= F.col("threshold"))
+    return j.select("check", "operator", "threshold", F.col("value").alias("actual"), F.coalesce(ok, F.lit(False)).alias("passed"))
 
 
 def choose_model(status: DataFrame, order: tuple[str, ...]) -> DataFrame:

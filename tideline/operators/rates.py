@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.config import DEFAULT
+from tideline.operators.joins import global_rank
 
 CELL = ["division_id", "daypart", "day_of_week", "calendar_quarter"]
 
@@ -106,11 +107,10 @@ def confidence_sensitivity(scope: DataFrame, events: DataFrame) -> DataFrame:
 def missingness_stress(scope: DataFrame, events: DataFrame, cuts: tuple[int, ...] = DEFAULT.missingness_cuts, tie: str = "event_id") -> DataFrame:
     """Rates and their ratios after dropping the least confident events, for each cut in percent.
 
-    Only the cuts' boundaries need the global order; ties in the weight fall by ``tie``.
+    Ties in the weight fall by ``tie``. The order over all events is that of sorted partitions, see joins.global_rank.
     """
     scored = confidence_features(events)
-    order = Window.orderBy("confidence_weight", tie)
-    ranked = scored.withColumn("_r", F.row_number().over(order))
+    ranked = global_rank(scored, ["confidence_weight", tie], "_r")
     total = scored.groupBy().agg(F.count(F.lit(1)).alias("n_total"))
     cut = F.explode(F.array(*[F.lit(c) for c in sorted(set(cuts))])).alias("cut")
     marked = ranked.crossJoin(F.broadcast(total)).select("*", cut).withColumn("_out", F.floor(F.col("n_total") * F.col("cut") / 100)).filter("_r > _out")
@@ -149,12 +149,16 @@ def third_state_rate(base: DataFrame) -> DataFrame:
     return s.withColumn("rate_per_1000", F.col("n_events") / F.greatest("exposure_hours", F.lit(1e-9)) * 1000)
 
 
-def subset_rates(base: DataFrame) -> DataFrame:
-    """Crude rates and their ratio in the subsets of the sensitivity analysis: dayparts, weekdays and weekends, hours in one state."""
+def subset_of() -> Column:
+    """The subsets of the sensitivity analysis that an hour belongs to: its daypart, weekdays or weekends, and hours mostly in one state."""
     weekend = F.col("day_of_week").isin("Saturday", "Sunday")
-    certain = (F.greatest("pct_chair", "pct_bed") >= 0.8)
-    tags = F.array_compact(F.array(F.col("daypart"), F.when(weekend, "weekend").otherwise("weekday"), F.when(certain, "certain_position")))
-    tagged = base.withColumn("subset", F.explode(tags))
+    certain = (F.col("pct_chair") >= 0.5) | (F.col("pct_bed") >= 0.5)
+    return F.array_compact(F.array(F.col("daypart"), F.when(weekend, "weekend_only").otherwise("weekday_only"), F.when(certain, "position_certain_only")))
+
+
+def subset_rates(base: DataFrame) -> DataFrame:
+    """Crude rates and their ratio in the subsets; models.subset_models refits the model on each."""
+    tagged = base.withColumn("subset", F.explode(subset_of()))
     total = F.greatest(F.col("pct_chair") + F.col("pct_bed"), F.lit(1e-9))
     g = tagged.groupBy("subset").agg(*[F.sum(f"pct_{s}").alias(f"hours_{s}") for s in ("chair", "bed")], *[F.sum(F.col("falls_in_hour") * F.col(f"pct_{s}") / total).alias(f"events_{s}") for s in ("chair", "bed")])
     rate = lambda s: F.try_divide(f"events_{s}", f"hours_{s}")

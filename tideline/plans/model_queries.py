@@ -70,7 +70,7 @@ def b58(spark, d):
 
 
 def cells(spark, d):
-    return stage(R.position_cells(Study(spark, d).base), "cells")
+    return stage(R.position_cells(Study(spark, d).intervention), "cells")
 
 
 @query("b78_rate_model")
@@ -100,6 +100,11 @@ def b85(spark, d):
 
     def base(hours):
         elig = stage(C.eligibility(s.hourly_c, hours, BINS), "eligibility")
-        return elig, stage(C.analysis_base(s.hourly_c, s.events_c, elig, BINS), "base")
+        return elig, stage(C.analysis_base(s.hourly_c, s.events_c, elig, BINS), "base").filter("cohort_type = 'intervention'")
 
-    return M.threshold_sensitivity(base, (4, 12))
+    return M.threshold_sensitivity(base)
+
+
+@query("b83_subset_models")
+def b83_models(spark, d):
+    return M.subset_models(Study(spark, d).intervention)

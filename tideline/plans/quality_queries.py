@@ -112,10 +112,15 @@ def b110(spark, d):
     return Q.signal_profile(scored(spark, d))
 
 
-@query("b111_threshold_checks", sql("""SELECT "check", metric, value, "limit", coalesce(CASE direction WHEN 'min' THEN value >= "limit" ELSE value <= "limit" END, false) AS passed FROM (VALUES ('macro_f1', 'macro_f1', 'min', 0.55::DOUBLE), ('calibration', 'ece', 'max', 0.15), ('accuracy', 'accuracy', 'min', 0.5)) r("check", metric, direction, "limit")
-  LEFT JOIN (SELECT 'accuracy' AS metric, round(avg((truth = derived)::INT), 6) AS value FROM sc UNION ALL SELECT 'macro_f1', round(avg(f1), 6) FROM lm) USING (metric)""", **SC))
+_BINNED = "SELECT sum(abs(c - h) * n) / sum(n) AS ece FROM (SELECT least(floor(greatest(prob_chair, prob_bed, prob_room, prob_no_patient) * 10 + 1e-9), 9) AS b, count(*) AS n, avg(greatest(prob_chair, prob_bed, prob_room, prob_no_patient)) AS c, avg((truth = derived)::INT) AS h FROM sc GROUP BY b)"
+_DETECT = "SELECT count(*) FILTER (truth_latency IS NOT NULL AND predicted_latency IS NOT NULL) AS tp, count(predicted_latency) AS p, count(truth_latency) AS s, avg(abs(predicted_latency - truth_latency)) AS mae FROM sc"
+
+
+@query("b111_threshold_checks", sql("""SELECT "check", operator, threshold, actual, CASE operator WHEN '>=' THEN actual >= threshold ELSE actual <= threshold END AS passed FROM (SELECT 'macro_f1' AS "check", '>=' AS operator, 0.55::DOUBLE AS threshold, (SELECT round(avg(f1), 6) FROM lm) AS actual
+  UNION ALL SELECT 'ece_10_bin', '<=', 0.15, (SELECT round(ece, 6) FROM bn) UNION ALL SELECT 'response_detection_f1', '>=', 0.7, (SELECT round(2 * (tp / p) * (tp / s) / (tp / p + tp / s), 6) FROM de) UNION ALL SELECT 'response_latency_mae_seconds', '<=', 45, (SELECT round(mae, 6) FROM de))""", **SC, bn=_BINNED, de=_DETECT))
 def b111(spark, d):
-    return Q.threshold_checks(Q.classification_metrics(scored(spark, d)))
+    s = scored(spark, d)
+    return Q.threshold_checks(Q.classification_metrics(s).unionByName(Q.probability_quality(s)).unionByName(Q.response_metrics(s)))
 
 
 def raw_annotations(spark, d):
@@ -201,7 +206,7 @@ def b95(spark, d):
     return Q.tag_chain_crosstab(truth(spark, d))
 
 
-_PRED = "SELECT event_id AS prediction_id, monitor_id || '|' || strftime(ts, '%Y-%m-%d') || '|00:00' AS event_key, row_number() OVER (PARTITION BY monitor_id, strftime(ts, '%Y-%m-%d') ORDER BY ts, event_id) AS ordinal FROM ev WHERE k % 3 = 0"
+_PRED = "SELECT event_id AS prediction_id, monitor_id || '|' || strftime(ts, '%Y-%m-%d') || '|00:00' AS event_key, row_number() OVER (PARTITION BY monitor_id, strftime(ts, '%Y-%m-%d') ORDER BY ts, event_id) AS ordinal FROM ev WHERE event_type = 'click'"
 _MATCH = """SELECT t.row_id, t.event_key, t.event_instance_ordinal AS ordinal, coalesce(x.prediction_id, n.prediction_id) AS prediction_id, CASE WHEN x.prediction_id IS NOT NULL THEN 'exact' WHEN n.c = 1 THEN 'single_event_key_fallback' WHEN n.c > 1 THEN 'nearest_ordinal_fallback' ELSE 'unmatched' END AS match_source
   FROM tr t LEFT JOIN pd x ON t.event_key = x.event_key AND t.event_instance_ordinal = x.ordinal LEFT JOIN (SELECT t.row_id, arg_min(p.prediction_id, (abs(p.ordinal - t.event_instance_ordinal), p.ordinal)) AS prediction_id, count(*) AS c FROM tr t JOIN pd p USING (event_key) GROUP BY t.row_id) n ON n.row_id = t.row_id"""
 
@@ -209,7 +214,7 @@ _MATCH = """SELECT t.row_id, t.event_key, t.event_instance_ordinal AS ordinal, c
 def predictions(spark, d):
     from pyspark.sql import Window
 
-    e = events(spark, d).filter("k % 3 = 0")
+    e = events(spark, d).filter("event_type = 'click'")
     day = F.date_format("ts", "yyyy-MM-dd")
     return e.select(F.col("event_id").alias("prediction_id"), F.concat_ws("|", F.col("monitor_id").cast("string"), day, F.lit("00:00")).alias("event_key"), F.row_number().over(Window.partitionBy("monitor_id", day).orderBy("ts", "event_id")).alias("ordinal"))
 
@@ -234,9 +239,12 @@ def b97(spark, d):
     return out.select("sequence_id", "truth_label", "instances", "truth_latency", "predicted_latency", "scored", F.round("prob_chair", 9).alias("prob_chair"), F.round("prob_bed", 9).alias("prob_bed"), "derived")
 
 
-@query("b107_population_stats", sql("SELECT truth_label, count(*) AS instances, count(DISTINCT sequence_id) AS sequences, count(*) FILTER (relabelled) AS relabelled, count(*) / (SELECT count(*) FROM tr) AS share FROM tr GROUP BY truth_label", **AN))
+@query("b107_population_stats", sql("""UNPIVOT (SELECT count(*)::DOUBLE AS truth_rows, count(DISTINCT event_key)::DOUBLE AS truth_unique_event_keys, count(DISTINCT split_part(event_key, '|', 1))::DOUBLE AS truth_unique_monitors, (count(DISTINCT split_part(event_key, '|', 1)) = 150)::INT::DOUBLE AS truth_monitor_count_matches_expectation,
+  count(*) FILTER (status = 'excluded_offscreen')::DOUBLE AS truth_offscreen_rows, count(*) FILTER (truth_label = 'chair')::DOUBLE AS truth_label_count_chair, count(*) FILTER (truth_label = 'bed')::DOUBLE AS truth_label_count_bed, count(*) FILTER (truth_label = 'room')::DOUBLE AS truth_label_count_room, count(*) FILTER (truth_label = 'no_patient')::DOUBLE AS truth_label_count_no_patient,
+  (SELECT count(*) FROM sqs)::DOUBLE AS sequence_count, (SELECT count(*) FROM sqs WHERE o)::DOUBLE AS sequence_offscreen_count, (SELECT round(avg(n), 6) FROM sqs) AS sequence_mean_instances, (SELECT count(*) FROM sqs WHERE NOT o)::DOUBLE AS sequence_scored_for_location, (SELECT count(*) FROM sqs WHERE NOT o AND f IS NOT NULL)::DOUBLE AS sequence_scored_for_response FROM tr)
+  ON COLUMNS(*) INTO NAME metric VALUE value""", **AN, sqs="SELECT sequence_id, count(*) AS n, bool_or(status = 'excluded_offscreen') AS o, min(fall_seconds) AS f FROM tr GROUP BY sequence_id"))
 def b107(spark, d):
-    return Q.population_stats(truth(spark, d))
+    return Q.population_stats(truth(spark, d), 150)
 
 
 _PAIRS = """SELECT * FROM (SELECT *, sum(n) OVER (PARTITION BY tag)::BIGINT AS n_tag FROM (SELECT label, tag, count(*) AS n FROM (SELECT p_type AS label, unnest(string_split(p_name, ' ')) AS tag FROM part) GROUP BY label, tag)) WHERE n_tag >= 3"""

@@ -212,19 +212,19 @@ def b76(spark, d):
 
 @query("b77_position_cells", sql("SELECT * FROM cells"))
 def b77(spark, d):
-    return R.position_cells(Study(spark, d).base)
+    return R.position_cells(Study(spark, d).intervention)
 
 
-@query("b82_third_state_rate", sql("SELECT sum(falls_in_hour * pct_ambulatory / greatest(pct_chair + pct_bed + pct_ambulatory, 1e-9)) AS n_events, sum(pct_ambulatory) AS exposure_hours, n_events / exposure_hours * 1000 AS rate_per_1000 FROM base"))
+@query("b82_third_state_rate", sql("SELECT sum(falls_in_hour * pct_ambulatory / greatest(pct_chair + pct_bed + pct_ambulatory, 1e-9)) AS n_events, sum(pct_ambulatory) AS exposure_hours, n_events / exposure_hours * 1000 AS rate_per_1000 FROM treated"))
 def b82(spark, d):
-    return R.third_state_rate(Study(spark, d).base)
+    return R.third_state_rate(Study(spark, d).intervention)
 
 
 @query("b83_subset_rates", sql("""SELECT subset, sum(pct_chair) AS hours_chair, sum(pct_bed) AS hours_bed, sum(falls_in_hour * pct_chair / t) AS events_chair, sum(falls_in_hour * pct_bed / t) AS events_bed,
   (sum(falls_in_hour * pct_chair / t) / nullif(sum(pct_chair), 0)) / nullif(sum(falls_in_hour * pct_bed / t) / nullif(sum(pct_bed), 0), 0) AS rate_ratio
-FROM (SELECT *, greatest(pct_chair + pct_bed, 1e-9) AS t, unnest(list_filter([daypart, CASE WHEN day_of_week IN ('Saturday', 'Sunday') THEN 'weekend' ELSE 'weekday' END, CASE WHEN greatest(pct_chair, pct_bed) >= 0.8 THEN 'certain_position' END], lambda x: x IS NOT NULL)) AS subset FROM base) GROUP BY subset"""))
+FROM (SELECT *, greatest(pct_chair + pct_bed, 1e-9) AS t, unnest(list_filter([daypart, CASE WHEN day_of_week IN ('Saturday', 'Sunday') THEN 'weekend_only' ELSE 'weekday_only' END, CASE WHEN pct_chair >= 0.5 OR pct_bed >= 0.5 THEN 'position_certain_only' END], lambda x: x IS NOT NULL)) AS subset FROM treated) GROUP BY subset"""))
 def b83(spark, d):
-    return R.subset_rates(Study(spark, d).base)
+    return R.subset_rates(Study(spark, d).intervention)
 
 
 @query("b84_misclassification_swap", sql("""SELECT division_id, daypart, day_of_week, calendar_quarter, scenario, position, greatest(CASE position WHEN 'chair' THEN ch ELSE bh END, 1e-6) AS exposure_hours,
@@ -232,7 +232,7 @@ def b83(spark, d):
 FROM (SELECT division_id, daypart, day_of_week, calendar_quarter, sum(exposure_hours) FILTER (position = 'chair') AS ch, sum(exposure_hours) FILTER (position = 'bed') AS bh, sum(fall_count) FILTER (position = 'chair') AS cf, sum(fall_count) FILTER (position = 'bed') AS bf FROM cells GROUP BY ALL),
   (VALUES ('symmetric_swap_10pct', 0.1::DOUBLE, 0.1::DOUBLE), ('symmetric_swap_20pct', 0.2, 0.2), ('symmetric_swap_30pct', 0.3, 0.3), ('chair_to_bed_20pct', 0.2, 0), ('bed_to_chair_20pct', 0, 0.2)) s(scenario, p, q), states"""))
 def b84(spark, d):
-    return R.misclassification_swap(R.position_cells(Study(spark, d).base))
+    return R.misclassification_swap(R.position_cells(Study(spark, d).intervention))
 
 
 _FLAGGED = "SELECT event_id, monitor_id, hour_ts FROM link WHERE pre_dropout_visibility_ratio > 0.5 UNION ALL SELECT -event_id, monitor_id, hour_ts + INTERVAL 1 HOUR FROM link WHERE pre_dropout_visibility_ratio <= 0.5"
@@ -246,13 +246,13 @@ def _flagged(s):
     return linked.select(F.when(hit, F.col("event_id")).otherwise(-F.col("event_id")).alias("event_id"), "monitor_id", F.when(hit, F.col("hour_ts")).otherwise(F.col("hour_ts") + F.expr("INTERVAL 1 HOUR")).alias("hour_ts"))
 
 
-@query("b86_origin_reclassify", sql("SELECT b.monitor_id, b.hour_ts, falls_in_hour, CASE WHEN f.monitor_id IS NOT NULL AND falls_in_hour > 0 THEN 1 ELSE pct_chair END AS pct_chair, CASE WHEN f.monitor_id IS NOT NULL AND falls_in_hour > 0 THEN 0 ELSE pct_bed END AS pct_bed FROM base b LEFT JOIN (SELECT DISTINCT monitor_id, hour_ts FROM flagged) f USING (monitor_id, hour_ts)", flagged=_FLAGGED))
+@query("b86_origin_reclassify", sql("SELECT b.monitor_id, b.hour_ts, falls_in_hour, CASE WHEN f.monitor_id IS NOT NULL AND falls_in_hour > 0 THEN 1 ELSE pct_chair END AS pct_chair, CASE WHEN f.monitor_id IS NOT NULL AND falls_in_hour > 0 THEN 0 ELSE pct_bed END AS pct_bed FROM treated b LEFT JOIN (SELECT DISTINCT monitor_id, hour_ts FROM flagged) f USING (monitor_id, hour_ts)", flagged=_FLAGGED))
 def b86(spark, d):
     s = Study(spark, d)
-    return R.origin_reclassify(s.base, _flagged(s)).select("monitor_id", "hour_ts", "falls_in_hour", "pct_chair", "pct_bed")
+    return R.origin_reclassify(s.intervention, _flagged(s)).select("monitor_id", "hour_ts", "falls_in_hour", "pct_chair", "pct_bed")
 
 
-@query("b87_reclassify_diagnostic", sql("SELECT f.*, b.monitor_id IS NOT NULL AS matched, coalesce(b.falls_in_hour, 0) AS falls_in_matched_hour, b.pct_chair AS pct_chair_original FROM flagged f LEFT JOIN base b ON f.monitor_id = b.monitor_id AND f.hour_ts = b.hour_ts", flagged=_FLAGGED))
+@query("b87_reclassify_diagnostic", sql("SELECT f.*, b.monitor_id IS NOT NULL AS matched, coalesce(b.falls_in_hour, 0) AS falls_in_matched_hour, b.pct_chair AS pct_chair_original FROM flagged f LEFT JOIN treated b ON f.monitor_id = b.monitor_id AND f.hour_ts = b.hour_ts", flagged=_FLAGGED))
 def b87(spark, d):
     s = Study(spark, d)
-    return R.reclassify_diagnostic(s.base, _flagged(s)).select("event_id", "monitor_id", "hour_ts", "matched", "falls_in_matched_hour", "pct_chair_original")
+    return R.reclassify_diagnostic(s.intervention, _flagged(s)).select("event_id", "monitor_id", "hour_ts", "matched", "falls_in_matched_hour", "pct_chair_original")

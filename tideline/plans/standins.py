@@ -90,6 +90,11 @@ class Study:
     def base(self):
         return stage(C.analysis_base(self.hourly_c, self.events_c, self.elig, BINS), "base")
 
+    @property
+    def intervention(self):
+        """What the rate models see: control units are context for denominators only."""
+        return self.base.filter("cohort_type = 'intervention'")
+
     @cached_property
     def scope(self):
         return C.analysis_scope(self.base, self.elig)
@@ -150,8 +155,9 @@ CTES = {
         WHEN pre_state_visible_prob >= 0.7 AND pre_dropout_visibility_ratio >= 0.7 AND pre_dropout_last_visible_gap_seconds <= 90 THEN 'high_confidence' ELSE 'medium_confidence' END AS confidence_segment FROM linked""",
     "exposure": "SELECT max(scope) AS scope, sum(pct_chair) AS h_chair, sum(pct_bed) AS h_bed FROM scope",
     "states": "SELECT unnest(['chair', 'bed']) AS position",
+    "treated": "SELECT * FROM base WHERE cohort_type = 'intervention'",
     "cells": """SELECT division_id, daypart, day_of_week, calendar_quarter, position, greatest(sum(CASE position WHEN 'chair' THEN pct_chair ELSE pct_bed END), 1e-6) AS exposure_hours,
-      sum(falls_in_hour * CASE position WHEN 'chair' THEN pct_chair ELSE pct_bed END / greatest(pct_chair + pct_bed, 1e-9)) AS fall_count FROM base, states GROUP BY ALL""",
+      sum(falls_in_hour * CASE position WHEN 'chair' THEN pct_chair ELSE pct_bed END / greatest(pct_chair + pct_bed, 1e-9)) AS fall_count FROM treated, states GROUP BY ALL""",
 }
 
 

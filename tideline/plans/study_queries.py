@@ -64,12 +64,18 @@ def b63(spark, d):
     return D.response_summary(WQ.summary(spark, d))
 
 
-@query("b64_subject_day_hour", sql("SELECT *, n / sum(n) OVER (PARTITION BY monitor_id) AS share FROM (SELECT monitor_id, weekday, hour(ts)::INT AS hour, count(*) AS n FROM fl GROUP BY ALL)", **FALLS))
+_LABEL = "CASE WHEN k % 10 > k // 10 THEN 'chair' WHEN k % 10 < k // 10 THEN 'bed' ELSE 'room' END"
+
+
+@query("b64_subject_day_hour", sql(f"""SELECT *, sum(n) OVER b::BIGINT AS bucket_total, round(n / sum(n) OVER b, 4) AS pct_in_bucket FROM (SELECT subject_id, ts::DATE AS date, hour(ts)::INT AS hour, {_LABEL} AS label, count(*) AS n FROM fl GROUP BY ALL)
+  WINDOW b AS (PARTITION BY subject_id, date, hour)""", **FALLS))
 def b64(spark, d):
-    return D.subject_day_hour(falls(spark, d), "ts")
+    tens = F.floor(F.col("k") / 10)
+    label = F.when(F.col("k") % 10 > tens, "chair").when(F.col("k") % 10 < tens, "bed").otherwise("room")
+    return D.subject_day_hour(falls(spark, d).withColumn("label", label), "ts")
 
 
-@query("b65_circular_kde", sql("""SELECT division_id, centre, mass / sum(mass) OVER (PARTITION BY division_id) AS density FROM (SELECT division_id, c::INT AS centre, sum(value * (exp(-0.5 * power((h - 24 - c) / 1.5, 2)) + exp(-0.5 * power((h - c) / 1.5, 2)) + exp(-0.5 * power((h + 24 - c) / 1.5, 2)))) AS mass
+@query("b65_circular_kde", sql("""SELECT division_id, centre, CASE WHEN t > 0 THEN mass / (t * 1.35 * sqrt(2 * pi())) ELSE 0 END AS density FROM (SELECT division_id, c::INT AS centre, sum(value) AS t, sum(CASE WHEN value > 0 THEN value * (exp(-0.5 * power((h - 24 - c) / 1.35, 2)) + exp(-0.5 * power((h - c) / 1.35, 2)) + exp(-0.5 * power((h + 24 - c) / 1.35, 2))) ELSE 0 END) AS mass
   FROM (SELECT division_id, hour(ts)::DOUBLE AS h, value FROM fl), (SELECT unnest(range(24)) AS c) GROUP BY ALL)""", **FALLS))
 def b65(spark, d):
     return D.circular_kde(falls(spark, d), F.hour("ts"), F.col("value"), "division_id")
@@ -90,9 +96,9 @@ def b68(spark, d):
     return D.source_profile(events(spark, d), ["monitor_id", "subject_id"], "ts", "events")
 
 
-@query("b69_chunk_profile", sql("SELECT count(*) AS chunks, count(*) FILTER (duration_seconds = 0) AS exact_chunks, min(chunk_start) AS history_start, count(DISTINCT monitor_id) AS units, count(DISTINCT monitor_id) FILTER (monitor_id IN (SELECT monitor_id FROM ev WHERE event_type = 'error' AND k > 90)) AS units_with_events, 'partial_history' AS history_status FROM c", s=WQ.G, c=WQ._CHUNKS))
+@query("b69_chunk_profile", sql("SELECT count(*) AS chunks, count(*) FILTER (duration_seconds = 0) AS exact_chunks, min(chunk_start) AS history_start, count(DISTINCT monitor_id) AS units, count(DISTINCT monitor_id) FILTER (monitor_id IN (SELECT monitor_id FROM ev WHERE event_type = 'error' AND value > 150)) AS units_with_events, 'partial_history' AS history_status FROM c", s=WQ.G, c=WQ._CHUNKS))
 def b69(spark, d):
-    return D.chunk_profile(WQ.chunks(spark, d), falls(spark, d).filter("k > 90"), "2023-12-01", 0)
+    return D.chunk_profile(WQ.chunks(spark, d), falls(spark, d).filter("value > 150"), "2023-12-01", 0)
 
 
 _RUN = "SELECT event_type AS metric, avg(value) AS value FROM events WHERE {c} GROUP BY event_type"
@@ -178,11 +184,13 @@ def b139(spark, d):
     return X.context_summary(WQ.anchors(spark, d), near(spark, d), (3600, 10800, 18000), F.lit("2024-01-03").cast("timestamp"), F.lit("2024-01-28").cast("timestamp"))
 
 
-@query("b138_payload_mentions", """SELECT conv_id, turn, regexp_matches(a, '(?i)\\bthe\\b') AS in_report, regexp_matches(b, '(?i)\\bthe\\b') AS in_event, CASE WHEN in_report AND in_event THEN 'both' WHEN in_report THEN 'report' WHEN in_event THEN 'event' ELSE 'none' END AS match_source
-  FROM (SELECT conv_id, turn, substr(text, 1, 60) AS a, substr(text, 61, 60) AS b FROM conversations)""")
+@query("b138_payload_mentions", """SELECT conv_id, turn, regexp_matches(l[1], '(?i)\\bthe\\b') AS in_report, len(list_filter(l[2:], lambda x: regexp_matches(x, '(?i)\\bthe\\b'))) > 0 AS in_event, CASE WHEN in_report AND in_event THEN 'both' WHEN in_report THEN 'report' WHEN in_event THEN 'event' ELSE 'none' END AS match_source
+  FROM (SELECT conv_id, turn, regexp_split_to_array(coalesce(text, ''), '[.\\n]') AS l FROM conversations)""")
 def b138(spark, d):
+    """Whole texts as payloads: the first sentence or line is the report, each further one an event."""
     c = load(spark, d, "conversations")
-    body = F.to_json(F.struct(F.substring("text", 1, 60).alias("report"), F.array(F.struct(F.substring("text", 61, 60).alias("description"))).alias("events")))
+    parts = F.split(F.coalesce("text", F.lit("")), "[.\\n]")
+    body = F.to_json(F.struct(F.get(parts, F.lit(0)).alias("report"), F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda x: F.struct(x.alias("description"))).alias("events")))
     return X.payload_mentions(c.withColumn("payload", body), "payload", r"(?i)\bthe\b").select("conv_id", "turn", "in_report", "in_event", "match_source")
 
 

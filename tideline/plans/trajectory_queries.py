@@ -58,9 +58,10 @@ def b119(spark, d):
     return T.trajectory_wide(T.trajectory_features(WQ.panel(spark, d), SIZES), SIZES, ["frames", "transitions"])
 
 
-@query("b121_grouped_folds", sql("SELECT event_id, (((r - 2) % n + n) % n % 5)::INT AS fold FROM ev JOIN (SELECT monitor_id, row_number() OVER (ORDER BY monitor_id) - 1 AS r, count(*) OVER () AS n FROM (SELECT DISTINCT monitor_id FROM ev)) USING (monitor_id)"))
+@query("b121_grouped_folds", sql("""SELECT event_id, (((r - 2) % n + n) % n % 5)::INT AS fold FROM ev JOIN (SELECT subject_id, row_number() OVER (ORDER BY subject_id) - 1 AS r, count(*) OVER () AS n FROM (SELECT DISTINCT subject_id FROM ev WHERE subject_id IS NOT NULL)) USING (subject_id)
+  UNION ALL SELECT event_id, ((row_number() OVER (ORDER BY event_id) - 1 + 2) % 5)::INT FROM ev WHERE subject_id IS NULL"""))
 def b121(spark, d):
-    return T.grouped_folds(events(spark, d), "monitor_id", 5, 2).select("event_id", F.col("fold").cast("int").alias("fold"))
+    return T.grouped_folds(events(spark, d), "subject_id", 5, 2, "event_id").select("event_id", F.col("fold").cast("int").alias("fold"))
 
 
 _ROLEJ = "SELECT r.anchor_id, r.window_role, s.event_id, floor((epoch_us(s.ts) - epoch_us(r.anchor_ts)) / 3600e6)::BIGINT AS offset FROM roles r JOIN s ON r.monitor_id = s.monitor_id AND (r.subject_id IS NULL OR r.subject_id = s.subject_id) AND s.ts >= r.anchor_ts - INTERVAL 48 HOUR AND s.ts <= r.anchor_ts"
