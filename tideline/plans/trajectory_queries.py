@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tideline.config import DEFAULT
@@ -26,36 +28,128 @@ def query(name, oracle=None):
     return put
 
 
-TR = WQ.BASE | {
-    "wj": "SELECT anchor_id, event_id, w AS \"window\", floor(-back)::BIGINT AS o, state, coalesce(d_chair, d_bed, d_room) AS d FROM j, (SELECT unnest([60, 180]) AS w) WHERE floor(-back) < 0 AND floor(-back) >= -w",
-    "wl": """SELECT *, CASE WHEN d IS NOT NULL THEN (d - pd) / nullif(o - po, 0) END AS v, sum(c) OVER (PARTITION BY anchor_id, "window" ORDER BY o, event_id) AS run FROM (SELECT *, lag(o) OVER x AS lo, coalesce((state <> lag(state) OVER x)::INT, 0) AS c,
-      last_value(d IGNORE NULLS) OVER (x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pd, last_value(CASE WHEN d IS NOT NULL THEN o END IGNORE NULLS) OVER (x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS po FROM wj WINDOW x AS (PARTITION BY anchor_id, "window" ORDER BY o, event_id))""",
-    "tf": """SELECT a.*, r.longest_dwell FROM (SELECT anchor_id, "window", count(*) AS frames, avg((state = 'chair')::INT) AS share_chair, avg((state = 'bed')::INT) AS share_bed, avg((state = 'room')::INT) AS share_room, avg((state = 'no_patient')::INT) AS share_no_patient, sum(c)::BIGINT AS transitions, avg(v) AS velocity_mean, stddev_pop(v) AS velocity_spread, regr_slope(v, o) AS acceleration FROM wl GROUP BY ALL) a
-      JOIN (SELECT anchor_id, "window", max(n) AS longest_dwell FROM (SELECT anchor_id, "window", run, count(*) AS n FROM wl GROUP BY ALL) GROUP BY ALL) r USING (anchor_id, "window")""",
+#: Hours stand for seconds, and frames are sparse.
+LIMITS = T.Limits(min_presence=0.05, min_frames=5, max_gap=40, window=240, baseline=120, nudge=0.9)
+_K = "anchor_id, window_role"
+_KW = 'anchor_id, window_role, "window"'
+_PAST = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+
+
+def _quality(sizes):
+    return f"""SELECT z.*, coalesce(frames, 0) AS frames, coalesce(observed, 0) AS observed, coalesce(gap, false) AS gap_exceeded, round(coalesce(observed, 0) / z."window", 6) AS presence,
+      CASE WHEN coalesce(observed, 0) / z."window" < 0.05 - 5e-7 THEN 'insufficient_sample_presence' WHEN coalesce(frames, 0) < 5 THEN 'sparse_window' WHEN gap THEN 'inter_frame_gap' END AS reason
+      FROM (SELECT DISTINCT {_K}, w AS "window" FROM rp, (SELECT unnest({list(sizes)})::INT AS w)) z LEFT JOIN (SELECT {_KW}, count(*) AS frames, count(DISTINCT o) AS observed, bool_or(g > 40) AS gap FROM
+        (SELECT *, o - lag(o) OVER (PARTITION BY {_KW} ORDER BY o, event_id) AS g FROM (SELECT rp.*, w AS "window" FROM rp, (SELECT unnest({list(sizes)})::INT AS w) WHERE o < 0 AND o >= -w)) GROUP BY ALL) USING ({_KW})"""
+
+
+_FRAME = """event_id, state, d_chair, d_bed, d_room, loc, coalesce(posture, '') AS posture, posture IS NOT NULL OR coalesce(score_sitting, score_standing, score_lying, 0) > 0 AS posed,
+  CASE WHEN coalesce(score_sitting, score_standing, score_lying, 0) > 0 THEN (coalesce(score_sitting, 0) > 0)::INT::DOUBLE ELSE score_sitting END AS s1, CASE WHEN coalesce(score_sitting, score_standing, score_lying, 0) > 0 THEN (coalesce(score_standing, 0) > 0)::INT::DOUBLE ELSE score_standing END AS s2,
+  CASE WHEN coalesce(score_sitting, score_standing, score_lying, 0) > 0 THEN (coalesce(score_lying, 0) > 0)::INT::DOUBLE ELSE score_lying END AS s3, staff_iou AS nudge"""
+ONE = WQ.BASE | {"rp": f"SELECT anchor_id, 'hazard' AS window_role, floor(-back)::BIGINT AS o, {_FRAME} FROM j"}
+ROLE = WQ.ROLES | {"rp": f"SELECT r.anchor_id, r.window_role, floor((epoch_us(s.ts) - epoch_us(r.anchor_ts)) / 3600e6)::BIGINT AS o, {_FRAME} FROM roles r JOIN s ON r.monitor_id = s.monitor_id AND (r.subject_id IS NULL OR r.subject_id = s.subject_id) AND s.ts >= r.anchor_ts - INTERVAL 240 HOUR AND s.ts <= r.anchor_ts"}
+_CH = ("mean", "velocity_mean", "velocity_volatility", "accel_mean")
+FEATURES = {
+    "ql": _quality(SIZES),
+    "rf": f'SELECT x.* FROM (SELECT rp.*, w AS "window" FROM rp, (SELECT unnest({list(SIZES)})::INT AS w) WHERE o < 0 AND o >= -w) x SEMI JOIN (SELECT * FROM ql WHERE reason IS NULL) q USING ({_KW})',
+    "r1": f"SELECT *, lag(state) OVER x AS b, last_value(CASE WHEN posed THEN posture END IGNORE NULLS) OVER (PARTITION BY {_KW} ORDER BY o, event_id {_PAST}) AS pp FROM rf WINDOW x AS (PARTITION BY {_KW} ORDER BY o, event_id)",
+    "r2": f"SELECT *, coalesce(state <> b, false)::INT AS sw, sum(coalesce(state <> b, false)::INT) OVER (PARTITION BY {_KW} ORDER BY o, event_id ROWS UNBOUNDED PRECEDING) AS run FROM r1",
+    "ft": f"""SELECT {_KW}, round(avg(loc::INT), 6) AS visible_ratio, sum(sw)::BIGINT AS switch_count, {', '.join(f"round(avg((state = '{x}')::INT), 6) AS {x}_share" for x in T.STATES)}, max(dw) AS location_dwell_max,
+      {', '.join(f"count(*) FILTER (b = '{x}' AND state = '{y}') AS {x}_to_{y}_transitions" for x, y in T.MOVES)}, round(avg(posed::INT), 6) AS posture_observed_ratio, count(*) FILTER (posed AND posture <> pp) AS posture_switch_count,
+      {', '.join(f"round(avg(s{i + 1}) FILTER (posed), 6) AS posture_{x}_score_mean, round(avg((posture = '{x}')::INT) FILTER (posed), 6) AS posture_{x}_share" for i, x in enumerate(T.POSTURES))}
+      FROM (SELECT *, count(*) OVER (PARTITION BY {_KW}, run) AS dw FROM r2) GROUP BY ALL""",
+    "c1": f"""SELECT *, o - lag(o) OVER x AS dt, d - lag(d) OVER x AS dv FROM ({' UNION ALL '.join(f"SELECT {_KW}, o, event_id, '{c}' AS c, d_{c} AS d FROM rf WHERE d_{c} IS NOT NULL" for c in T.CHANNELS)}) WINDOW x AS (PARTITION BY {_KW}, c ORDER BY o, event_id)""",
+    "c2": f"SELECT *, last_value(v IGNORE NULLS) OVER x AS pv, last_value(CASE WHEN v IS NOT NULL THEN o END IGNORE NULLS) OVER x AS po FROM (SELECT *, CASE WHEN dt > 0 THEN dv / dt END AS v FROM c1) WINDOW x AS (PARTITION BY {_KW}, c ORDER BY o, event_id {_PAST})",
+    "c3": f"""SELECT {_KW}, c, count(*) >= 2 AND min(d) = max(d) AS flat, count(*) >= 2 AND min(d) < max(d) AND max(dt) FILTER (dt > 0) <= 40 AS known, round(avg(d), 6) AS mean, round(avg(v), 6) AS velocity_mean, round(stddev_pop(v), 6) AS velocity_volatility, round(avg((v - pv) / (o - po)) FILTER (o > po), 6) AS accel_mean FROM c2 GROUP BY ALL""",
+    "cw": f"SELECT {_KW}, bool_or(flat) AS flat, {', '.join(f"max({m}) FILTER (c = '{c}' AND known) AS {c}_distance_{m}" for c in T.CHANNELS for m in _CH)} FROM c3 GROUP BY ALL",
+    "tf": f"""SELECT q.* EXCLUDE (reason), CASE WHEN q.reason IS NULL AND coalesce(flat, false) THEN 'zero_variance' ELSE q.reason END AS reason, q.reason IS NULL AND NOT coalesce(flat, false) AS eligible, f.* EXCLUDE ({_KW}), c.* EXCLUDE ({_KW}, flat)
+      FROM ql q LEFT JOIN ft f USING ({_KW}) LEFT JOIN cw c USING ({_KW})""",
+}
+_IN = "o >= -240 AND o < 0"
+ONSET = {
+    "ql": _quality((240,)),
+    "rq": f"SELECT rp.* FROM rp SEMI JOIN (SELECT * FROM ql WHERE reason IS NULL) q USING ({_K}) WHERE {_IN}",
+    "us": f"SELECT {_K}, arg_min(state, (-n, state)) AS us FROM (SELECT {_K}, state, count(*) AS n FROM rq WHERE o < -120 GROUP BY ALL) GROUP BY ALL",
+    "up": f"SELECT {_K}, arg_min(posture, (-n, posture)) AS up FROM (SELECT {_K}, posture, count(*) AS n FROM rq WHERE o < -120 AND posed AND posture <> '' GROUP BY ALL) GROUP BY ALL",
+    "ut": f"SELECT {_K}, {', '.join(f'avg(d_{c}) + 2 * greatest(stddev_pop(d_{c}), 0.3) AS f_{c}' for c in T.CHANNELS)} FROM rq WHERE o < -120 GROUP BY ALL",
+    "lt": f"""SELECT *, coalesce(posed AND posture <> '' AND posture <> up AND greatest(coalesce(s1, 0), coalesce(s2, 0), coalesce(s3, 0)) >= 0.5, false) AS other, (nudge >= 0.9 AND NOT coalesce(lag(nudge >= 0.9) OVER x, false)) AS rises
+      FROM rq JOIN us USING ({_K}) LEFT JOIN up USING ({_K}) JOIN ut USING ({_K}) WHERE o >= -120 WINDOW x AS (PARTITION BY {_K} ORDER BY o, event_id)""",
+    "l2": f"SELECT *, count(*) OVER (PARTITION BY {_K}, other, run) AS len FROM (SELECT *, row_number() OVER (PARTITION BY {_K} ORDER BY o, event_id) - row_number() OVER (PARTITION BY {_K}, other ORDER BY o, event_id) AS run FROM lt)",
+    "hit": """SELECT anchor_id, window_role, o, event_id, 0 AS i, 0 AS c, 'posture_transition' AS channel, up AS source, posture AS target FROM l2 WHERE other AND len >= 2
+      UNION ALL SELECT anchor_id, window_role, o, event_id, 1, 0, 'location_departure', us, state FROM l2 WHERE state <> us
+      UNION ALL SELECT anchor_id, window_role, o, event_id, 2, c, 'distance_breakout', n, NULL FROM (SELECT *, unnest([{'c': 1, 'n': 'chair', 'f': d_chair > f_chair}, {'c': 2, 'n': 'bed', 'f': d_bed > f_bed}, {'c': 3, 'n': 'room', 'f': d_room > f_room}], recursive := true) FROM l2) WHERE f
+      UNION ALL SELECT anchor_id, window_role, o, event_id, 3, 0, 'nudge_escalation', NULL, NULL FROM l2 WHERE rises""",
+    "fo": f"SELECT {_K}, arg_min({{'o': o, 'channel': channel, 'source': source, 'target': target}}, (o, i, c, event_id)) AS x FROM hit GROUP BY ALL",
+    "ons": f"""SELECT {_K}, presence, frames, CASE WHEN reason IS NULL AND l.late IS NULL THEN 'sparse_window' ELSE reason END AS reason, fo.x IS NOT NULL AS onset_detected, x.channel AS onset_channel, x.o AS first_signal_offset, abs(x.o) AS latency_to_anchor, x.source AS departure_source, x.target AS destination_label
+      FROM ql LEFT JOIN (SELECT {_K}, count(*) AS late FROM l2 GROUP BY ALL) l USING ({_K}) LEFT JOIN fo USING ({_K})""",
+    "ons2": """SELECT o.*, o.onset_channel IS NOT NULL AND coalesce(n, 0) < (SELECT greatest(1, ceil(count(DISTINCT anchor_id) * 0.1)) FROM ons WHERE window_role = 'hazard') AS below_prevalence FROM ons o
+      LEFT JOIN (SELECT onset_channel, count(DISTINCT anchor_id) AS n FROM ons WHERE window_role = 'hazard' AND onset_detected GROUP BY ALL) p ON o.onset_channel = p.onset_channel""",
+    "oc": """SELECT c.anchor_id, c.window_role AS control_role, c.onset_detected AS control_onset_detected, c.latency_to_anchor AS control_latency_to_anchor, c.onset_channel AS control_onset_channel, h.onset_detected AS hazard_onset_detected, h.latency_to_anchor AS hazard_latency_to_anchor, h.onset_channel AS hazard_onset_channel,
+      h.onset_detected::INT - c.onset_detected::INT AS detected_delta, h.latency_to_anchor - c.latency_to_anchor AS latency_delta, h.below_prevalence OR c.below_prevalence AS excluded FROM ons2 c JOIN ons2 h ON c.anchor_id = h.anchor_id AND h.window_role = 'hazard' WHERE c.window_role <> 'hazard'""",
 }
 
 
-@query("b114_combine_panels", sql("SELECT count(*) AS n, count(*) FILTER (event_id % 3 = 0) AS thirds FROM j WHERE event_id % 2 = 0 OR event_id % 3 = 0", **WQ.BASE))
+_REAL = "(share|ratio|mean|volatility)$"
+_ROUND = f"SELECT COLUMNS(lambda c: NOT regexp_matches(c, '{_REAL}')), round(COLUMNS(lambda c: regexp_matches(c, '{_REAL}')), 4) FROM ({{q}})"
+
+
+def rounded(df):
+    """To four digits, as two engines may round a tie at the sixth either way."""
+    return df.select(*[F.round(c, 4).alias(c) if re.search(_REAL, c) else F.col(c) for c in df.columns])
+
+
+def hazard_panel(spark, d):
+    return T.normal_panel(WQ.panel(spark, d).withColumn("nudge_score", F.col("staff_iou")))
+
+
+def role_panel(spark, d):
+    roles = stage(W.control_anchors(WQ.anchors(spark, d), DEFAULT.control_days), "roles")
+    frames = W.window_panel(roles, WQ.signals(spark, d), WQ.KEYS, -240 * WQ.H, 0, 12 * WQ.H, WQ.H)
+    return stage(T.normal_panel(frames.withColumn("nudge_score", F.col("staff_iou"))), "role-panel")
+
+
+@query("b114_combine_panels", sql("SELECT anchor_id, event_id, floor(-back)::BIGINT AS offset, CASE WHEN floor(-back) >= -24 AND floor(-back) < 0 THEN 'near' ELSE 'whole' END AS panel FROM j", **WQ.BASE))
 def b114(spark, d):
     p = WQ.panel(spark, d)
-    out = T.combine_panels(p.filter("event_id % 2 = 0"), p.filter("event_id % 3 = 0"))
-    return out.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_id") % 3 == 0).alias("thirds"))
+    near = p.filter("offset >= -24 AND offset < 0").withColumn("panel", F.lit("near"))
+    return T.combine_panels(near, p.withColumn("panel", F.lit("whole"))).select("anchor_id", "event_id", "offset", "panel")
 
 
-@query("b115_window_quality", sql("SELECT *, CASE WHEN presence < 0.05 THEN 'low_presence' WHEN frames < 5 THEN 'few_frames' WHEN max_gap > 40 THEN 'wide_gap' ELSE 'ok' END AS reason FROM (SELECT anchor_id, \"window\", count(*) AS frames, count(DISTINCT o) / any_value(\"window\") AS presence, coalesce(max(o - lo), 0) AS max_gap FROM wl GROUP BY ALL)", **TR))
+@query("b115_window_quality", sql("SELECT *, reason IS NULL AS eligible FROM ql", **ONE, ql=FEATURES["ql"]))
 def b115(spark, d):
-    return T.window_quality(WQ.panel(spark, d), SIZES, 0.05, 5, 40)
+    return T.window_quality(hazard_panel(spark, d), SIZES, LIMITS)
 
 
-@query("b116_trajectory_features", sql('SELECT anchor_id, "window", frames, share_chair, share_bed, share_room, share_no_patient, transitions, velocity_mean, longest_dwell FROM tf', **TR))
+@query("b116_trajectory_features", sql(_ROUND.format(q="SELECT * FROM tf"), **ONE, **FEATURES))
 def b116(spark, d):
-    f = T.trajectory_features(WQ.panel(spark, d), SIZES)
-    return f.drop("acceleration", "velocity_spread")
+    return rounded(T.trajectory_features(hazard_panel(spark, d), SIZES, LIMITS))
+
+
+@query("b117_detect_onset", sql("SELECT * FROM ons2", **ROLE, **ONSET))
+def b117(spark, d):
+    return T.detect_onset(role_panel(spark, d), LIMITS)
+
+
+@query("b118_onset_crossover", sql("SELECT * FROM oc", **ROLE, **ONSET))
+def b118(spark, d):
+    return T.onset_crossover(stage(T.detect_onset(role_panel(spark, d), LIMITS), "onsets"))
 
 
-@query("b119_trajectory_wide", sql("""SELECT anchor_id, max(frames) FILTER ("window" = 60) AS "60_frames", max(transitions) FILTER ("window" = 60) AS "60_transitions", max(frames) FILTER ("window" = 180) AS "180_frames", max(transitions) FILTER ("window" = 180) AS "180_transitions" FROM tf GROUP BY anchor_id""", **TR))
+_WIDE = ", ".join(
+    f"""max({f}) FILTER ("window" = {w} AND window_role = 'hazard') AS "hazard_{w}__{f}\"""" for w in SIZES for f in T.HAZARD_FEATURES
+) + ", " + ", ".join(f"""avg({f}) FILTER ("window" = {w} AND window_role <> 'hazard') AS "control_mean_{w}__{f}\"""" for w in SIZES for f in T.DELTA_FEATURES)
+_DELTA = ", ".join(f'round("hazard_{w}__{f}" - "control_mean_{w}__{f}", 6) AS "delta_{w}__{f}"' for w in SIZES for f in T.DELTA_FEATURES)
+
+
+@query("b119_trajectory_wide", sql(_ROUND.format(q=f"SELECT *, {_DELTA} FROM (SELECT anchor_id, {_WIDE} FROM tf GROUP BY anchor_id)"), **ROLE, **FEATURES))
 def b119(spark, d):
-    return T.trajectory_wide(T.trajectory_features(WQ.panel(spark, d), SIZES), SIZES, ["frames", "transitions"])
+    return rounded(T.trajectory_wide(T.trajectory_features(role_panel(spark, d), SIZES, LIMITS), SIZES))
+
+
+@query("b119_onset_wide", sql(f"""SELECT anchor_id, onset_detected::INT::DOUBLE AS hazard_onset_detected, latency_to_anchor::DOUBLE AS hazard_onset_latency, below_prevalence::INT::DOUBLE AS hazard_onset_below_prevalence, {', '.join(f"coalesce(onset_channel = '{c}', false)::INT::DOUBLE AS hazard_onset_{c}" for c in T.ONSETS)}, round(dm, 6) AS onset_detected_delta_mean, round(lm, 6) AS onset_latency_delta_mean
+  FROM ons2 LEFT JOIN (SELECT anchor_id, avg(detected_delta) AS dm, avg(latency_delta) AS lm FROM oc GROUP BY anchor_id) USING (anchor_id) WHERE window_role = 'hazard'""", **ROLE, **ONSET))
+def b119_onset(spark, d):
+    onsets = stage(T.detect_onset(role_panel(spark, d), LIMITS), "onsets")
+    return T.onset_wide(onsets, T.onset_crossover(onsets))
 
 
 @query("b121_grouped_folds", sql("""SELECT event_id, (((r - 2) % n + n) % n % 5)::INT AS fold FROM ev JOIN (SELECT subject_id, row_number() OVER (ORDER BY subject_id) - 1 AS r, count(*) OVER () AS n FROM (SELECT DISTINCT subject_id FROM ev WHERE subject_id IS NOT NULL)) USING (subject_id)
