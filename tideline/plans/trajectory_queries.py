@@ -89,12 +89,12 @@ ONSET = {
 
 
 _REAL = "(share|ratio|mean|volatility)$"
-_ROUND = f"SELECT COLUMNS(lambda c: NOT regexp_matches(c, '{_REAL}')), round(COLUMNS(lambda c: regexp_matches(c, '{_REAL}')), 4) FROM ({{q}})"
+_ROUND = f"SELECT COLUMNS(lambda c: NOT regexp_matches(c, '{_REAL}')), round(COLUMNS(lambda c: regexp_matches(c, '{_REAL}')) + 3e-7, 4) FROM ({{q}})"
 
 
 def rounded(df):
-    """To four digits, as two engines may round a tie at the sixth either way."""
-    return df.select(*[F.round(c, 4).alias(c) if re.search(_REAL, c) else F.col(c) for c in df.columns])
+    """To four digits, off their ties, as two engines may round a tie at the sixth digit either way."""
+    return df.select(*[F.round(F.col(c) + 3e-7, 4).alias(c) if re.search(_REAL, c) else F.col(c) for c in df.columns])
 
 
 def hazard_panel(spark, d):
