@@ -372,3 +372,56 @@ def mechanism_crosstab(taxonomy: DataFrame) -> DataFrame:
     wide = taxonomy.withColumn("_l", loc).groupBy("mechanism").pivot("_l", [*STATES, "unknown"]).count().na.fill(0)
     total = sum((F.col(s) for s in (*STATES, "unknown")), F.lit(0))
     return wide.withColumn("total", total.cast("long")).withColumn("pct_of_chair", F.round(100 * F.col("chair") / F.sum("chair").over(Window.partitionBy()), 1))
+
+
+#: Signals of leaving the furniture, nudge colours, and where the furniture stands among the states (fixed values).
+EXIT_SIGNALS = ("nudge_boundary", "location_label", "posture_transition")
+COLOURS = ("green", "yellow", "red")
+POSTURES = ("sitting", "standing", "lying")
+FURNITURE_STATE = {"floor": "room"}
+
+
+def exit_concordance(events: DataFrame, frames: DataFrame, reach: int = 300, min_score: float = 0.5, min_run: int = 2) -> DataFrame:
+    """B127: by event and signal, the second of the day at which a signal shows that the furniture was left, against the adjudicated one.
+
+    events: row_id, monitor_id, date, last_furniture, departure_seconds. frames: monitor_id, date, second, event_id, state, posture, scores
+    and nudge_state. Frames within ``reach`` of the departure count: a nudge from green to yellow or red, a state other than
+    the furniture's, or a run of a posture other than the first.
+    """
+    bucket = lambda c: F.floor(c / reach)
+    known = events.filter(F.col("last_furniture").isNotNull() & F.col("departure_seconds").isNotNull())
+    near = known.select("row_id", "monitor_id", "date", "last_furniture", "departure_seconds", F.explode(F.sequence(bucket(F.col("departure_seconds")) - 1, bucket(F.col("departure_seconds")) + 1)).alias("_b"))
+    f = frames.withColumn("_b", bucket(F.col("second")))
+    rows = near.join(f, ["monitor_id", "date", "_b"]).filter(F.abs(F.col("second") - F.col("departure_seconds")) <= reach)
+    order = Window.partitionBy("row_id").orderBy("second", "event_id")
+    past = order.rowsBetween(Window.unboundedPreceding, -1)
+    colour = F.lower(F.trim("nudge_state"))
+    state, home = F.lower(F.trim("state")), _alias(F.col("last_furniture"), FURNITURE_STATE)
+    posture = F.lower(F.trim("posture"))
+    posed = posture.isin(*POSTURES)
+    rows = rows.withColumn("_colour", F.when(colour.isin(*COLOURS), colour)).withColumn("_posture", F.when(posed, posture))
+    first = F.first("_posture", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    top = F.greatest(*[F.coalesce(f"score_{p}", F.lit(0.0)) for p in POSTURES])
+    rows = rows.withColumn("_before", F.last("_colour", ignorenulls=True).over(past)).withColumn("_other", F.coalesce((F.col("_posture") != first) & (top >= min_score), F.lit(False)))
+    of = Window.partitionBy("row_id", F.col("_posture").isNotNull()).orderBy("second", "event_id")
+    run = F.row_number().over(of) - F.row_number().over(Window.partitionBy("row_id", F.col("_posture").isNotNull(), "_other").orderBy("second", "event_id"))
+    rows = rows.withColumn("_run", run).withColumn("_length", F.count(F.lit(1)).over(Window.partitionBy("row_id", F.col("_posture").isNotNull(), "_other", "_run")))
+    hits = (
+        (F.col("_before") == "green") & F.col("_colour").isin("yellow", "red"),
+        state.isNotNull() & ~state.isin("", "nan", "unknown") & (state != home),
+        F.col("_other") & F.col("_posture").isNotNull() & (F.col("_length") >= min_run),
+    )
+    found = rows.groupBy("row_id").agg(*[F.min(F.when(h, F.col("second"))).alias(n) for n, h in zip(EXIT_SIGNALS, hits, strict=True)])
+    wide = known.select("row_id", "last_furniture", "departure_seconds").join(found, "row_id", "left")
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("signal_type"), F.col(n).alias("signal_seconds")) for n in EXIT_SIGNALS])).alias("x")
+    out = wide.select("row_id", "last_furniture", "departure_seconds", each).select("row_id", "last_furniture", "departure_seconds", "x.*")
+    return out.withColumn("bias_seconds", F.col("signal_seconds") - F.col("departure_seconds")).withColumn("found", F.col("signal_seconds").isNotNull())
+
+
+def exit_summary(concordance: DataFrame) -> DataFrame:
+    """B127: events, detections, bias and absolute error by signal."""
+    err, q = F.abs("bias_seconds"), lambda c, p: F.percentile(c, F.lit(p))
+    return concordance.groupBy("signal_type").agg(
+        F.count(F.lit(1)).alias("events"), F.count("bias_seconds").alias("detected"), q(F.col("bias_seconds"), 0.5).alias("bias_median"), F.round(F.avg("bias_seconds"), 6).alias("bias_mean"),
+        F.round(F.avg(err), 6).alias("mae"), q(err, 0.5).alias("p50_abs_error"), q(err, 0.9).alias("p90_abs_error"),
+    )

@@ -7,8 +7,11 @@ import re
 from pyspark.sql import functions as F
 
 from tideline.config import DEFAULT
+from tideline.operators import quality as Q
+from tideline.operators import shadow as H
 from tideline.operators import trajectory as T
 from tideline.operators import windows as W
+from tideline.plans import quality_queries as QQ
 from tideline.plans import window_queries as WQ
 from tideline.plans.standins import events, sql
 from tideline.sources.staging import stage
@@ -152,6 +155,85 @@ def b119_onset(spark, d):
     return T.onset_wide(onsets, T.onset_crossover(onsets))
 
 
+EXIT = {
+    "ex": "SELECT row_id, split_part(event_key, '|', 1)::BIGINT AS monitor_id, split_part(event_key, '|', 2) AS date, last_furniture, departure_seconds AS dep FROM an WHERE status = 'included_fall' AND last_furniture IS NOT NULL AND departure_seconds IS NOT NULL",
+    "ew": """SELECT ex.row_id, ex.last_furniture, ex.dep, f.* FROM ex JOIN (SELECT event_id, monitor_id, strftime(ts, '%Y-%m-%d') AS date, (epoch_us(ts) // 1000000) % 86400 AS sec, state, posture, coalesce(score_sitting, score_standing, score_lying, 0) AS top, CASE WHEN staff_iou = 0 THEN 'green' WHEN staff_iou < 0.85 THEN 'yellow' ELSE 'red' END AS colour FROM s) f
+      ON f.monitor_id = ex.monitor_id AND f.date = ex.date AND abs(f.sec - ex.dep) <= 21600""",
+    "e1": "SELECT *, lag(colour) OVER x AS before, arg_min(posture, (sec, event_id)) FILTER (posture IS NOT NULL) OVER (PARTITION BY row_id) AS base FROM ew WINDOW x AS (PARTITION BY row_id ORDER BY sec, event_id)",
+    "e2": "SELECT *, coalesce(posture <> base AND top >= 0.5, false) AS other FROM e1",
+    "e3": "SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY sec, event_id) - row_number() OVER (PARTITION BY row_id, other ORDER BY sec, event_id) AS run FROM e2 WHERE posture IS NOT NULL",
+    "e4": "SELECT row_id, min(sec) AS sec FROM (SELECT *, count(*) OVER (PARTITION BY row_id, other, run) AS n FROM e3) WHERE other AND n >= 2 GROUP BY row_id",
+    "e5": "SELECT row_id, min(sec) FILTER (before = 'green' AND colour <> 'green') AS a, min(sec) FILTER (state <> CASE last_furniture WHEN 'floor' THEN 'room' ELSE last_furniture END) AS b FROM e2 GROUP BY row_id",
+    "ec": """SELECT row_id, last_furniture, dep::INT AS departure_seconds, x.t AS signal_type, x.s::BIGINT AS signal_seconds, (x.s - dep)::BIGINT AS bias_seconds, x.s IS NOT NULL AS found FROM (SELECT ex.*, unnest([{'t': 'nudge_boundary', 's': e5.a}, {'t': 'location_label', 's': e5.b}, {'t': 'posture_transition', 's': e4.sec}]) AS x
+      FROM ex LEFT JOIN e5 USING (row_id) LEFT JOIN e4 USING (row_id))""",
+}
+
+
+def concordance(spark, d):
+    a = QQ.annotations(spark, d).filter("status = 'included_fall'")
+    part = lambda i: F.get(F.split("event_key", r"\|"), F.lit(i))
+    ev = a.select("row_id", part(0).cast("long").alias("monitor_id"), part(1).alias("date"), "last_furniture", F.col("departure_seconds").cast("int").alias("departure_seconds"))
+    s = W.signal_flags(WQ.signals(spark, d))
+    colour = F.when(F.col("staff_iou") == 0, "green").when(F.col("staff_iou") < 0.85, "yellow").otherwise("red")
+    frames = s.select("event_id", "monitor_id", F.date_format("ts", "yyyy-MM-dd").alias("date"), F.pmod(F.unix_seconds("ts"), F.lit(86_400)).alias("second"), "state", "posture", *[f"score_{p}" for p in T.POSTURES], colour.alias("nudge_state"))
+    return Q.exit_concordance(ev, frames, 21_600)
+
+
+@query("b127_exit_concordance", sql("SELECT * FROM ec", **QQ.AN, s=WQ.G, **EXIT))
+def b127(spark, d):
+    return concordance(spark, d)
+
+
+@query("b127_exit_summary", sql("SELECT signal_type, count(*) AS events, count(bias_seconds) AS detected, quantile_cont(bias_seconds, 0.5) AS bias_median, round(avg(bias_seconds), 6) AS bias_mean, round(avg(abs(bias_seconds)), 6) AS mae, quantile_cont(abs(bias_seconds), 0.5) AS p50_abs_error, quantile_cont(abs(bias_seconds), 0.9) AS p90_abs_error FROM ec GROUP BY signal_type", **QQ.AN, s=WQ.G, **EXIT))
+def b127_summary(spark, d):
+    return Q.exit_summary(concordance(spark, d))
+
+
+def shadow_frame(spark, d):
+    """Anchors as sequences: their windows' probabilities, a truth by the event's k, and the features of their windows and onsets."""
+    k = F.col("k")
+    told = events(spark, d).filter("event_type = 'error'").select(F.col("event_id").alias("anchor_id"), "monitor_id", F.when(k % 10 > F.floor(k / 10), "chair").when(k % 10 < F.floor(k / 10), "bed").otherwise("room").alias("truth"))
+    windows = WQ.labelled(spark, d).select("anchor_id", F.col("label").alias("derived"), *[f"prob_{s}" for s in T.STATES])
+    scored = stage(told.join(windows, "anchor_id").withColumn("sequence_id", F.col("anchor_id")), "scored")
+    panel = role_panel(spark, d)
+    onsets = stage(T.detect_onset(panel, LIMITS), "onsets")
+    wide = stage(T.trajectory_wide(T.trajectory_features(panel, SIZES, LIMITS), SIZES), "wide")
+    frame, families = H.feature_frame(scored, scored.select("sequence_id", "anchor_id"), wide, T.onset_wide(onsets, T.onset_crossover(onsets)))
+    return stage(frame, "features"), families
+
+
+def predictions(spark, d):
+    frame, families = shadow_frame(spark, d)
+    return H.cv_predict(frame, [c for f in families.values() for c in f], "stacked", folds=3, repeats=1)
+
+
+@query("b120_feature_frame")
+def b120(spark, d):
+    return shadow_frame(spark, d)[0]
+
+
+@query("b123_cv_predict")
+def b123(spark, d):
+    return predictions(spark, d)
+
+
+@query("b124_fold_metrics")
+def b124(spark, d):
+    return H.fold_metrics(predictions(spark, d))
+
+
+@query("b125_feature_importance")
+def b125(spark, d):
+    frame, families = shadow_frame(spark, d)
+    return H.feature_importance(frame, families, "stacked")
+
+
+@query("b126_ablation")
+def b126(spark, d):
+    frame, families = shadow_frame(spark, d)
+    return H.ablation(frame, families, folds=2, repeats=1)
+
+
 @query("b121_grouped_folds", sql("""SELECT event_id, (((r - 2) % n + n) % n % 5)::INT AS fold FROM ev JOIN (SELECT subject_id, row_number() OVER (ORDER BY subject_id) - 1 AS r, count(*) OVER () AS n FROM (SELECT DISTINCT subject_id FROM ev WHERE subject_id IS NOT NULL)) USING (subject_id)
   UNION ALL SELECT event_id, ((row_number() OVER (ORDER BY event_id) - 1 + 2) % 5)::INT FROM ev WHERE subject_id IS NULL"""))
 def b121(spark, d):
