@@ -165,6 +165,33 @@ def signal_regime(visible: Column, transient: Column, away: Column, presence: Co
     return out.when(hidden & (presence >= min_presence), "present_but_sparse").when(hidden, "temporarily_not_visible").otherwise("unknown")
 
 
+def departure_confidence(f: dict[str, Column]) -> Column:
+    """How surely the room was reached from a chair or bed, from a window's features (see scorer.panel_summary)."""
+    part = lambda c, scale: F.least(F.lit(1.0), F.coalesce(c.cast("double"), F.lit(0.0)) / scale)
+    left = f["anchor_label"].isin("chair", "bed") & (f["tail_label"] == "room")
+    moved = F.when(F.coalesce(f["departure_detected"], F.lit(False)), 0.30).otherwise(0.0) + F.when(F.coalesce(left, F.lit(False)), 0.10).otherwise(0.0)
+    shares = 0.25 * part(f["tail_share_room"], 0.25) + 0.20 * part(f["tail_nearest_room"], 0.35) + 0.10 * margin_score(f["room_bed_margin_delta"])
+    return clamp(moved + shares + 0.03 * part(f["tail_overlap_max"], 0.25) + 0.02 * part(f["tail_nudge_score_max"], 0.70))
+
+
+def presence_support(f: dict[str, Column], motion_scale: float = 0.15, object_scale: float = 0.50, posture_frames: float = 6.0) -> dict[str, Column]:
+    """Support for anyone being there, and for each place, from a window's features; each on 0..1."""
+    zero = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
+    motion = scaled_support(F.greatest(zero(f["tail_motion_max"]), zero(f["tail_motion_mean"])), motion_scale)
+    patient = F.greatest(scaled_support(f["anchor_n_patient_mean"]), scaled_support(f["tail_n_patient_mean"]))
+    other, bed, chair = scaled_support(f["tail_n_other_mean"], object_scale), scaled_support(f["tail_n_bed_mean"]), scaled_support(f["tail_n_chair_mean"])
+    posture = scaled_support(f["tail_posture_frames"], posture_frames)
+    in_bed = F.greatest(zero(f["tail_in_bed_score_max"]), zero(f["tail_in_bed_score_mean"]))
+    out = {
+        "presence": F.greatest(patient, posture, 0.75 * in_bed, 0.60 * motion, 0.50 * F.greatest(other, bed, chair)),
+        "room": F.greatest(zero(f["tail_share_room"]), zero(f["tail_nearest_room"]), 0.60 * other, 0.40 * motion),
+        "bed": F.greatest(zero(f["tail_probs"]["bed"]), zero(f["tail_nearest_bed"]), 0.65 * in_bed, 0.50 * bed),
+        "chair": F.greatest(zero(f["tail_probs"]["chair"]), 0.50 * chair, 0.35 * patient),
+        "bed_in_bed": in_bed, "motion": motion, "patient_candidate": patient, "other_candidate": other, "bed_candidate": bed, "chair_candidate": chair, "posture": posture,
+    }
+    return {n: clamp(c) for n, c in out.items()}
+
+
 def velocity_tiebreak(p: Column, velocity: dict[str, Column], room_support: Column, margin: float = 0.10, min_approach: float = 0.05) -> Column:
     """Where the two leading visible states are close, the one approached fastest gets the mass; ties in the order of VISIBLE."""
     speed = {f"v_{n}": F.greatest(F.lit(0.0), -F.coalesce(velocity[n], F.lit(0.0))).alias(f"v_{n}") for n in VISIBLE}

@@ -9,6 +9,8 @@ from tideline.functions import probs as P
 
 #: Offsets of the anchor and the tail window, in seconds before the event (fixed values).
 ANCHOR, TAIL = (-180, -61), (-60, -1)
+#: Columns of a frame that not every source has.
+MORE = ("nudge_score", "motion", "n_patient", "n_other", "n_bed", "n_chair", "in_bed_score")
 
 
 def panel_summary(panel: DataFrame, half_life: float = 45.0) -> DataFrame:
@@ -17,6 +19,7 @@ def panel_summary(panel: DataFrame, half_life: float = 45.0) -> DataFrame:
     Distances count by 2^(offset / half_life) / distance (0.75) beside label shares (0.25).
     """
     inside = lambda w: F.col("offset").between(*w)
+    panel = panel.withColumns({c: F.lit(None).cast("double") for c in MORE if c not in panel.columns})
     seen = panel.filter("has_location")
     w = Window.partitionBy("anchor_id", F.col("offset").between(*TAIL)).orderBy("offset", "event_id")
     lagged = {f"v_{s}": (F.col(f"d_{s}") - F.lag(f"d_{s}").over(w)) / F.nullif(F.col("offset") - F.lag("offset").over(w), F.lit(0)) for s in P.VISIBLE}
@@ -32,9 +35,18 @@ def panel_summary(panel: DataFrame, half_life: float = 45.0) -> DataFrame:
             aggs.append(F.count_if(on & (F.col("state") == s)).alias(f"{name}_n_{s}"))
         posed = inside(win) & F.col("has_posture")
         aggs.append(F.count_if(posed).alias(f"{name}_posture_frames"))
+        mean = lambda c, when=None, win=win: F.avg(F.when(inside(win) if when is None else inside(win) & when, c))
+        zero = lambda c: F.coalesce(c, F.lit(0.0))
+        aggs += [zero(mean((F.col("state") == s).cast("double"))).alias(f"{name}_share_{s}") for s in (*P.VISIBLE, "no_patient")]
+        placed = F.col("has_location") & F.coalesce(*[F.col(f"d_{s}") for s in P.VISIBLE]).isNotNull()
+        aggs += [zero(mean((F.col("state") == s).cast("double"), placed)).alias(f"{name}_nearest_{s}") for s in P.VISIBLE]
+        aggs.append(mean(F.col("d_bed") - F.col("d_room"), F.col("has_location")).alias(f"{name}_room_bed_margin"))
+        aggs += [zero(mean((F.col("posture") == p).cast("double"), F.col("has_posture"))).alias(f"{name}_posture_share_{p}") for p in P.POSTURES]
+        aggs += [zero(mean(F.col(c))).alias(f"{name}_{c}_mean") for c in MORE] + [zero(F.max(F.when(inside(win), F.col(c)))).alias(f"{name}_{c}_max") for c in MORE]
+        aggs.append(zero(mean(F.col("staff_iou"))).alias(f"{name}_overlap_mean"))
         for p in P.POSTURES:
             aggs.append(F.coalesce(F.sum(F.when(posed, recency * F.coalesce(f"score_{p}", F.lit(0.0)))), F.lit(0.0)).alias(f"{name}_p_{p}"))
-    aggs += [F.max(F.when(inside(TAIL), F.col("staff_iou"))).alias("tail_overlap_max"), F.max(F.when((F.col("offset") < 0) & F.col("has_location"), F.col("offset"))).alias("_last"), F.avg(F.when(inside(TAIL) & F.col("has_location"), F.col("d_bed") - F.col("d_room"))).alias("tail_room_bed_margin")]
+    aggs += [F.max(F.when(inside(TAIL), F.col("staff_iou"))).alias("tail_overlap_max"), F.max(F.when((F.col("offset") < 0) & F.col("has_location"), F.col("offset"))).alias("_last")]
     g = panel.groupBy("anchor_id").agg(*aggs).join(speeds, "anchor_id", "left").na.fill(0.0, [f"velocity_{s}" for s in P.VISIBLE])
     for name in ("anchor", "tail"):
         near = P.normalize_visible({s: F.col(f"{name}_w_{s}") for s in P.VISIBLE})
@@ -45,8 +57,8 @@ def panel_summary(panel: DataFrame, half_life: float = 45.0) -> DataFrame:
         g = g.withColumn(f"{name}_label", P.dominant(F.col(f"{name}_probs"), least=0.40))
     g = g.withColumn("last_visible_gap", (-F.col("_last")).cast("double"))
     departed = F.col("anchor_label").isin("chair", "bed") & (F.col("tail_label") == "room")
-    drop = [c for c in g.columns if c == "_last" or c.endswith(("_near", "_share")) or "_w_" in c or "_n_" in c or "_p_" in c]
-    return g.withColumn("departure_detected", departed).drop(*drop)
+    drop = [c for c in g.columns if c == "_last" or c.endswith(("_near", "_share")) or c.startswith(tuple(f"{n}_{x}_" for n in ("anchor", "tail") for x in "wp")) or c in {f"{n}_n_{x}" for n in ("anchor", "tail") for x in P.VISIBLE}]
+    return g.withColumn("departure_detected", departed).withColumn("room_bed_margin_delta", F.col("tail_room_bed_margin") - F.col("anchor_room_bed_margin")).drop(*drop)
 
 
 def blended_state(windows: DataFrame, summary: DataFrame, base_weight: float = 0.45, recent_gap_s: float = 60.0) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions import timefn
 from tideline.operators.joins import interval_join
+from tideline.sources.staging import stage
 
 DISTANCES = ("chair", "bed", "room")
 
@@ -153,22 +154,39 @@ def role_summary(roles: DataFrame, signals: DataFrame, keys: list[str], before_s
     return roles.join(g, ["anchor_id", "window_role"], "left").withColumn("frame_count", F.coalesce("frame_count", F.lit(0).cast("long")))
 
 
+def _nearest_in(anchors: DataFrame, chunks: DataFrame, keys: list[str], tier: int, k: int) -> DataFrame:
+    """For every anchor the k chunks of its keys that are nearest in time, ties by chunk_id, and how many there are.
+
+    An anchor's place among the chunks of its keys, in order of time, tells which k before it and k after it to look at.
+    """
+    by = Window.partitionBy(*keys)
+    placed = chunks.select(*keys, "chunk_id", "ct", F.row_number().over(by.orderBy("ct", "chunk_id")).alias("up"), F.row_number().over(by.orderBy("ct", F.col("chunk_id").desc())).alias("down"), F.count(F.lit(1)).over(by).alias("candidates"))
+    both = chunks.select(*keys, F.col("ct").alias("t"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("anchor_id")).unionByName(anchors.select(*keys, F.col("et").alias("t"), F.lit(1).alias("kind"), "anchor_id"))
+    before = F.sum(1 - F.col("kind")).over(by.orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    at = both.withColumn("_p", before).filter("kind = 1").select(*keys, "anchor_id", F.col("t").alias("et"), "_p")
+    look = lambda lo, hi: F.explode(F.sequence(F.col("_p") + lo, F.col("_p") + hi))
+    down = at.select(*keys, "anchor_id", "et", look(1 - k, 0).alias("down")).join(placed.drop("up"), [*keys, "down"]).drop("down")
+    up = at.select(*keys, "anchor_id", "et", look(1, k).alias("up")).join(placed.drop("down"), [*keys, "up"]).drop("up")
+    found = down.unionByName(up).withColumn("gap", F.abs(F.col("ct") - F.col("et")))
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("anchor_id").orderBy("gap", "chunk_id"))).filter(F.col("rank") <= k)
+    return ranked.select("anchor_id", "chunk_id", F.lit(tier).alias("tier"), "candidates", F.col("rank").cast("long").alias("rank"), (F.col("gap") / 1_000_000).cast("long").alias("gap_seconds"))
+
+
 def match_controls(anchors: DataFrame, chunks: DataFrame, event_units: DataFrame, zone: str, k: int) -> DataFrame:
     """Up to k chunks of units without events, of the anchor's division: of its hour, else its daypart, else any; nearest in time first.
 
-    Candidates are ranked within (anchor, tier) only, and the division is the equality of the join.
+    Each tier looks only for the anchors that those before it left, and at 2k chunks an anchor.
     """
     free = chunks.join(event_units.select("monitor_id").filter("monitor_id IS NOT NULL").distinct(), "monitor_id", "left_anti")
     local = F.hour(timefn.to_local(F.col("anchor_ts"), zone))
-    a = anchors.select("anchor_id", "division_id", F.col("anchor_ts").alias("event_ts"), local.alias("h"), timefn.daypart(local).alias("p"))
-    c = free.select(F.col("division_id").alias("_d"), "chunk_id", F.col("anchor_ts").alias("chunk_ts"), "anchor_hour", "anchor_daypart")
-    j = a.join(c, F.col("division_id") == F.col("_d")).drop("_d")
-    tier = F.when(F.col("anchor_hour") == F.col("h"), 1).when(F.col("anchor_daypart") == F.col("p"), 2).otherwise(3)
-    j = j.withColumn("tier", tier).withColumn("gap", F.abs(F.unix_micros("chunk_ts") - F.unix_micros("event_ts")))
-    w = Window.partitionBy("anchor_id")
-    j = j.withColumn("best", F.min("tier").over(w)).filter("tier = best").withColumn("candidates", F.count(F.lit(1)).over(w))
-    ranked = j.withColumn("rank", F.row_number().over(w.orderBy("gap", "chunk_id"))).filter(F.col("rank") <= k)
-    return ranked.select("anchor_id", "chunk_id", "tier", "candidates", F.col("rank").cast("long").alias("rank"), (F.col("gap") / 1_000_000).cast("long").alias("gap_seconds"))
+    a = stage(anchors.select("anchor_id", "division_id", F.unix_micros("anchor_ts").alias("et"), local.alias("h"), timefn.daypart(local).alias("p")), "match-anchors")
+    c = stage(free.select("division_id", "chunk_id", F.unix_micros("anchor_ts").alias("ct"), F.col("anchor_hour").alias("h"), F.col("anchor_daypart").alias("p")), "match-chunks")
+    out = None
+    for tier, keys in ((1, ["division_id", "h"]), (2, ["division_id", "p"]), (3, ["division_id"])):
+        made = stage(_nearest_in(a, c, keys, tier, k), "matched")
+        out = made if out is None else out.unionByName(made)
+        a = a.join(made.select("anchor_id").distinct(), "anchor_id", "left_anti")
+    return out
 
 
 def paired_effects(windows: DataFrame, metrics: list[str]) -> DataFrame:

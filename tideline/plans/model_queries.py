@@ -54,6 +54,29 @@ def b50(spark, d):
     return s.select("anchor_id", "anchor_frames", "tail_frames", "tail_overlap_max", "last_visible_gap", F.round("tail_probs.chair", 9).alias("tail_chair"), F.round("tail_probs.bed", 9).alias("tail_bed"))
 
 
+_WEIGH = "coalesce(sum(CASE WHEN d_{s} IS NOT NULL THEN power(2, o / 45) / greatest(d_{s}, 1e-6) END) FILTER (o BETWEEN {w}), 0)"
+_P54 = ", ".join(f"{_WEIGH.format(s=s, w=w)} AS w{x}_{s}, count(*) FILTER (o BETWEEN {w} AND state = '{s}') AS n{x}_{s}" for x, w in (("a", "-180 AND -61"), ("t", "-60 AND -1")) for s in ("chair", "bed", "room"))
+_NEAR54 = ", ".join(f"CASE WHEN w{x}_chair + w{x}_bed + w{x}_room > 0 THEN 0.75 * w{x}_{s} / (w{x}_chair + w{x}_bed + w{x}_room) + 0.25 * n{x}_{s} / (n{x}_chair + n{x}_bed + n{x}_room) ELSE 0 END AS p{x}_{s}" for x in "at" for s in ("chair", "bed", "room"))
+_LAB54 = ", ".join(f"CASE WHEN greatest(p{x}_chair, p{x}_bed, p{x}_room) < 0.4 THEN 'none' WHEN p{x}_room = greatest(p{x}_chair, p{x}_bed, p{x}_room) THEN 'room' WHEN p{x}_chair = greatest(p{x}_chair, p{x}_bed, p{x}_room) THEN 'chair' ELSE 'bed' END AS l{x}" for x in "at")
+SUPPORT = {
+    "f0": f"""SELECT anchor_id, {_P54}, coalesce(avg((state = 'room')::INT) FILTER (o BETWEEN -60 AND -1), 0) AS sr, coalesce(avg((state = 'room')::INT) FILTER (o BETWEEN -60 AND -1 AND loc), 0) AS nr, coalesce(avg((state = 'bed')::INT) FILTER (o BETWEEN -60 AND -1 AND loc), 0) AS nb,
+      coalesce(max(staff_iou) FILTER (o BETWEEN -60 AND -1), 0) AS ov, count(*) FILTER (o BETWEEN -60 AND -1 AND (posed)) AS pf, coalesce(avg(staff_iou) FILTER (o BETWEEN -60 AND -1), 0) AS mo FROM (SELECT *, floor(-back)::BIGINT AS o FROM j) GROUP BY anchor_id""",
+    "f1": f"SELECT *, {_NEAR54} FROM f0",
+    "f2": f"SELECT *, {_LAB54} FROM f1",
+}
+
+
+@query("b54_presence_support", sql("""SELECT anchor_id, round(least(1, CASE WHEN la IN ('chair', 'bed') AND lt = 'room' THEN 0.4 ELSE 0 END + 0.25 * least(1, sr / 0.25) + 0.2 * least(1, nr / 0.35) + 0.03 * least(1, ov / 0.25) + 0.02 * least(1, ov / 0.7)), 9) AS departure_confidence,
+  round(greatest(least(1, pf / 6), 0.6 * least(1, ov / 0.15), 0.75 * ov), 9) AS presence, round(greatest(sr, nr, 0.4 * least(1, ov / 0.15)), 9) AS room, round(greatest(pt_bed, nb, 0.65 * ov), 9) AS bed, round(pt_chair, 9) AS chair FROM f2""", **WQ.BASE, **SUPPORT))
+def b54(spark, d):
+    """The staff overlap stands for nudges, motion and the score of being in bed; there are no candidate counts."""
+    iou = F.col("staff_iou")
+    s = S.panel_summary(WQ.panel(spark, d).withColumns({"nudge_score": iou, "motion": iou, "in_bed_score": iou}))
+    f = {c: F.col(c) for c in s.columns}
+    p = P.presence_support(f)
+    return s.select("anchor_id", F.round(P.departure_confidence(f), 9).alias("departure_confidence"), *[F.round(p[n], 9).alias(n) for n in ("presence", "room", "bed", "chair")])
+
+
 @query("b53_blended_state")
 def b53(spark, d):
     """Staged scoring on structs; tests hold its parts against plain Python."""

@@ -257,7 +257,7 @@ def matched(spark, d):
 
 
 _MP = "SELECT m.anchor_id, m.chunk_id::BIGINT AS chunk_id, s.event_id FROM m JOIN (SELECT *, monitor_id * 100000 + chunk AS chunk_id FROM c) c ON m.chunk_id = c.chunk_id JOIN s ON s.monitor_id = c.monitor_id AND s.ts >= c.chunk_start AND s.ts BETWEEN c.anchor_ts - INTERVAL 24 HOUR AND c.anchor_ts"
-MT = {"a": WQ.A, "s": WQ.G, "c": WQ._CHUNKS, "m": WQ._MATCH}
+MT = {"a": WQ.A, "s": WQ.G, "c": WQ._CHUNKS, "sev": WQ.SEV, "m": WQ._MATCH}
 
 
 @query("b39_matched_panel", sql("SELECT * FROM mp", **MT, mp=_MP))

@@ -32,6 +32,10 @@ def anchors(spark, d):
     return e.select(F.col("event_id").alias("anchor_id"), *KEYS, F.when(F.col("k") % 2 == 0, F.col("subject_id")).alias("subject_id"), F.col("ts").alias("anchor_ts"))
 
 
+def severe(spark, d):
+    return anchors(spark, d).join(events(spark, d).filter(f"value > {SEVERE}").select(F.col("event_id").alias("anchor_id")), "anchor_id", "left_semi")
+
+
 def signals(spark, d):
     e = events(spark, d).filter("event_type <> 'error'")
     near = lambda kind: F.when(F.col("event_type") == kind, F.col("value"))
@@ -43,6 +47,9 @@ def signals(spark, d):
     )
 
 
+#: Errors over this value are severe.
+SEVERE = 150
+SEV = f"SELECT * FROM a SEMI JOIN (SELECT event_id AS anchor_id FROM ev WHERE value > {SEVERE}) USING (anchor_id)"
 A = "SELECT event_id AS anchor_id, division_id, monitor_id, CASE WHEN k % 2 = 0 THEN subject_id END AS subject_id, ts AS anchor_ts FROM ev WHERE event_type = 'error'"
 G = """SELECT event_id, division_id, monitor_id, subject_id, ts, CASE WHEN event_type = 'click' THEN value END AS d_chair, CASE WHEN event_type = 'view' THEN value END AS d_bed, CASE WHEN event_type = 'purchase' THEN value END AS d_room,
   CASE WHEN k >= 70 THEN k / 100 ELSE 0 END AS staff_iou, CASE k % 4 WHEN 0 THEN 'sitting' WHEN 1 THEN 'standing' WHEN 2 THEN 'lying' END AS posture,
@@ -238,21 +245,22 @@ def b41(spark, d):
 
 _MATCH = """SELECT anchor_id, chunk_id, tier, candidates, rank, gap // 1000000 AS gap_seconds FROM (SELECT *, count(*) OVER (PARTITION BY anchor_id) AS candidates, row_number() OVER (PARTITION BY anchor_id ORDER BY gap, chunk_id) AS rank FROM
   (SELECT *, min(tier) OVER (PARTITION BY anchor_id) AS best FROM (SELECT a.anchor_id, c.chunk_id, abs(epoch_us(c.anchor_ts) - epoch_us(a.anchor_ts)) AS gap, CASE WHEN c.h = a.h THEN 1 WHEN c.p = a.p THEN 2 ELSE 3 END AS tier FROM
-    (SELECT *, hour(timezone('America/Chicago', timezone('UTC', anchor_ts))) AS h, CASE WHEN h <= 5 THEN 1 ELSE h // 3 END AS p FROM a WHERE monitor_id % 3 <> 0) a JOIN (SELECT *, monitor_id * 100000 + chunk AS chunk_id, hour(timezone('America/Chicago', timezone('UTC', anchor_ts))) AS h, CASE WHEN h <= 5 THEN 1 ELSE h // 3 END AS p FROM c WHERE monitor_id % 3 = 0) c USING (division_id))) WHERE tier = best) WHERE rank <= 3"""
+    (SELECT *, hour(timezone('America/Chicago', timezone('UTC', anchor_ts))) AS h, CASE WHEN h <= 5 THEN 1 ELSE h // 3 END AS p FROM sev) a JOIN (SELECT *, monitor_id * 100000 + chunk AS chunk_id, hour(timezone('America/Chicago', timezone('UTC', anchor_ts))) AS h, CASE WHEN h <= 5 THEN 1 ELSE h // 3 END AS p FROM c WHERE monitor_id NOT IN (SELECT monitor_id FROM sev)) c USING (division_id))) WHERE tier = best) WHERE rank <= 3"""
 
 
 def matches(spark, d):
-    a = anchors(spark, d).filter("monitor_id % 3 <> 0")
+    """Severe errors beside chunks of the units that have none."""
+    a = severe(spark, d)
     c = chunks(spark, d).withColumn("chunk_id", F.col("monitor_id") * 100_000 + F.col("chunk"))
-    return a, W.match_controls(a, c, events(spark, d).filter("monitor_id % 3 <> 0"), DEFAULT.time_zone, DEFAULT.match_limit)
+    return a, W.match_controls(a, c, a, DEFAULT.time_zone, DEFAULT.match_limit)
 
 
-@query("b37_match_controls", sql("SELECT anchor_id, chunk_id::BIGINT AS chunk_id, tier, candidates, rank, gap_seconds FROM m", a=A, s=G, c=_CHUNKS, m=_MATCH))
+@query("b37_match_controls", sql("SELECT anchor_id, chunk_id::BIGINT AS chunk_id, tier, candidates, rank, gap_seconds FROM m", a=A, s=G, c=_CHUNKS, sev=SEV, m=_MATCH))
 def b37(spark, d):
     return matches(spark, d)[1]
 
 
-@query("b43_match_quality", sql("SELECT CASE tier WHEN 1 THEN 'same_hour' WHEN 2 THEN 'same_daypart' WHEN 3 THEN 'division' ELSE 'no_candidate' END AS match, count(*) AS anchors, coalesce(sum(n), 0)::BIGINT AS controls FROM (SELECT anchor_id FROM a WHERE monitor_id % 3 <> 0) LEFT JOIN (SELECT anchor_id, max(tier) AS tier, count(*) AS n FROM m GROUP BY anchor_id) USING (anchor_id) GROUP BY ALL", a=A, s=G, c=_CHUNKS, m=_MATCH))
+@query("b43_match_quality", sql("SELECT CASE tier WHEN 1 THEN 'same_hour' WHEN 2 THEN 'same_daypart' WHEN 3 THEN 'division' ELSE 'no_candidate' END AS match, count(*) AS anchors, coalesce(sum(n), 0)::BIGINT AS controls FROM sev LEFT JOIN (SELECT anchor_id, max(tier) AS tier, count(*) AS n FROM m GROUP BY anchor_id) USING (anchor_id) GROUP BY ALL", a=A, s=G, c=_CHUNKS, sev=SEV, m=_MATCH))
 def b43(spark, d):
     return W.match_quality(*matches(spark, d))
 
@@ -268,19 +276,19 @@ def b45(spark, d):
     return W.response_curve(summary(spark, d), 180, H)
 
 
-_SPANS = "SELECT event_id, division_id, monitor_id, ts AS start, lead(ts) OVER (PARTITION BY monitor_id ORDER BY ts, event_id) AS \"end\" FROM ev WHERE k % 2 = 0"
+_SPANS = "SELECT event_id, division_id, monitor_id, ts AS start, lead(ts) OVER (PARTITION BY monitor_id ORDER BY ts, event_id) AS \"end\" FROM ev WHERE event_type <> 'error'"
 
 
 def spans(spark, d):
     from pyspark.sql import Window
 
-    e = events(spark, d).filter("k % 2 = 0")
+    e = events(spark, d).filter("event_type <> 'error'")
     return e.select("event_id", *KEYS, F.col("ts").alias("start"), F.lead("ts").over(Window.partitionBy("monitor_id").orderBy("ts", "event_id")).alias("end")).filter("end IS NOT NULL")
 
 
-@query("a26_overlap_join", sql("SELECT p.event_id, q.event_id AS other_id, date_sub('microsecond', greatest(p.start, q.start), least(p.\"end\", q.\"end\")) AS common_us FROM sp p JOIN (SELECT event_id, monitor_id, ts AS start, ts + INTERVAL 5 HOUR AS \"end\" FROM ev WHERE k % 2 = 1) q ON p.monitor_id = q.monitor_id AND p.start < q.\"end\" AND q.start < p.\"end\"", sp=_SPANS))
+@query("a26_overlap_join", sql("SELECT p.event_id, q.event_id AS other_id, date_sub('microsecond', greatest(p.start, q.start), least(p.\"end\", q.\"end\")) AS common_us FROM sp p JOIN (SELECT event_id, monitor_id, ts AS start, ts + INTERVAL 5 HOUR AS \"end\" FROM ev WHERE event_type = 'error') q ON p.monitor_id = q.monitor_id AND p.start < q.\"end\" AND q.start < p.\"end\"", sp=_SPANS))
 def a26(spark, d):
-    o = events(spark, d).filter("k % 2 = 1").select(F.col("event_id").alias("other_id"), *KEYS, F.col("ts").alias("start_r"), (F.col("ts") + F.expr("INTERVAL 5 HOURS")).alias("end_r"))
+    o = events(spark, d).filter("event_type = 'error'").select(F.col("event_id").alias("other_id"), *KEYS, F.col("ts").alias("start_r"), (F.col("ts") + F.expr("INTERVAL 5 HOURS")).alias("end_r"))
     j = J.overlap_join(spans(spark, d), o, KEYS, 12 * H)
     return j.select("event_id", "other_id", (F.unix_micros("common_end") - F.unix_micros("common_start")).alias("common_us"))
 
