@@ -1,4 +1,4 @@
-"""Thresholds of the analysis, with the study's presets as defaults."""
+"""Thresholds of the analysis, with the study's presets as defaults. Thresholds and state names are fixed values."""
 
 from __future__ import annotations
 

@@ -5,22 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Name, first and last local hour, and display text of the dayparts (fixed values).
+#: Name, first and last local hour of the dayparts (fixed values).
 DAYPARTS = (
-    ("window_00_05", 0, 5, "00:00-05:59"),
-    ("window_06_08", 6, 8, "06:00-08:59"),
-    ("window_09_11", 9, 11, "09:00-11:59"),
-    ("window_12_14", 12, 14, "12:00-14:59"),
-    ("window_15_17", 15, 17, "15:00-17:59"),
-    ("window_18_20", 18, 20, "18:00-20:59"),
-    ("window_21_23", 21, 23, "21:00-23:59"),
+    ("window_00_05", 0, 5),
+    ("window_06_08", 6, 8),
+    ("window_09_11", 9, 11),
+    ("window_12_14", 12, 14),
+    ("window_15_17", 15, 17),
+    ("window_18_20", 18, 20),
+    ("window_21_23", 21, 23),
 )
 WEEKDAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
 
 
 def daypart(hour: Column) -> Column:
     out = F.lit("unknown")
-    for name, first, last, _ in reversed(DAYPARTS):
+    for name, first, last in reversed(DAYPARTS):
         out = F.when(hour.between(first, last), name).otherwise(out)
     return out
 
