@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.config import STATES
 from tideline.functions import probs as P
 
 #: Offsets of the anchor and the tail window, in seconds before the event (fixed values).
@@ -103,3 +106,84 @@ def hourly_state_table(signals: DataFrame, keys: list[str], back_s: int, half_li
     hour = F.timestamp_seconds(F.floor(F.col("_t") / grain_s) * grain_s)
     g = h.groupBy(*keys, hour.alias("hour_ts")).agg(F.count(F.lit(1)).alias("scored"), *[F.avg(f"p_{s}").alias(f"pct_{s}") for s in (*P.VISIBLE, "no_patient")])
     return g.filter(F.abs(F.col("pct_chair") + F.col("pct_bed") + F.col("pct_room") + F.col("pct_no_patient") - 1) <= tolerance)
+
+
+@dataclass(frozen=True)
+class Weights:
+    """Presets of the second scorer."""
+
+    anchor: float = 0.45
+    room_bonus: float = 0.28
+    overlap_cap: float = 0.20
+    safety: float = 0.50
+    recent_gap: float = 60.0
+    dropout: float = 180.0
+    strong_no_patient: float = 0.75
+
+
+def score_v2(windows: DataFrame, summary: DataFrame, w: Weights = Weights()) -> DataFrame:
+    """Per anchor, the four probabilities, the label, its margin and the reason, from the window's own probabilities (prob_..., label) and its panel.
+
+    Evidence of the room is its share of the tail, overlap with staff, a rising nudge, and distances; it sets how much the
+    window's own prior counts, how much no_patient may keep, and what the room takes from the greatest other state. Without
+    any located frame the prior decides alone, if it is sure enough.
+    """
+    one, zero = F.lit(1.0), F.lit(0.0)
+    num = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    none = P.struct({s: F.lit(0.0) for s in P.VISIBLE})
+    prior = {s: F.col(f"prob_{s}") for s in STATES}
+    j = windows.select("anchor_id", F.lower(F.trim("label")).alias("_own"), P.normalize(prior).alias("legacy")).join(summary, "anchor_id", "left")
+    j = j.withColumns({f"{n}_probs": F.coalesce(f"{n}_probs", none) for n in ("anchor", "tail")} | {f"{n}_frames": F.coalesce(f"{n}_frames", F.lit(0).cast("long")) for n in ("anchor", "tail")})
+    a, t, legacy = (F.col(c) for c in ("anchor_probs", "tail_probs", "legacy"))
+    level = P.clamp((num("tail_nudge_score_max") - w.safety) / max(1e-6, 1 - w.safety))
+    rise = F.greatest(zero, num("tail_nudge_score_mean") - num("anchor_nudge_score_mean"))
+    mixed = P.struct({s: F.when(F.col("anchor_frames") <= 0, t[s]).when(F.col("tail_frames") <= 0, a[s]).otherwise(w.anchor * a[s] + (1 - w.anchor) * t[s]) for s in P.VISIBLE})
+    j = j.withColumns({
+        "_lv": P.normalize_visible({s: legacy[s] for s in P.VISIBLE}), "_panel": mixed,
+        "_overlap": F.least(one, F.greatest(num("tail_overlap_max"), 2 * num("tail_overlap_mean"))), "_safety": F.least(one, F.greatest(level, rise)),
+        "_gap": F.coalesce(P.clamp(F.col("last_visible_gap") / w.dropout), one), "_room": F.greatest(t["room"], num("tail_share_room")),
+        "_dist": F.greatest(num("tail_nearest_room"), P.margin_score(F.col("tail_room_bed_margin")), P.margin_score(F.col("room_bed_margin_delta"))),
+    })
+    j = j.withColumn("_gate", F.greatest(num("tail_share_room"), F.col("_overlap"), F.col("_safety")))
+    gate, dist, room = F.col("_gate"), F.col("_dist"), F.col("_room")
+    open_ = gate >= 0.15
+    sits = (legacy["chair"] >= 0.50) & (num("tail_share_room") < 0.05) & (dist < 0.25)
+    own = F.when(open_, 0.35).when((legacy["room"] >= 0.70) & (a["chair"] >= 0.60), 0.30).otherwise(0.15)
+    j = j.withColumns({"_sits": sits, "_weight": F.when(sits, F.greatest(own, F.lit(0.55))).otherwise(own), "_lock": (t["bed"] >= 0.60) & (num("tail_nearest_bed") >= 0.60) & ~open_ & (dist < 0.55)})
+    lv, panel, weight = F.col("_lv"), F.col("_panel"), F.col("_weight")
+    near = F.least(one, 0.60 * room + 0.25 * F.col("_overlap") + 0.15 * F.col("_safety"))
+    near = F.when(open_, near).otherwise(F.least(near, F.lit(0.34)))
+    far = F.when(open_ & ~F.col("_lock"), F.least(one, 0.65 * dist + 0.20 * room + 0.10 * F.col("_overlap") + 0.05 * F.col("_safety"))).otherwise(zero)
+    direct = F.greatest(near, far)
+    gone = P.clamp(F.greatest(F.least(F.lit(0.85), legacy["no_patient"]), 0.55 * num("tail_share_no_patient") + 0.45 * F.col("_gap")), 0.05, 0.85)
+    recent = (F.col("tail_frames") > 0) & (F.greatest(*[t[s] for s in P.VISIBLE]) >= 0.65) & (F.col("last_visible_gap").isNull() | (F.col("last_visible_gap") <= w.recent_gap))
+    j = j.withColumns({
+        "_visible": P.normalize_visible({s: weight * lv[s] + (1 - weight) * panel[s] for s in P.VISIBLE}), "_direct": F.when(F.col("_sits"), F.least(direct, F.lit(0.34))).otherwise(direct),
+        "_recent": recent, "_gone": F.when(recent, F.least(gone, F.lit(0.25))).otherwise(gone),
+    })
+    visible = F.col("_visible")
+    capped = (F.col("_overlap") >= 0.05) & (F.greatest(*[visible[s] for s in P.VISIBLE]) >= 0.45) & (F.col("_gone") > w.overlap_cap)
+    j = j.withColumn("_capped", capped).withColumn("_gone", F.when(F.col("_capped"), w.overlap_cap).otherwise(F.col("_gone")))
+    mass = F.greatest(F.lit(0.15), 1 - F.col("_gone"))
+    j = j.withColumns({f"_p_{s}": mass * visible[s] for s in P.VISIBLE} | {"_p_no_patient": F.col("_gone")})
+    givers = ("chair", "bed", "no_patient")
+    top = F.greatest(*[F.col(f"_p_{s}") for s in givers])
+    giver = F.when(F.col("_p_chair") == top, "chair").when(F.col("_p_bed") == top, "bed").otherwise("no_patient")
+    scale = w.room_bonus * F.col("_direct") * F.when((F.col("_own") == "room") & (F.col("_safety") >= 0.50) & (room >= 0.25), 1.25).otherwise(1.0)
+    moves = (F.col("_direct") >= 0.35) & (F.greatest(room, dist) >= 0.15) & ~F.col("_lock")
+    j = j.withColumn("_giver", giver).withColumn("_moved", F.when(moves, F.least(scale, top * F.when(giver == "no_patient", 0.40).otherwise(0.35))).otherwise(zero))
+    moved = {s: F.col(f"_p_{s}") - F.when(F.col("_giver") == s, F.col("_moved")).otherwise(0.0) for s in givers} | {"room": F.col("_p_room") + F.col("_moved")}
+    blind = (F.col("anchor_frames") <= 0) & (F.col("tail_frames") <= 0)
+    sure = (F.greatest(*[lv[s] for s in P.VISIBLE]) >= 0.45) & (legacy["no_patient"] < 0.80)
+    kept = F.least(F.lit(0.35), F.greatest(F.lit(0.10), legacy["no_patient"]))
+    alone = P.normalize({**{s: F.when(sure, (1 - kept) * lv[s]).otherwise(0.0) for s in P.VISIBLE}, "no_patient": F.when(sure, kept).otherwise(1.0)})
+    j = j.withColumn("_blind", blind).withColumn("_sure", sure).withColumn("probs", F.when(blind, alone).otherwise(P.normalize(moved)))
+    p = F.col("probs")
+    reason = (
+        F.when(F.col("_blind") & F.col("_sure"), "sparse_panel_sql_fallback").when(F.col("_blind"), "zero_signal_default").when(F.col("_moved") > 0, "room_recovery_v2").when(F.col("_recent"), "recent_visible_fallback")
+        .when(F.col("_capped"), "overlap_present_reallocation").when(p["no_patient"] >= w.strong_no_patient, "strong_no_patient").otherwise("direct_focus_argmax")
+    )
+    best = F.greatest(*[p[s] for s in STATES])
+    label = F.when(p["chair"] == best, "chair").when(p["bed"] == best, "bed").when(p["room"] == best, "room").otherwise("no_patient")
+    ordered = F.sort_array(F.array(*[p[s] for s in STATES]), asc=False)
+    return j.select("anchor_id", *[p[s].alias(f"prob_{s}") for s in STATES], label.alias("label"), (F.get(ordered, F.lit(0)) - F.get(ordered, F.lit(1))).alias("margin"), reason.alias("reason"), F.coalesce("departure_detected", F.lit(False)).alias("departure_detected"))
