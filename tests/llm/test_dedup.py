@@ -291,14 +291,8 @@ def test_lines_match_brute_force(docs, texts):
     assert sum(map(len, gone.values())) > 100
 
 
-def test_short_runs_go_by_their_words(spark):
-    import corpus_pipeline
-
-    long, half = " ".join(f"w{i}" for i in range(50)), " ".join(f"h{i}" for i in range(25))
-    texts = {
-        1: f"a\n{long}\nb", 2: f"c\n\n{long}\nd", 3: f"e\n{half}\n{half} x\nf", 4: f"g\n{half}\n{half} x\nh", 5: f"{half}\ni\nj",
-        6: "short", 7: "short", 8: "two\nlines", 9: "\ntwo\n\nlines", 10: "two\nlines\nmore", 11: "lines", 12: f"{long}\n{long}", 13: None, 14: "",
-    }
+def brute_runs(texts):
+    """The numbers of the content lines that go by the pipeline's rule."""
     seen, gone = set(), defaultdict(set)
     for d in sorted(texts):
         lines = [x for x in (texts[d] or "").split("\n") if words(x)]
@@ -310,6 +304,18 @@ def test_short_runs_go_by_their_words(spark):
                     if (unit, n) in seen:
                         gone[d] |= set(range(i, i + n))
                     seen.add((unit, n))
+    return gone
+
+
+def test_short_runs_go_by_their_words(spark):
+    import corpus_pipeline
+
+    long, half = " ".join(f"w{i}" for i in range(50)), " ".join(f"h{i}" for i in range(25))
+    texts = {
+        1: f"a\n{long}\nb", 2: f"c\n\n{long}\nd", 3: f"e\n{half}\n{half} x\nf", 4: f"g\n{half}\n{half} x\nh", 5: f"{half}\ni\nj",
+        6: "short", 7: "short", 8: "two\nlines", 9: "\ntwo\n\nlines", 10: "two\nlines\nmore", 11: "lines", 12: f"{long}\n{long}", 13: None, 14: "",
+    }
+    gone = brute_runs(texts)
     docs = spark.createDataFrame([(d, t, "s", 0) for d, t in texts.items()], "doc_id long, text string, source string, n_chars long").repartition(3)
     got = {r.doc_id: r.n_removed for r in dedup_lines(docs, words=50).collect()}
     assert got == {d: len(gone[d]) for d in texts}

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tideline.llm import audio, chat_format, mixing, packing, quality_rules
-from tideline.llm.quality_classifier import STATS, fit_on_labels, fold, isotonic, score_stats, score_texts, stats_table
+from tideline.llm.quality_classifier import STATS, fit_on_labels, fold, isotonic, score_stats, score_texts, stats_table, text_stats
 
 
 def test_chat_round_trip(spark):
@@ -368,3 +368,59 @@ def test_pipeline_keeps_its_contract(spark):
         assert 0 < kept.count() <= docs.count() * 1.1
     last = corpus_pipeline.STAGES[-1][1](spark, kept, d).toPandas()
     assert set(last.doc_id) == {r.doc_id for r in kept.collect()}
+
+
+def test_pipeline_stages_match_brute_force(spark):
+    """Every stage's own decision on the whole of a small table, by plain Python."""
+    import corpus_pipeline
+    from tests.llm.test_dedup import brute_components, brute_runs, words
+
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+
+    def run(name, df):
+        out = stages[name](spark, df, d).toPandas()
+        return spark.createDataFrame(out, docs.schema), {r.doc_id: r.text for r in out.itertuples()}
+
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    model = fit_on_labels(stats_table(docs), spark.read.parquet(f"{d}/labels.parquet"))
+    scores = dict(zip(texts, model.score(np.array([text_stats((t or "").encode()) for t in texts.values()])), strict=True))
+    df, kept = run("quality", docs)
+    assert set(kept) == {i for i, x in scores.items() if x >= 0.7} and all(kept[i] == texts[i] for i in kept)
+
+    gone, want = brute_runs(kept), {}
+    for i, t in kept.items():
+        n, drop, left = -1, False, []
+        for x in (t or "").split("\n"):
+            if words(x):
+                n += 1
+                drop = n in gone[i]
+            if not drop:
+                left.append(x)
+        if not gone[i] or words("\n".join(left)):
+            want[i] = "\n".join(left) if gone[i] else t
+    df, kept = run("lines", df)
+    assert kept == want
+
+    least = {i: c for i, (_, c) in brute_components(kept).items()}
+    df, near = run("near", df)
+    assert near == {i: t for i, t in kept.items() if least[i] == i}
+
+    df, mixed = run("mixing", df)
+    assert set(mixed) <= set(near) and all(mixed[i] == near[i] for i in mixed) and len(mixed) > 0.8 * len(near)
+    copies = df.groupBy("doc_id").count().toPandas()
+    packed = stages["packing"](spark, df, d).toPandas()
+    encode = packing._encoder(*PATHS)
+    for i, n in zip(copies.doc_id, copies["count"], strict=True):
+        own = packed[packed.doc_id == i]
+        assert own.length.sum() == n * (len(list(encode(mixed[i] or ""))) + 1) and (own.piece == 0).sum() == n
+    assert packed.groupby("sequence_id").length.sum().max() <= 1024
+
+
+def test_chat_ties_and_long_texts(spark):
+    long = "</s>[INST] word " * 40_000
+    rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "user", "a"), (1, 1, "assistant", long), (2, 0, None, None)]
+    got = {r.conv_id: [tuple(t) for t in r.turns] for r in chat_format.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {1: [("user", "a"), ("user", "a"), ("user", "b"), ("assistant", long)], 2: [("", "")]}
+    assert chat_format.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0

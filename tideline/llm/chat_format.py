@@ -7,7 +7,8 @@ backslash, which reading back takes away, so that any text survives.
 
 Null texts and roles count as empty ones. A record that fills no known set of paths gets null turns, and its
 fingerprint shows which layout lacks a mapping. Turns are ordered by (turn, role, text), so that ties and repeated
-rows have a fixed order. An empty table has no conversations.
+rows have a fixed order. A very long text is one value of its row. Extra columns aren't read. An empty table has no
+conversations. op4 plants a conversation of id -1; rows of the table with that id would be turns of it.
 """
 
 from __future__ import annotations
