@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import UnsupportedOperationException
 from pyspark.ml.feature import RFormula
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
@@ -79,17 +81,18 @@ def fit_rate_model(cells: DataFrame, label: str, se_type: str = "default", max_i
     model = GeneralizedLinearRegression(family="poisson", link="log", offsetCol="offset", featuresCol="features", labelCol="y", maxIter=max_iter, regParam=0.0).fit(design)
     k = next(i for i, x in enumerate(names) if x.startswith("position"))
     coef = float(model.coefficients[k])
-    summary = model.summary
+    summary, notes = model.summary, ""
     if se_type == "default":
         try:
             se = float(summary.coefficientStandardErrors[k])
-        except Exception:  # noqa: BLE001  an ill-conditioned fit reports none
+        except (UnsupportedOperationException, Py4JJavaError):  # an ill-conditioned fit reports none
+            notes = "standard_error_from_information_matrix"
             se = float(np.sqrt(np.linalg.pinv(_information(design, np.append(model.coefficients.toArray(), model.intercept)))[k, k]))
     else:
         se = float(math.sqrt(_sandwich(design, np.append(model.coefficients.toArray(), model.intercept), se_type)[k, k]))
     df = summary.residualDegreeOfFreedom
     chi = model.transform(design).agg(F.sum((F.col("y") - F.col("prediction")) ** 2 / F.greatest("prediction", F.lit(1e-12)))).first()[0]
-    row = (label, math.exp(coef), math.exp(coef - 1.96 * se), math.exp(coef + 1.96 * se), _p(coef / se) if se > 0 else None, n, float(s[2]), "poisson", se_type, float(summary.deviance) / df if df else None, float(chi) / df if df else None, "")
+    row = (label, math.exp(coef), math.exp(coef - 1.96 * se), math.exp(coef + 1.96 * se), _p(coef / se) if se > 0 else None, n, float(s[2]), "poisson", se_type, float(summary.deviance) / df if df else None, float(chi) / df if df else None, notes)
     return spark.createDataFrame([row], RESULT)
 
 
