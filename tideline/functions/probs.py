@@ -146,13 +146,13 @@ def _shift_to(p: Column, label: Column, target: Column) -> Column:
     return F.when(own >= want, p).otherwise(moved)
 
 
-def dynamic_anchor_weight(base: float, anchor: Column, tail: Column, anchor_frames: Column, tail_frames: Column, gap: Column, recent_gap_s: float) -> Column:
+def dynamic_anchor_weight(base: float, anchor: Column, tail: Column, anchor_frames: Column, tail_frames: Column, gap: Column, recent_gap_s: float, labels: tuple[Column, Column] | None = None) -> Column:
     """How much the anchor window counts beside the tail, within 0.2..0.8; 1 without a tail and 0 without an anchor."""
     conf = lambda p, n: F.greatest(*[p[x] for x in VISIBLE]) * F.least(F.lit(1.0), n / 4.0)
     a, t = conf(anchor, anchor_frames), conf(tail, tail_frames)
     w = F.lit(base) + F.when(t > a + 0.15, -0.15).when(a > t + 0.15, 0.15).otherwise(0.0)
     w = w + F.coalesce(0.15 * clamp(gap / max(1.0, recent_gap_s)), F.lit(0.0))
-    la, lt = dominant(anchor, least=0.40), dominant(tail, least=0.40)
+    la, lt = labels or (dominant(anchor, least=0.40), dominant(tail, least=0.40))
     w = w + F.when((la != "none") & (lt != "none") & (la != lt), F.when(tail_frames < 3, 0.10).otherwise(-0.05)).otherwise(0.0)
     return F.when(tail_frames <= 0, 1.0).when(anchor_frames <= 0, 0.0).otherwise(clamp(w, 0.20, 0.80))
 
@@ -192,17 +192,17 @@ def presence_support(f: dict[str, Column], motion_scale: float = 0.15, object_sc
     return {n: clamp(c) for n, c in out.items()}
 
 
-def velocity_tiebreak(p: Column, velocity: dict[str, Column], room_support: Column, margin: float = 0.10, min_approach: float = 0.05) -> Column:
-    """Where the two leading visible states are close, the one approached fastest gets the mass; ties in the order of VISIBLE."""
+def velocity_tiebreak(p: Column, velocity: dict[str, Column], room_support: Column, margin: float = 0.10, min_approach: float = 0.05, order=VISIBLE) -> Column:
+    """Where the two leading visible states are close, the one approached fastest gets the mass; ties in the given order."""
     speed = {f"v_{n}": F.greatest(F.lit(0.0), -F.coalesce(velocity[n], F.lit(0.0))).alias(f"v_{n}") for n in VISIBLE}
     bound = F.struct(p.alias("p"), F.sort_array(F.array(*[p[n] for n in VISIBLE]), asc=False).alias("o"), room_support.alias("r"), *speed.values())
-    return let(bound, lambda v: _velocity_tiebreak(v["p"], v["o"], {n: v[f"v_{n}"] for n in VISIBLE}, v["r"], margin, min_approach))
+    return let(bound, lambda v: _velocity_tiebreak(v["p"], v["o"], {n: v[f"v_{n}"] for n in order}, v["r"], margin, min_approach))
 
 
 def _velocity_tiebreak(p, ordered, speed, room_support, margin, min_approach) -> Column:
     first, second = F.get(ordered, F.lit(0)), F.get(ordered, F.lit(1))
     top = F.greatest(*speed.values())
-    winner = F.when(speed["chair"] == top, "chair").when(speed["bed"] == top, "bed").otherwise("room")
+    winner = F.coalesce(*[F.when(c == top, n) for n, c in speed.items()])
     stays = (first - second > margin) | (top < min_approach) | ((winner == "room") & (room_support < 0.10))
     target = F.least(F.lit(0.70), F.greatest(first + 0.03, 0.40 + top))
     return F.when(stays, p).otherwise(shift_to(p, winner, target))

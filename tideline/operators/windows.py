@@ -105,6 +105,7 @@ def legacy_state_probs(scored: DataFrame) -> DataFrame:
     missing = F.when(F.col("drop_bins") == 0, 0.0).otherwise(1 - F.col("visible_prob") - F.col("unknown_prob"))
     out = scored.withColumns({f"prob_{s}": F.col("visible_prob") * cond(s) for s in DISTANCES})
     out = out.withColumn("prob_out_of_room", missing * away).withColumn("prob_not_visible", missing * (1 - away))
+    out = out.withColumn("out_of_room_share", away)
     return out.withColumn("prob_no_patient", F.col("prob_not_visible") + F.col("prob_out_of_room") + F.col("unknown_prob"))
 
 

@@ -1,4 +1,4 @@
-"""Queries over the state scorer and rate models."""
+"""Queries over probability structs and rate models."""
 
 from __future__ import annotations
 
@@ -8,9 +8,7 @@ from tideline.functions import probs as P
 from tideline.operators import cohort as C
 from tideline.operators import models as M
 from tideline.operators import rates as R
-from tideline.operators import scorer as S
 from tideline.plans import quality_queries as QQ
-from tideline.plans import window_queries as WQ
 from tideline.plans.standins import BINS, Study, sql
 from tideline.sources.staging import stage
 
@@ -43,84 +41,6 @@ def b51(spark, d):
     return QQ.scored(spark, d).select("event_id", own.alias("o"), one.alias("z")).select("event_id", P.blend((0.7, F.col("o")), (0.3, F.col("z"))).alias("p")).select("event_id", "p.chair", "p.bed", "p.room")
 
 
-_PANEL = """SELECT anchor_id, count(*) FILTER (o BETWEEN -180 AND -61 AND loc) AS anchor_frames, count(*) FILTER (o BETWEEN -60 AND -1 AND loc) AS tail_frames, max(staff_iou) FILTER (o BETWEEN -60 AND -1) AS tail_overlap_max, (-max(o) FILTER (o < 0 AND loc))::DOUBLE AS last_visible_gap,
-  coalesce(sum(CASE WHEN d_chair IS NOT NULL THEN power(2, o / 45) / greatest(d_chair, 1e-6) END) FILTER (o BETWEEN -60 AND -1), 0) AS c, coalesce(sum(CASE WHEN d_bed IS NOT NULL THEN power(2, o / 45) / greatest(d_bed, 1e-6) END) FILTER (o BETWEEN -60 AND -1), 0) AS b, coalesce(sum(CASE WHEN d_room IS NOT NULL THEN power(2, o / 45) / greatest(d_room, 1e-6) END) FILTER (o BETWEEN -60 AND -1), 0) AS r,
-  count(*) FILTER (o BETWEEN -60 AND -1 AND state = 'chair') AS nc, count(*) FILTER (o BETWEEN -60 AND -1 AND state = 'bed') AS nb, count(*) FILTER (o BETWEEN -60 AND -1 AND state = 'room') AS nr FROM (SELECT *, floor(-back)::BIGINT AS o FROM j) GROUP BY anchor_id"""
-
-
-@query("b50_panel_summary", sql("""SELECT anchor_id, anchor_frames, tail_frames, tail_overlap_max, last_visible_gap, round(CASE WHEN c + b + r > 0 THEN 0.75 * c / (c + b + r) + 0.25 * nc / (nc + nb + nr) ELSE 0 END, 9) AS tail_chair, round(CASE WHEN c + b + r > 0 THEN 0.75 * b / (c + b + r) + 0.25 * nb / (nc + nb + nr) ELSE 0 END, 9) AS tail_bed FROM ps""", **WQ.BASE, ps=_PANEL))
-def b50(spark, d):
-    s = S.panel_summary(WQ.panel(spark, d))
-    return s.select("anchor_id", "anchor_frames", "tail_frames", "tail_overlap_max", "last_visible_gap", F.round("tail_probs.chair", 9).alias("tail_chair"), F.round("tail_probs.bed", 9).alias("tail_bed"))
-
-
-_WEIGH = "coalesce(sum(CASE WHEN d_{s} IS NOT NULL THEN power(2, o / 45) / greatest(d_{s}, 1e-6) END) FILTER (o BETWEEN {w}), 0)"
-_P54 = ", ".join(f"{_WEIGH.format(s=s, w=w)} AS w{x}_{s}, count(*) FILTER (o BETWEEN {w} AND state = '{s}') AS n{x}_{s}" for x, w in (("a", "-180 AND -61"), ("t", "-60 AND -1")) for s in ("chair", "bed", "room"))
-_NEAR54 = ", ".join(f"CASE WHEN w{x}_chair + w{x}_bed + w{x}_room > 0 THEN 0.75 * w{x}_{s} / (w{x}_chair + w{x}_bed + w{x}_room) + 0.25 * n{x}_{s} / (n{x}_chair + n{x}_bed + n{x}_room) ELSE 0 END AS p{x}_{s}" for x in "at" for s in ("chair", "bed", "room"))
-_LAB54 = ", ".join(f"CASE WHEN greatest(p{x}_chair, p{x}_bed, p{x}_room) < 0.4 THEN 'none' WHEN p{x}_room = greatest(p{x}_chair, p{x}_bed, p{x}_room) THEN 'room' WHEN p{x}_chair = greatest(p{x}_chair, p{x}_bed, p{x}_room) THEN 'chair' ELSE 'bed' END AS l{x}" for x in "at")
-SUPPORT = {
-    "f0": f"""SELECT anchor_id, {_P54}, coalesce(avg((state = 'room')::INT) FILTER (o BETWEEN -60 AND -1), 0) AS sr, coalesce(avg((state = 'room')::INT) FILTER (o BETWEEN -60 AND -1 AND loc), 0) AS nr, coalesce(avg((state = 'bed')::INT) FILTER (o BETWEEN -60 AND -1 AND loc), 0) AS nb,
-      coalesce(max(staff_iou) FILTER (o BETWEEN -60 AND -1), 0) AS ov, count(*) FILTER (o BETWEEN -60 AND -1 AND (posed)) AS pf, coalesce(avg(staff_iou) FILTER (o BETWEEN -60 AND -1), 0) AS mo FROM (SELECT *, floor(-back)::BIGINT AS o FROM j) GROUP BY anchor_id""",
-    "f1": f"SELECT *, {_NEAR54} FROM f0",
-    "f2": f"SELECT *, {_LAB54} FROM f1",
-}
-
-
-@query("b54_presence_support", sql("""SELECT anchor_id, round(least(1, CASE WHEN la IN ('chair', 'bed') AND lt = 'room' THEN 0.4 ELSE 0 END + 0.25 * least(1, sr / 0.25) + 0.2 * least(1, nr / 0.35) + 0.03 * least(1, ov / 0.25) + 0.02 * least(1, ov / 0.7)), 9) AS departure_confidence,
-  round(greatest(least(1, pf / 6), 0.6 * least(1, ov / 0.15), 0.75 * ov), 9) AS presence, round(greatest(sr, nr, 0.4 * least(1, ov / 0.15)), 9) AS room, round(greatest(pt_bed, nb, 0.65 * ov), 9) AS bed, round(pt_chair, 9) AS chair FROM f2""", **WQ.BASE, **SUPPORT))
-def b54(spark, d):
-    """The staff overlap stands for nudges, motion and the score of being in bed; there are no candidate counts."""
-    iou = F.col("staff_iou")
-    s = S.panel_summary(WQ.panel(spark, d).withColumns({"nudge_score": iou, "motion": iou, "in_bed_score": iou}))
-    f = {c: F.col(c) for c in s.columns}
-    p = P.presence_support(f)
-    return s.select("anchor_id", F.round(P.departure_confidence(f), 9).alias("departure_confidence"), *[F.round(p[n], 9).alias(n) for n in ("presence", "room", "bed", "chair")])
-
-
-_T, _A = "o BETWEEN -60 AND -1", "o BETWEEN -180 AND -61"
-SECOND = SUPPORT | {
-    "v0": f"""SELECT anchor_id, avg((state = 'no_patient')::INT) FILTER ({_T}) AS sn, avg(staff_iou) FILTER ({_T}) AS om, max(staff_iou) FILTER ({_T}) AS nx, avg(staff_iou) FILTER ({_A}) AS na, count(*) FILTER ({_A} AND loc) AS fa, count(*) FILTER ({_T} AND loc) AS ft, (-max(o) FILTER (o < 0 AND loc))::DOUBLE AS gap
-      FROM (SELECT *, floor(-back)::BIGINT AS o FROM j) GROUP BY anchor_id""",
-    "v1": """SELECT l.anchor_id, l.label AS own, l.prob_chair / q AS lc, l.prob_bed / q AS lb, l.prob_room / q AS lr, l.prob_no_patient / q AS ln, coalesce(pa_chair, 0) AS ac, coalesce(pa_bed, 0) AS ab, coalesce(pa_room, 0) AS ar, coalesce(pt_chair, 0) AS tc, coalesce(pt_bed, 0) AS tb, coalesce(pt_room, 0) AS tr, coalesce(sr, 0) AS sr, coalesce(nr, 0) AS nr, coalesce(nb, 0) AS nb,
-      coalesce(sn, 0) AS sn, coalesce(fa, 0) AS fa, coalesce(ft, 0) AS ft, gap, least(1, greatest(coalesce(ov, 0), 2 * coalesce(om, 0))) AS ov, least(1, greatest((coalesce(nx, 0) - 0.5) / 0.5, coalesce(om, 0) - coalesce(na, 0), 0)) AS sa, coalesce(la IN ('chair', 'bed') AND lt = 'room', false) AS departure_detected
-      FROM (SELECT *, prob_chair + prob_bed + prob_room + prob_no_patient AS q FROM lb) l LEFT JOIN f2 USING (anchor_id) LEFT JOIN v0 USING (anchor_id)""",
-    "v2": """SELECT *, greatest(tr, sr) AS room, greatest(sr, ov, sa) AS gate, nr AS dist, coalesce(least(1, gap / 180), 1) AS gr, CASE WHEN lc + lb + lr > 0 THEN lc + lb + lr ELSE 1 END AS lq, CASE WHEN fa <= 0 THEN 0 WHEN ft <= 0 THEN 1 ELSE 0.45 END AS wa FROM v1""",
-    "v3": """SELECT *, lc >= 0.5 AND sr < 0.05 AND dist < 0.25 AS sits, tb >= 0.6 AND nb >= 0.6 AND gate < 0.15 AND dist < 0.55 AS lock, CASE WHEN gate >= 0.15 THEN 0.35 WHEN lr >= 0.7 AND ac >= 0.6 THEN 0.3 ELSE 0.15 END AS w0,
-      ft > 0 AND greatest(tc, tb, tr) >= 0.65 AND coalesce(gap, 0) <= 60 AS recent, least(0.85, greatest(0.05, least(0.85, ln), 0.55 * sn + 0.45 * gr)) AS g0 FROM v2""",
-    "v4": """SELECT *, CASE WHEN sits THEN greatest(w0, 0.55) ELSE w0 END AS w, CASE WHEN recent THEN least(g0, 0.25) ELSE g0 END AS g1,
-      greatest(CASE WHEN gate >= 0.15 THEN least(1, 0.6 * room + 0.25 * ov + 0.15 * sa) ELSE least(0.34, 0.6 * room + 0.25 * ov + 0.15 * sa) END, CASE WHEN gate >= 0.15 AND NOT lock THEN least(1, 0.65 * dist + 0.2 * room + 0.1 * ov + 0.05 * sa) ELSE 0 END) AS d0 FROM v3""",
-    "v5": """SELECT *, CASE WHEN sits THEN least(d0, 0.34) ELSE d0 END AS d, w * lc / lq + (1 - w) * (wa * ac + (1 - wa) * tc) AS xc, w * lb / lq + (1 - w) * (wa * ab + (1 - wa) * tb) AS xb, w * lr / lq + (1 - w) * (wa * ar + (1 - wa) * tr) AS xr, CASE WHEN xc + xb + xr > 0 THEN xc + xb + xr ELSE 1 END AS xq FROM v4""",
-    "v6": "SELECT *, ov >= 0.05 AND greatest(xc, xb, xr) / xq >= 0.45 AND g1 > 0.2 AS capped, CASE WHEN capped THEN 0.2 ELSE g1 END AS g, greatest(0.15, 1 - g) * xc / xq AS c, greatest(0.15, 1 - g) * xb / xq AS b, greatest(0.15, 1 - g) * xr / xq AS r FROM v5",
-    "v7": """SELECT *, CASE greatest(c, b, g) WHEN c THEN 'chair' WHEN b THEN 'bed' ELSE 'no_patient' END AS giver, CASE WHEN d >= 0.35 AND greatest(room, dist) >= 0.15 AND NOT lock THEN least(0.28 * d * CASE WHEN own = 'room' AND sa >= 0.5 AND room >= 0.25 THEN 1.25 ELSE 1 END, greatest(c, b, g) * CASE giver WHEN 'no_patient' THEN 0.4 ELSE 0.35 END) ELSE 0 END AS mv,
-      fa <= 0 AND ft <= 0 AS blind, greatest(lc, lb, lr) / lq >= 0.45 AND ln < 0.8 AS sure, least(0.35, greatest(0.1, ln)) AS keep FROM v6""",
-    "v8": """SELECT anchor_id, departure_detected, blind, sure, mv, recent, capped, CASE WHEN blind THEN CASE WHEN sure THEN (1 - keep) * lc / lq ELSE 0 END ELSE c - CASE giver WHEN 'chair' THEN mv ELSE 0 END END AS pc, CASE WHEN blind THEN CASE WHEN sure THEN (1 - keep) * lb / lq ELSE 0 END ELSE b - CASE giver WHEN 'bed' THEN mv ELSE 0 END END AS pb,
-      CASE WHEN blind THEN CASE WHEN sure THEN (1 - keep) * lr / lq ELSE 0 END ELSE r + mv END AS pr, CASE WHEN blind THEN CASE WHEN sure THEN keep ELSE 1 END ELSE g - CASE giver WHEN 'no_patient' THEN mv ELSE 0 END END AS pn, pc + pb + pr + pn AS q FROM v7""",
-}
-
-
-@query("b52_score_v2", sql("""SELECT anchor_id, round(pc / q + 3e-8, 6) AS prob_chair, round(pb / q + 3e-8, 6) AS prob_bed, round(pr / q + 3e-8, 6) AS prob_room, round(pn / q + 3e-8, 6) AS prob_no_patient, departure_detected,
-  CASE WHEN blind AND sure THEN 'sparse_panel_sql_fallback' WHEN blind THEN 'zero_signal_default' WHEN mv > 0 THEN 'room_recovery_v2' WHEN recent THEN 'recent_visible_fallback' WHEN capped THEN 'overlap_present_reallocation' WHEN pn / q >= 0.75 THEN 'strong_no_patient' ELSE 'direct_focus_argmax' END AS reason FROM v8""", **WQ.LABELLED, **SECOND))
-def b52(spark, d):
-    windows = stage(WQ.labelled(spark, d).select("anchor_id", "label", *[f"prob_{s}" for s in P.STATES]), "windows")
-    summary = stage(S.panel_summary(WQ.panel(spark, d).withColumn("nudge_score", F.col("staff_iou"))), "panel")
-    return S.score_v2(windows, summary).select("anchor_id", *[F.round(F.col(f"prob_{s}") + 3e-8, 6).alias(f"prob_{s}") for s in P.STATES], "departure_detected", "reason")
-
-
-@query("b53_blended_state")
-def b53(spark, d):
-    """Staged scoring on structs; tests hold its parts against plain Python."""
-    windows = stage(WQ.labelled(spark, d).select("anchor_id", *[f"prob_{s}" for s in ("chair", "bed", "room", "no_patient")]), "windows")
-    summary = stage(S.panel_summary(WQ.panel(spark, d)), "panel")
-    return S.blended_state(windows, summary).select("anchor_id", "anchor_weight", "probs.*", "label")
-
-
-@query("b58_hourly_state_table", sql("""SELECT monitor_id, hour_ts, count(*) AS scored, round(avg(v * c / t), 9) AS pct_chair, round(avg(v * b / t), 9) AS pct_bed FROM (SELECT x.monitor_id, x.event_id, make_timestamp(epoch_us(any_value(x.ts)) // 118800000000 * 118800000000) AS hour_ts, avg(y.loc::INT) AS v, coalesce(sum(CASE WHEN y.d_chair IS NOT NULL THEN power(2, (y.t - x.t) / 36000) / greatest(y.d_chair, 1e-6) END), 0) AS c, coalesce(sum(CASE WHEN y.d_bed IS NOT NULL THEN power(2, (y.t - x.t) / 36000) / greatest(y.d_bed, 1e-6) END), 0) AS b,
-  coalesce(sum(CASE WHEN y.d_room IS NOT NULL THEN power(2, (y.t - x.t) / 36000) / greatest(y.d_room, 1e-6) END), 0) AS r, CASE WHEN c + b + r > 0 THEN c + b + r ELSE 1 END AS t FROM (SELECT *, epoch_us(ts) // 1000000 AS t FROM s) x JOIN (SELECT *, epoch_us(ts) // 1000000 AS t FROM s) y ON x.monitor_id = y.monitor_id AND y.t BETWEEN x.t - 172800 AND x.t - 1 GROUP BY ALL) GROUP BY ALL""", s=WQ.G))
-def b58(spark, d):
-    g = S.hourly_state_table(WQ.signals(spark, d), ["monitor_id"], 48 * 3600, 36_000.0, BINS.grain_s)
-    return g.select("monitor_id", "hour_ts", "scored", F.round("pct_chair", 9).alias("pct_chair"), F.round("pct_bed", 9).alias("pct_bed"))
-
-
 def cells(spark, d):
     return stage(R.position_cells(Study(spark, d).intervention), "cells")
 
