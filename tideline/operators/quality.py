@@ -207,29 +207,30 @@ def score_bin(score: Column, bins: int) -> Column:
     return out
 
 
-def long_scores(scored: DataFrame) -> DataFrame:
-    """A row per class: target_class, y and score."""
+def long_scores(scored: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """A row per class: the keys, target_class, y and score."""
     rows = F.array(*[F.struct(F.lit(s).alias("target_class"), (F.col("truth") == s).cast("int").alias("y"), F.coalesce(F.col(f"prob_{s}"), F.lit(0.0)).alias("score")) for s in STATES])
-    return scored.select(F.explode(rows).alias("x")).select("x.*")
+    return scored.select(*(keys or []), F.explode(rows).alias("x")).select(*(keys or []), "x.*")
 
 
-def auc_summary(scored: DataFrame) -> DataFrame:
-    """B102: areas under the ROC and PR curves by class, over distinct scores; 0 where a class is empty or full.
+def auc_summary(scored: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """B102: areas under the ROC and PR curves by class (and keys), over distinct scores; 0 where a class is empty or full.
 
     Rows are first summed by (class, score), so the ordered window runs over distinct scores.
     """
-    g = long_scores(scored).groupBy("target_class", "score").agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("target_class").orderBy(F.col("score").desc())
+    group = [*(keys or []), "target_class"]
+    g = long_scores(scored, keys).groupBy(*group, "score").agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy(*group).orderBy(F.col("score").desc())
     run = w.rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy("target_class")
+    every = Window.partitionBy(*group)
     c = g.withColumn("tp", F.sum("p").over(run)).withColumn("all", F.sum("n").over(run)).withColumn("pos", F.sum("p").over(every)).withColumn("total", F.sum("n").over(every))
     c = c.withColumn("tpr", F.try_divide("tp", "pos")).withColumn("fpr", F.try_divide(F.col("all") - F.col("tp"), F.col("total") - F.col("pos"))).withColumn("prec", F.col("tp") / F.col("all"))
     before = lambda col, first: F.coalesce(F.lag(col).over(w), first)
     c = c.withColumn("_roc", (F.col("fpr") - before("fpr", F.lit(0.0))) * (F.col("tpr") + before("tpr", F.lit(0.0))) / 2)
     c = c.withColumn("_pr", (F.col("tpr") - before("tpr", F.lit(0.0))) * (F.col("prec") + before("prec", F.col("pos") / F.col("total"))) / 2)
-    out = c.groupBy("target_class").agg(F.sum("_roc").alias("roc"), F.sum("_pr").alias("pr"), F.max("pos").alias("support"), F.max("total").alias("total"))
+    out = c.groupBy(*group).agg(F.sum("_roc").alias("roc"), F.sum("_pr").alias("pr"), F.max("pos").alias("support"), F.max("total").alias("total"))
     both = (F.col("support") > 0) & (F.col("support") < F.col("total"))
-    return out.select("target_class", F.when(both, F.round("roc", 6)).otherwise(0.0).alias("roc_auc"), F.when(both, F.round("pr", 6)).otherwise(0.0).alias("pr_auc"), "support")
+    return out.select(*group, F.when(both, F.round("roc", 6)).otherwise(0.0).alias("roc_auc"), F.when(both, F.round("pr", 6)).otherwise(0.0).alias("pr_auc"), "support")
 
 
 def threshold_sweep(scored: DataFrame, points: int = 101) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tideline.config import STATES
+from tideline.operators import evaluate as EV
 from tideline.operators import quality as Q
 from tideline.plans.standins import events, load, sql
 
@@ -278,3 +279,74 @@ def b113(spark, d):
 @query("b147_mechanism_crosstab", sql("SELECT mechanism, count(*) FILTER (prefall_location = 'chair') AS chair, count(*) FILTER (prefall_location = 'bed') AS bed, count(*) FILTER (prefall_location = 'room') AS room, count(*) FILTER (prefall_location = 'no_patient') AS no_patient, 0::BIGINT AS unknown, count(*) AS total, round(100.0::DOUBLE * chair / sum(count(*) FILTER (prefall_location = 'chair')) OVER (), 1) AS pct_of_chair FROM tx GROUP BY mechanism", **AN, tx=_TAX))
 def b147(spark, d):
     return Q.mechanism_crosstab(Q.mechanism_taxonomy(annotations(spark, d)))
+
+
+# --- all models on all splits ---------------------------------------------------------------------------------------
+
+ORDER = ("legacy", "v2", "v3")
+#: The three models: the scored events' probabilities, flattened, and sharpened.
+_MODELS = """SELECT m.model, event_id AS prediction_id, CASE m.model WHEN 'legacy' THEN prob_chair WHEN 'v2' THEN (prob_chair + 0.25) / 2 ELSE prob_chair * prob_chair / q END AS prob_chair, CASE m.model WHEN 'legacy' THEN prob_bed WHEN 'v2' THEN (prob_bed + 0.24) / 2 ELSE prob_bed * prob_bed / q END AS prob_bed,
+  CASE m.model WHEN 'legacy' THEN prob_room WHEN 'v2' THEN (prob_room + 0.26) / 2 ELSE prob_room * prob_room / q END AS prob_room, CASE m.model WHEN 'legacy' THEN prob_no_patient WHEN 'v2' THEN (prob_no_patient + 0.25) / 2 ELSE prob_no_patient * prob_no_patient / q END AS prob_no_patient
+  FROM (SELECT *, prob_chair * prob_chair + prob_bed * prob_bed + prob_room * prob_room + prob_no_patient * prob_no_patient AS q FROM sc), (SELECT unnest(['legacy', 'v2', 'v3']) AS model) m"""
+_EVAL = {
+    "pd": "SELECT event_id AS prediction_id, monitor_id || '|' || strftime(ts, '%Y-%m-%d') || '|00:00' AS event_key, row_number() OVER (PARTITION BY monitor_id, strftime(ts, '%Y-%m-%d') ORDER BY ts, event_id) AS ordinal FROM ev WHERE event_type <> 'error'",
+    "m": _MATCH, "mo": _MODELS,
+    "spl": "SELECT tr.* EXCLUDE (truth_label), s.split, s.split <> 'inframe' AS counts, CASE WHEN s.split = 'departure_aware' THEN truth_label WHEN status = 'excluded_offscreen' THEN 'no_patient' ELSE prefall_location END AS truth_label, status = 'excluded_offscreen' AS offscreen FROM tr, (SELECT unnest(['departure_aware', 'inframe', 'raw_audit']) AS split) s",
+    "sp0": """SELECT split, k.model, sequence_id, coalesce(sum(prob_chair), 0) AS c, coalesce(sum(prob_bed), 0) AS b, coalesce(sum(prob_room), 0) AS r, coalesce(sum(prob_no_patient), 0) AS n, arg_max(truth_label, event_instance_ordinal) AS truth, bool_or(offscreen) AS offscreen, bool_or(counts) AS counts
+      FROM spl JOIN m ON spl.row_id = m.row_id CROSS JOIN (SELECT unnest(['legacy', 'v2', 'v3']) AS model) k LEFT JOIN mo ON mo.model = k.model AND mo.prediction_id = m.prediction_id GROUP BY ALL""",
+    "sp": """SELECT split, model, sequence_id, truth, CASE greatest(c, b, r, n) WHEN 0 THEN 'no_patient' WHEN c THEN 'chair' WHEN b THEN 'bed' WHEN r THEN 'room' ELSE 'no_patient' END AS derived, coalesce(c / nullif(c + b + r + n, 0), 0) AS prob_chair, coalesce(b / nullif(c + b + r + n, 0), 0) AS prob_bed, coalesce(r / nullif(c + b + r + n, 0), 0) AS prob_room,
+      coalesce(n / nullif(c + b + r + n, 0), 1) AS prob_no_patient, c + b + r + n > 0 AND (counts OR NOT offscreen) AS scored FROM sp0""",
+    "sd": "SELECT * FROM sp WHERE scored",
+    "elm": """SELECT split, model, label, count(*) FILTER (truth = label) AS support, count(*) FILTER (derived = label) AS predicted, count(*) FILTER (truth = label AND derived = label) AS tp, coalesce(tp / nullif(predicted, 0), 0) AS precision, coalesce(tp / nullif(support, 0), 0) AS recall,
+      coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1 FROM sd, st GROUP BY ALL""",
+    "ebin": """SELECT split, model, sum(abs(c - h)) / sum(n) AS ece, sum(l) / sum(n) AS log_loss, sum(n)::BIGINT AS n, sum(h) / sum(n) AS accuracy FROM (SELECT split, model, sum(x) AS c, sum((truth = derived)::INT) AS h, count(*) AS n, sum(-ln(greatest(1e-15, least(1 - 1e-15, CASE truth WHEN 'chair' THEN prob_chair WHEN 'bed' THEN prob_bed WHEN 'room' THEN prob_room ELSE prob_no_patient END)))) AS l
+      FROM (SELECT *, greatest(prob_chair, prob_bed, prob_room, prob_no_patient) AS x FROM sd) GROUP BY split, model, (SELECT count(*) FROM (SELECT unnest([0.1::DOUBLE, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS edge) WHERE edge <= x)) GROUP BY ALL""",
+    "cc": """SELECT split, model, any_value(n) AS scored_sequences, any_value(round(accuracy, 6)) AS accuracy, round(avg(precision), 6) AS macro_precision, round(avg(recall), 6) AS macro_recall, round(avg(f1), 6) AS macro_f1, any_value(round(log_loss, 6)) AS log_loss, any_value(round(ece, 6)) AS ece,
+      round(max(f1) FILTER (label = 'chair'), 6) AS f1_chair, round(max(f1) FILTER (label = 'bed'), 6) AS f1_bed, round(max(f1) FILTER (label = 'room'), 6) AS f1_room, round(max(f1) FILTER (label = 'no_patient'), 6) AS f1_no_patient FROM elm JOIN ebin USING (split, model) GROUP BY ALL""",
+}
+
+
+def evaluation(spark, d):
+    from pyspark.sql import Window
+
+    e = events(spark, d).filter("event_type <> 'error'")
+    day = F.date_format("ts", "yyyy-MM-dd")
+    ids = e.select(F.col("event_id").alias("prediction_id"), F.concat_ws("|", F.col("monitor_id").cast("string"), day, F.lit("00:00")).alias("event_key"), F.row_number().over(Window.partitionBy("monitor_id", day).orderBy("ts", "event_id")).alias("ordinal"))
+    s = scored(spark, d)
+    p = {x: F.col(f"prob_{x}") for x in STATES}
+    squares = sum((c * c for c in p.values()), F.lit(0.0))
+    flat = dict(zip(STATES, (0.25, 0.24, 0.26, 0.25), strict=True))
+    kinds = {"legacy": p, "v2": {x: (c + flat[x]) / 2 for x, c in p.items()}, "v3": {x: c * c / squares for x, c in p.items()}}
+    each = F.array(*[F.struct(F.lit(m).alias("model"), *[c.alias(f"prob_{x}") for x, c in kind.items()]) for m, kind in kinds.items()])
+    return EV.evaluate_labels(truth(spark, d), ids, s.select(F.col("event_id").alias("prediction_id"), F.inline(each)), ORDER)
+
+
+@query("b112_evaluate_labels", sql("SELECT * FROM cc", **SC, **AN, **_EVAL))
+def b112(spark, d):
+    return evaluation(spark, d)["candidate_comparison"]
+
+
+@query("b112_label_metrics", sql("SELECT split, model, label, support, predicted, tp, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1 FROM elm", **SC, **AN, **_EVAL))
+def b112_labels(spark, d):
+    return evaluation(spark, d)["label_metrics"].select("split", "model", "label", "support", "predicted", "tp", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query("b112_confusion_matrix", sql("SELECT split, model, t.label AS truth, k.label AS derived, count(*) FILTER (sd.truth = t.label AND sd.derived = k.label) AS n FROM sd, st t, st k GROUP BY ALL", **SC, **AN, **_EVAL))
+def b112_confusion(spark, d):
+    return evaluation(spark, d)["confusion_matrix"]
+
+
+@query("b112_sequence_predictions", sql("SELECT split, model, sequence_id, truth, derived, scored, round(prob_chair, 9) AS prob_chair, round(prob_room, 9) AS prob_room FROM sp", **SC, **AN, **_EVAL))
+def b112_sequences(spark, d):
+    return evaluation(spark, d)["sequence_predictions"].select("split", "model", "sequence_id", "truth", "derived", "scored", F.round("prob_chair", 9).alias("prob_chair"), F.round("prob_room", 9).alias("prob_room"))
+
+
+_STATUS = """SELECT c.model, x.kind, x."check", x.operator, x.threshold, x.actual, coalesce(CASE x.operator WHEN '>=' THEN x.actual >= x.threshold WHEN '>' THEN x.actual > x.threshold ELSE x.actual <= x.threshold END, false) AS passed FROM
+  (SELECT c.*, l.f1_no_patient AS l_no, b.macro_f1 AS b_macro, b.f1_room AS b_room, b.f1_no_patient AS b_no, round(greatest(0, l.f1_bed - c.f1_bed), 6) AS drop FROM cc c JOIN cc l ON l.split = c.split AND l.model = 'legacy' JOIN cc b ON b.split = c.split AND b.model = CASE c.model WHEN 'v3' THEN 'v2' ELSE 'legacy' END WHERE c.split = 'departure_aware' AND c.model <> 'legacy') c,
+  LATERAL (VALUES ('check', 'macro_f1', '>=', 0.55::DOUBLE, c.macro_f1), ('check', 'chair_f1', '>=', 0.55::DOUBLE, c.f1_chair), ('check', 'room_f1', '>=', 0.45::DOUBLE, c.f1_room), ('check', 'no_patient_f1_non_decreasing', '>=', c.l_no, c.f1_no_patient), ('check', 'bed_f1_drop', '<=', 0.05::DOUBLE, c.drop),
+    ('selection', 'macro_f1_beats_baseline', '>', c.b_macro, c.macro_f1), ('selection', 'room_f1_non_decreasing', '>=', c.b_room, c.f1_room), ('selection', 'no_patient_f1_non_decreasing', '>=', c.b_no, c.f1_no_patient), ('selection', 'bed_f1_drop', '<=', 0.05::DOUBLE, c.drop)) x(kind, "check", operator, threshold, actual)"""
+
+
+@query("b111_benchmark_status", sql("SELECT *, coalesce((SELECT max(model) FROM (SELECT model FROM bs WHERE kind = 'selection' GROUP BY model HAVING bool_and(passed))), 'legacy') AS selected_model FROM bs", **SC, **AN, **_EVAL, bs=_STATUS))
+def b111_status(spark, d):
+    return evaluation(spark, d)["benchmark_status"]
