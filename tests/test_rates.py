@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,22 +79,68 @@ def cells(spark):
     return spark.createDataFrame(rows, "division_id string, daypart string, day_of_week string, calendar_quarter string, position string, exposure_hours double, fall_count double")
 
 
-def test_rate_model_and_its_errors(spark):
-    c = cells(spark)
-    plain, hc3, cluster = (M.fit_rate_model(c, k, k).first() for k in ("default", "hc3", "cluster"))
-    assert 3.5 < plain.rr < 5.5 and plain.ci_lower < plain.rr < plain.ci_upper and plain.notes == ""
-    assert plain.rr == pytest.approx(hc3.rr) == pytest.approx(cluster.rr)
-    assert hc3.ci_upper - hc3.ci_lower != pytest.approx(plain.ci_upper - plain.ci_lower)
-    few = M.fit_rate_model(c.withColumn("fall_count", F.lit(0.1)), "few").first()
+def dense(rows, family, alpha=1.0):
+    """Coefficients and covariances of one scenario by iterated weighted least squares on the whole design matrix."""
+    levels = [sorted({r[i] for r in rows})[1:] for i in range(4)]
+    x = np.array([[1.0, r[4] == "chair", *[r[i] == v for i in range(4) for v in levels[i]]] for r in rows], dtype=float)
+    y, h = np.array([r[6] for r in rows]), np.array([r[5] for r in rows])
+    beta = np.zeros(x.shape[1])
+    beta[0] = np.log(y.sum() / h.sum())
+    for _ in range(200):
+        mu = h * np.exp(x @ beta)
+        v = mu / (1 + alpha * mu) if family != "poisson" else mu
+        s = (y - mu) * v / mu
+        beta = beta + np.linalg.solve(x.T @ (v[:, None] * x), x.T @ s)
+    inverse = np.linalg.inv(x.T @ (v[:, None] * x))
+    leverage = v * np.einsum("ij,jk,ik->i", x, inverse, x)
+    scaled = x * (s / (1 - leverage))[:, None]
+    by = {}
+    for r, row in zip(rows, x * s[:, None], strict=True):
+        by[r[0]] = by.get(r[0], 0) + row
+    cluster = sum(np.outer(g, g) for g in by.values()) * len(by) / (len(by) - 1)
+    return beta, {"default": inverse, "hc3": inverse @ scaled.T @ scaled @ inverse, "cluster": inverse @ cluster @ inverse}
+
+
+@pytest.mark.parametrize("family", ["poisson", "negative_binomial"])
+def test_models_of_many_scenarios_match_a_dense_fit(spark, family):
+    rng, rows = np.random.default_rng(2), []
+    for scenario, divisions, parts in (("a", 4, ("am", "pm")), ("b", 3, ("am", "noon", "pm")), ("few", 2, ("am",))):
+        for d in range(divisions):
+            for p in parts:
+                for w in ("Monday", "Sunday"):
+                    for s in ("chair", "bed"):
+                        hours = float(rng.uniform(5, 60))
+                        mean = hours * np.exp(-2 + 0.7 * (s == "chair") + 0.2 * d + 0.4 * (p == "pm"))
+                        rows.append((scenario, str(d), p, w, "2024Q1", s, hours, 0.2 if scenario == "few" else float(rng.poisson(mean))))
+    df = spark.createDataFrame(rows, "scenario string, division_id string, daypart string, day_of_week string, calendar_quarter string, position string, exposure_hours double, fall_count double").repartition(4)
+    fits = M.Fits(df, family)
+    assert sorted(fits.fitted) == ["a", "b"]
+    table = {(r.label, r.covariate): r for r in fits.covariates().collect()}
+    for scenario in ("a", "b"):
+        beta, cov = dense([r[1:] for r in rows if r[0] == scenario], family)
+        for kind in ("default", "hc3", "cluster"):
+            (r,) = [r for r in fits.ratios(kind).collect() if r.label == scenario]
+            se = np.sqrt(cov[kind][1, 1])
+            assert (r.rr, r.ci_lower, r.ci_upper) == pytest.approx(tuple(np.exp(beta[1] + np.array([0, -1.96, 1.96]) * se)), rel=1e-5)
+        own = table[(scenario, "division_id=1")]
+        place = 2 + 0
+        assert (own.coef, own.se) == pytest.approx((beta[place], np.sqrt(cov["default"][place, place])), rel=1e-5)
+    (few,) = [r for r in fits.ratios().collect() if r.label == "few"]
     assert few.rr is None and few.notes == "insufficient_data"
 
 
-def test_negative_binomial_of_no_dispersion_is_poisson(spark):
+def test_overdispersed_cells_get_a_negative_binomial_refit(spark):
+    c = cells(spark)
+    labels = {r.label for r in M.robust_models(c).collect()}
+    assert labels == {"primary_adjusted", "primary_adjusted_hc3", "primary_adjusted_clustered"}
+    wild = c.withColumn("fall_count", F.when(F.col("division_id") == "1", F.col("fall_count") * F.when(F.col("daypart") == "am", 30).otherwise(1)).otherwise(F.col("fall_count")))
+    assert "primary_adjusted_negative_binomial" in {r.label for r in M.robust_models(wild).collect()}
+
+
+def test_misclassification_refits_move_the_ratio(spark):
     c = cells(spark)
-    nb = {r.covariate: r.rr for r in M.negative_binomial(c, alpha=1e-9).collect()}
-    po = {r.covariate: r.rr for r in M.covariate_table(c).collect()}
-    for k, v in po.items():
-        assert nb[k] == pytest.approx(v, rel=1e-4)
+    rr = {r.label: r.rr for r in M.misclassification_models(c).collect()}
+    assert rr["symmetric_swap_30pct"] < rr["symmetric_swap_10pct"] and rr["bed_to_chair_20pct"] > rr["chair_to_bed_20pct"]
 
 
 def test_swap_keeps_the_events(spark):

@@ -133,12 +133,12 @@ def reconciliation(events: DataFrame, linked: DataFrame) -> DataFrame:
     return wide.unpivot([], list(wide.columns), "metric", "value")
 
 
-def position_cells(base: DataFrame, floor: float = DEFAULT.exposure_floor) -> DataFrame:
-    """Events of an hour shared out by the two states' shares, summed by cell and state."""
+def position_cells(base: DataFrame, floor: float = DEFAULT.exposure_floor, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Events of an hour shared out by the two states' shares, summed by cell and state (and keys)."""
     total = F.greatest(F.col("pct_chair") + F.col("pct_bed"), F.lit(1e-9))
     wide = base.withColumns({f"f_{s}": F.col("falls_in_hour") * F.col(f"pct_{s}") / total for s in ("chair", "bed")})
-    long = _two_states(wide, CELL, {"hours": ("pct_chair", "pct_bed"), "events": ("f_chair", "f_bed")})
-    cells = long.groupBy(*CELL, "position").agg(F.sum("hours").alias("exposure_hours"), F.sum("events").alias("fall_count"))
+    long = _two_states(wide, [*keys, *CELL], {"hours": ("pct_chair", "pct_bed"), "events": ("f_chair", "f_bed")})
+    cells = long.groupBy(*keys, *CELL, "position").agg(F.sum("hours").alias("exposure_hours"), F.sum("events").alias("fall_count"))
     return cells.withColumn("exposure_hours", F.greatest("exposure_hours", F.lit(floor)))
 
 

@@ -45,6 +45,39 @@ def cells(spark, d):
     return stage(R.position_cells(Study(spark, d).intervention), "cells")
 
 
+#: Both states' events and hours in the whole and in every subset; one factor is left, so the model has a closed form.
+_TWO = """SELECT label, sum(falls_in_hour * pct_chair / greatest(pct_chair + pct_bed, 1e-9)) AS yc, sum(falls_in_hour * pct_bed / greatest(pct_chair + pct_bed, 1e-9)) AS yb, sum(pct_chair) AS hc, sum(pct_bed) AS hb FROM
+  (SELECT *, 'all' AS label FROM treated UNION ALL SELECT *, daypart FROM treated UNION ALL SELECT *, CASE WHEN day_of_week IN ('Saturday', 'Sunday') THEN 'weekend_only' ELSE 'weekday_only' END FROM treated UNION ALL SELECT *, 'position_certain_only' FROM treated WHERE pct_chair >= 0.5 OR pct_bed >= 0.5) GROUP BY label"""
+_RATIO = "CASE WHEN least(yc, yb) >= 5 THEN round({x}, 6) END AS {n}"
+_CLOSED = {"rr": "yc / hc / (yb / hb)", "ci_lower": "exp(ln(yc / hc / (yb / hb)) - 1.96 * sqrt(1 / yc + 1 / yb))", "ci_upper": "exp(ln(yc / hc / (yb / hb)) + 1.96 * sqrt(1 / yc + 1 / yb))"}
+
+
+def two_cells(spark, d):
+    """The cells of the whole and of all subsets without the factors of place and time."""
+    base = Study(spark, d).intervention.withColumn("scenario", F.explode(F.array_append(R.subset_of(), F.lit("all"))))
+    flat = base.withColumns({c: F.lit("all") for c in ("division_id", "daypart", "day_of_week", "calendar_quarter")})
+    return stage(R.position_cells(flat, keys=("scenario",)), "two-cells")
+
+
+@query("b78_two_cell_models", sql(f"SELECT label, {', '.join(_RATIO.format(x=x, n=n) for n, x in _CLOSED.items())}, round(yc + yb, 6) AS n_events, round(hc, 6) AS exposure_hours, CASE WHEN least(yc, yb) >= 5 THEN '' ELSE 'insufficient_data' END AS notes FROM tw", tw=_TWO))
+def b78_two(spark, d):
+    """The Poisson model where chair and bed alone are told apart, whose ratio and interval SQL can write."""
+    r = M.Fits(two_cells(spark, d)).ratios()
+    return r.select("label", *[F.round(c, 6).alias(c) for c in ("rr", "ci_lower", "ci_upper", "n_events", "exposure_hours")], "notes")
+
+
+@query("b81_two_cell_covariates", sql("SELECT label, covariate, round(coef, 6) AS coef, round(se, 6) AS se FROM (SELECT label, 'Intercept' AS covariate, ln(yb / hb) AS coef, sqrt(1 / yb) AS se, yc, yb FROM tw UNION ALL SELECT label, 'position=chair', ln(yc / hc / (yb / hb)), sqrt(1 / yc + 1 / yb), yc, yb FROM tw) WHERE least(yc, yb) >= 5", tw=_TWO))
+def b81_two(spark, d):
+    c = M.Fits(two_cells(spark, d)).covariates()
+    return c.select("label", "covariate", F.round("coef", 6).alias("coef"), F.round("se", 6).alias("se"))
+
+
+@query("b80_two_cell_negative_binomial", sql("SELECT label, CASE WHEN least(yc, yb) >= 5 THEN round(yc / hc / (yb / hb), 6) END AS rr, CASE WHEN least(yc, yb) >= 5 THEN round(exp(ln(yc / hc / (yb / hb)) - 1.96 * sqrt((1 + yc) / yc + (1 + yb) / yb)), 6) END AS ci_lower FROM tw", tw=_TWO))
+def b80_two(spark, d):
+    r = M.Fits(two_cells(spark, d), "negative_binomial").ratios()
+    return r.select("label", F.round("rr", 6).alias("rr"), F.round("ci_lower", 6).alias("ci_lower"))
+
+
 @query("b78_rate_model")
 def b78(spark, d):
     return M.fit_rate_model(cells(spark, d), "primary")
@@ -52,8 +85,7 @@ def b78(spark, d):
 
 @query("b79_robust_errors")
 def b79(spark, d):
-    c = cells(spark, d)
-    return M.fit_rate_model(c, "hc3", "hc3").unionByName(M.fit_rate_model(c, "cluster", "cluster"))
+    return M.robust_models(cells(spark, d))
 
 
 @query("b80_negative_binomial")
@@ -66,6 +98,27 @@ def b81(spark, d):
     return M.covariate_table(cells(spark, d))
 
 
+@query("b84_misclassification_models")
+def b84_models(spark, d):
+    return M.misclassification_models(cells(spark, d))
+
+
+_SWAPPED = "SELECT s.label, (1 - p) * yc + q * yb AS yc, (1 - q) * yb + p * yc AS yb, hc, hb FROM tw, (VALUES ('symmetric_swap_10pct', 0.1::DOUBLE, 0.1::DOUBLE), ('symmetric_swap_20pct', 0.2, 0.2), ('symmetric_swap_30pct', 0.3, 0.3), ('chair_to_bed_20pct', 0.2, 0), ('bed_to_chair_20pct', 0, 0.2)) s(label, p, q) WHERE tw.label = 'all'"
+
+
+@query("b84_two_cell_models", sql(f"SELECT label, {', '.join(_RATIO.format(x=x, n=n) for n, x in _CLOSED.items())} FROM sw", tw=_TWO, sw=_SWAPPED))
+def b84_two(spark, d):
+    r = M.misclassification_models(two_cells(spark, d).filter("scenario = 'all'").drop("scenario"))
+    return r.select("label", *[F.round(c, 6).alias(c) for c in ("rr", "ci_lower", "ci_upper")])
+
+
+@query("b86_adjusted_ratios")
+def b86_ratios(spark, d):
+    """The whole table of the rate models; hours with events whose dropout was mostly visible stand for those of chair origin."""
+    s = Study(spark, d)
+    return M.adjusted_ratios(s.intervention, s.linked.filter("pre_dropout_visibility_ratio > 0.5").select("monitor_id", "hour_ts"))
+
+
 @query("b85_threshold_sensitivity")
 def b85(spark, d):
     s = Study(spark, d)

@@ -425,8 +425,8 @@ def tick_signals(spark, d):
     k, value = F.col("k"), F.col("value")
     e = events(spark, d).filter("event_type <> 'error'").withColumn("t", F.floor(F.unix_seconds("ts") / TICK))
     last = e.groupBy("monitor_id", "t").agg(F.max_by(F.struct("event_id", "event_type", "value", "k"), "event_id").alias("x")).select("monitor_id", "t", "x.*")
-    near = lambda kind, other: F.when(F.col("event_type") == kind, value / 100).when(k % other == 0, value / 50 + 0.1)
-    s = last.withColumns({"d_chair": near("click", 2), "d_bed": near("view", 3), "d_room": near("purchase", 2)}).withColumn("has_location", F.col("event_type") != "signup")
+    near = lambda kind, other, by: F.when(F.col("event_type") == kind, value / 100).when(k % other == 0, value / by + 0.1)
+    s = last.withColumns({"d_chair": near("click", 2, 50), "d_bed": near("view", 3, 45), "d_room": near("purchase", 2, 40)}).withColumn("has_location", F.col("event_type") != "signup")
     score = {x: F.when(k % 4 == i, k / 100.0) for i, x in enumerate(POSTURES)}
     return s.withColumns(
         {f"score_{x}": c for x, c in score.items()}
@@ -439,7 +439,7 @@ def tick_signals(spark, d):
     ).drop("event_type", "value", "k")
 
 
-_TICKS = """SELECT monitor_id, t, event_id, CASE WHEN event_type = 'click' THEN value / 100 WHEN k % 2 = 0 THEN value / 50 + 0.1 END AS d_chair, CASE WHEN event_type = 'view' THEN value / 100 WHEN k % 3 = 0 THEN value / 50 + 0.1 END AS d_bed, CASE WHEN event_type = 'purchase' THEN value / 100 WHEN k % 2 = 0 THEN value / 50 + 0.1 END AS d_room,
+_TICKS = """SELECT monitor_id, t, event_id, CASE WHEN event_type = 'click' THEN value / 100 WHEN k % 2 = 0 THEN value / 50 + 0.1 END AS d_chair, CASE WHEN event_type = 'view' THEN value / 100 WHEN k % 3 = 0 THEN value / 45 + 0.1 END AS d_bed, CASE WHEN event_type = 'purchase' THEN value / 100 WHEN k % 2 = 0 THEN value / 40 + 0.1 END AS d_room,
   event_type <> 'signup' AS loc, CASE event_type WHEN 'click' THEN 'chair' WHEN 'view' THEN 'bed' WHEN 'purchase' THEN 'room' ELSE 'no_patient' END AS state, CASE WHEN k >= 70 THEN k / 100 ELSE 0 END AS iou, CASE k % 4 WHEN 0 THEN 'sitting' WHEN 1 THEN 'standing' WHEN 2 THEN 'lying' END AS posture, k % 4 <> 3 AS posed,
   (k % 4 = 0 AND k > 0)::INT AS sc_sitting, (k % 4 = 1)::INT AS sc_standing, (k % 4 = 2)::INT AS sc_lying, CASE WHEN k > 1 THEN k / 100 ELSE k END AS nudge_score, CASE WHEN k % 2 = 0 THEN value / 2000 END AS motion, CASE WHEN k % 3 = 0 THEN k / 100 END AS in_bed_score, CASE WHEN k % 5 <> 0 THEN (k % 2) / 2 END AS n_patient, 0 AS n_staff, (k % 3) / 8 AS n_other, (k % 5) / 4 AS n_bed, (k % 7) / 8 AS n_chair,
   (k % 10) / 21 AS raw_chair, (k // 10) / 23 AS raw_bed, 0.1 AS raw_room, 0.9 - (k % 10) / 21 - (k // 10) / 23 AS raw_no_patient, (k % 9) / 12 AS visible_prob, (k % 8) / 8 AS visibility_ratio, (k % 7) / 8 AS not_visible_prob, (k % 6) / 7 AS out_of_room_prob, k % 4 AS signal_count
