@@ -336,3 +336,22 @@ def test_spans_unite_when_they_touch():
     kind = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
     spans = pa.scalar([{"s": 5, "e": 9}, {"s": 0, "e": 3}, {"s": 3, "e": 4}, {"s": 6, "e": 7}], kind)
     assert matching.union(spans).tolist() == [[0, 4], [5, 9]]
+
+
+def test_bytes_of_ids_with_several_texts(spark):
+    """Each text of an id is judged by itself, repeated rows and rows without an id too."""
+    from collections import Counter
+
+    from tideline.llm.suffix_dedup import dedup_bytes
+
+    shared = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(700))
+    rows = [(1, "another text " + shared), (1, "short"), (2, shared + " end"), (None, shared), (3, "only here"), (3, "only here"), (4, ""), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = dedup_bytes(df).collect()
+    starts = Counter(t[i : i + 400] for t in (r[1] or "" for r in rows if r[0] is not None) for i in range(len(t) - 399))
+    want = []
+    for d, t in rows:
+        t = t or ""
+        gone = {j for i in range(len(t) - 399) if d is not None and starts[t[i : i + 400]] > 1 for j in range(i, i + 400)}
+        want.append((d, len(t), "".join(c for j, c in enumerate(t) if j not in gone)))
+    assert sorted(((r.doc_id, r.n_bytes, bytes(r.kept).decode()) for r in got), key=lambda x: (x[0] or 0, x[2])) == sorted(want, key=lambda x: (x[0] or 0, x[2]))

@@ -15,7 +15,7 @@ all of it together does, each of them does; the others are compared one by one.
 one place of each string inside matches.
 
 Null texts are empty; texts under 400 bytes and rows without a key keep everything. Repeated rows repeat each other's
-strings; rows of one key must have one text. A very long text is indexed and matched in one task, by blocks. Other columns
+strings; where a key holds several texts, each is a text of its own (found by their hashes beforehand). A very long text is indexed and matched in one task, by blocks. Other columns
 aren't read. An empty table gives an empty result.
 """
 
@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.common import drop_scratch, materialize, scratch_dir, shuffle_cleanup, table
+from tideline.llm.common import drop_scratch, fresh, materialize, scratch_dir, shuffle_cleanup, table
 from tideline.llm.hashing import binary_parts, signed
 from tideline.llm.matching import BYTES_400, Units, anchors, by_text, hashed_ranges, union, whole_texts, window_rows
 
@@ -251,8 +251,21 @@ def repeated_bytes(docs: DataFrame, units: Units = BYTES_400, batches: int | Non
     return out
 
 
+def several_texts(docs: DataFrame, text: str = "text", key: str = "doc_id") -> bool:
+    """Whether any key holds two different texts."""
+    h = F.xxhash64(F.coalesce(text, F.lit("")))
+    g = docs.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(h).alias("_a"), F.max(h).alias("_b"))
+    return g.filter("_a <> _b").limit(1).count() > 0
+
+
 def dedup_bytes(docs: DataFrame, units: Units = BYTES_400, batches: int | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, n_bytes, removed (disjoint byte ranges, in order) and kept (the other bytes)."""
+    if several_texts(docs, text, key):
+        (own,) = fresh(docs, "_own_key")
+        whole = docs.select(F.concat_ws(":", F.col(key).cast("string"), F.sha2(F.coalesce(text, F.lit("")), 256)).alias(own), F.col(key).isNull().alias("_none"), text)
+        whole = whole.select(F.when(~F.col("_none"), F.col(own)).alias(own), text)
+        out = dedup_bytes(whole, units, batches, text, own)
+        return out.select(F.substring(own, F.lit(1), F.length(own) - 65).cast(docs.schema[key].dataType).alias(key), "n_bytes", "removed", "kept")
     spans = repeated_bytes(docs, units, batches, text, key).withColumnRenamed(key, "_key")
     joined = docs.select(key, text).join(spans, docs[key] == F.col("_key"), "left").drop("_key")
     kind = docs.schema[key].dataType.simpleString()
