@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result as a table and reads it again as
 the next one's docs. All stages but the last return the columns of documents.
+
+Null and empty texts score low and go with the first stage. Repeated rows count as often as they occur until the
+third stage, which keeps one. A very long text is one row in every stage; columns beside doc_id and text are carried along.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,9 +40,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that of the smallest id. Documents without an id stay."""
+    """One document of each group of near copies: that of the smallest id. Documents without an id stay, and so do different texts under one id."""
     first = near_duplicates(docs).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.filter(F.col("doc_id").isNotNull()).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    kept = docs.filter(F.col("doc_id").isNotNull()).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.unionByName(docs.filter(F.col("doc_id").isNull())).select(docs.columns)
 
 
