@@ -136,3 +136,92 @@ def latest_per_file(records: DataFrame, tie: str) -> DataFrame:
     """B140: the last successful record of each file."""
     w = Window.partitionBy("file").orderBy(F.col(tie).desc())
     return records.filter("status = 'success'").withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+
+
+#: Statuses of a truth key, the first of which counts, and those that models are judged on (fixed values).
+STATUSES = ("accepted_nonfall", "excluded_bad_or_no_video", "excluded_no_signal", "excluded_offscreen", "included_fall")
+HEADLINE = ("included_fall", "accepted_nonfall")
+#: File names of recordings: unit, date, hour and minute, with or without a suffix (fixed pattern).
+FILE_NAME = r"^(\d+)_(\d{4}-\d{2}-\d{2})_(\d{2})-(\d{2})(?:\.\w+)?$"
+
+
+def file_event_key(file: Column) -> Column:
+    """unit|date|hour:minute of a recording's file name, with or without a path; null for other names."""
+    name = F.trim(F.regexp_extract(file, r"([^/]*)$", 1))
+    part = [F.regexp_extract(name, FILE_NAME, i) for i in range(1, 5)]
+    return F.when(part[0] != "", F.concat(part[0], F.lit("|"), part[1], F.lit("|"), part[2], F.lit(":"), part[3]))
+
+
+def as_bool(c: Column) -> Column:
+    """True, 1 and yes are true; false, 0, no, nothing and null are false; any other text is true."""
+    token = F.lower(F.trim(c.cast("string")))
+    return F.when(token.isNull() | token.isin("false", "0", "no", ""), False).otherwise(True)
+
+
+def as_number(c: Column) -> Column:
+    """A finite or infinite number, null for anything else."""
+    value = c.try_cast("double")
+    return F.when(~F.isnan(value), value)
+
+
+def relative_seconds(event_key: Column, clock: Column) -> Column:
+    """Seconds from the hour of a key to a clock's seconds, over midnight where that comes first."""
+    parts = F.split(event_key, r"\|")
+    hour = F.regexp_extract(F.get(parts, F.lit(2)), r"^(\d+):", 1).try_cast("int")
+    gap = clock - hour * 3600
+    return F.when(F.size(parts) == 3, F.when(gap < 0, gap + 86_400).otherwise(gap)).cast("double")
+
+
+def load_predictions(summary: DataFrame) -> DataFrame:
+    """B140: a model's summary with event_key from its file, typed detections, times and tags. A file of another name is an error when its row is read.
+
+    Tags come as text, split at commas and bars; nothing, none and nan are no tags.
+    """
+    key = file_event_key(F.col("file"))
+    bad = F.raise_error(F.concat(F.lit("no event key in the file name "), F.coalesce("file", F.lit("(null)")))).cast("string")
+    text = F.lower(F.trim(F.col("fall_tags")))
+    tags = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "[,|]"), lambda t: F.trim(t)), lambda t: t != "")
+    out = summary.withColumn("event_key", F.coalesce(key, bad)).withColumn("fall_detected", as_bool(F.col("fall_detected")))
+    out = out.withColumns({c: as_number(F.col(c)) for c in ("fall_time_seconds", "staff_entry_time_seconds", "staff_response_time_seconds") if c in summary.columns})
+    return out.withColumn("tags", F.when(text.isin("none", "nan", "<na>"), F.array().cast("array<string>")).otherwise(F.array_distinct(tags)))
+
+
+def load_results(records: DataFrame) -> DataFrame:
+    """B140: a record per file and model: event_key (null for other names), and error or success by whether an error came with it."""
+    return records.select(F.trim("file").alias("file"), file_event_key(F.col("file")).alias("event_key"), "model", F.when(F.col("error").isNotNull(), "error").otherwise("success").alias("record_status"), "error")
+
+
+def truth_status(truth: DataFrame) -> DataFrame:
+    """event_key and the first of its statuses."""
+    rank = F.coalesce(F.array_position(F.array(*[F.lit(s) for s in STATUSES]), F.col("status")), F.lit(0).cast("long"))
+    return truth.groupBy("event_key").agg(F.min_by("status", F.when(rank > 0, rank).otherwise(999)).alias("status"))
+
+
+def failure_table(truth: DataFrame, records: DataFrame, comparisons: DataFrame) -> DataFrame:
+    """B142: truth keys that no comparison reached, with their status and the errors of their records."""
+    lost = truth_status(truth).join(comparisons.select("event_key").distinct(), "event_key", "left_anti")
+    errors = records.filter("record_status = 'error'").select("file", "event_key", "model", "error")
+    return lost.join(errors, "event_key", "left").select("event_key", "status", "file", "model", "error")
+
+
+def model_coverage(truth: DataFrame, comparisons: DataFrame, records: DataFrame, models: list[str]) -> DataFrame:
+    """B142, B145: by model and status (and all): truth keys, those with a success, an error or nothing, and keys that all models share.
+
+    Models are few, so the truth keys are repeated for each.
+    """
+    keys = truth_status(truth).withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))
+    ok = comparisons.select("model", "event_key").distinct().withColumn("_ok", F.lit(True))
+    failed = records.filter("record_status = 'error' AND event_key IS NOT NULL").select("model", "event_key").distinct().withColumn("_failed", F.lit(True))
+    j = keys.join(ok, ["model", "event_key"], "left").join(failed, ["model", "event_key"], "left")
+    each = j.withColumn("scope", F.explode(F.array(F.col("status"), F.lit("all"))))
+    seen = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    g = each.groupBy("model", "scope").agg(F.count(F.lit(1)).alias("total"), seen("_ok").alias("successful"), seen("_failed").alias("failed"), F.count_if(F.col("_ok").isNull()).alias("missing"))
+    shared = common_keys(comparisons).agg(F.count(F.lit(1)).alias("overlap"))
+    return g.join(F.broadcast(shared))
+
+
+def event_long(truth: DataFrame, comparisons: DataFrame) -> DataFrame:
+    """B145: every comparison with its key's status, whether all models compared the key, and whether it counts or only diagnoses."""
+    both = comparisons.drop("status").join(truth_status(truth), "event_key", "left").join(common_keys(comparisons).withColumn("_common", F.lit(True)), "event_key", "left")
+    headline = F.coalesce(F.col("status").isin(*HEADLINE), F.lit(False))
+    return both.withColumn("in_overlap", F.col("_common").isNotNull()).withColumn("visible_primary", headline).withColumn("diagnostic_only", F.coalesce(F.col("status").startswith("excluded_"), F.lit(False))).drop("_common")

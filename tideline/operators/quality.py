@@ -323,8 +323,30 @@ def cramers_v(pairs: DataFrame) -> DataFrame:
 
 
 def signal_profile(scored: DataFrame) -> DataFrame:
-    """B110: mean probabilities and hits by truth label."""
-    return scored.groupBy("truth").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(f"prob_{s}"), 6).alias(f"mean_{s}") for s in STATES], F.round(F.avg((F.col("truth") == F.col("derived")).cast("double")), 6).alias("hit_rate"))
+    """B110: by truth label: sequences, mean probabilities, hits, and, of those scored for response, detection rates and mean latencies.
+
+    A sequence is scored for response unless scored_for_response says otherwise.
+    """
+    counts = F.col("scored_for_response") if "scored_for_response" in scored.columns else F.lit(True)
+    found = lambda c: F.round(F.avg(F.when(counts, F.col(c).isNotNull().cast("double"))), 4)
+    late = lambda c: F.round(F.avg(F.when(counts, F.col(c).cast("double"))), 4)
+    return scored.groupBy("truth").agg(
+        F.count(F.lit(1)).alias("n"), *[F.round(F.avg(f"prob_{s}"), 6).alias(f"mean_{s}") for s in STATES], F.round(F.avg((F.col("truth") == F.col("derived")).cast("double")), 6).alias("hit_rate"),
+        found("truth_latency").alias("truth_detect_rate"), found("predicted_latency").alias("derived_detect_rate"), late("truth_latency").alias("mean_truth_latency"), late("predicted_latency").alias("mean_derived_latency"),
+    )
+
+
+def association_summary(truth: DataFrame, tags: DataFrame, profile: DataFrame) -> DataFrame:
+    """B110: metric, value: truth rows and the share of their commonest label, tag uses, tags kept, their association with labels, and the profile's rows and mean hits."""
+    labels = truth.groupBy("truth_label").agg(F.count(F.lit(1)).alias("n"))
+    top = labels.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("double").alias("truth_rows"), F.coalesce(F.max("n"), F.lit(0)).cast("double").alias("top_truth_location_count"))
+    used = tags.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("double").alias("tag_annotations_total"), F.count_distinct("tag").cast("double").alias("distinct_tags_retained"))
+    shape = profile.agg(F.count(F.lit(1)).cast("double").alias("signal_profile_rows"), F.round(F.avg(F.round("hit_rate", 4)), 6).alias("signal_profile_mean_accuracy"))
+    v = cramers_v(tags).select(F.round("cramers_v", 6).alias("tag_location_cramers_v"))
+    wide = top.withColumn("top_truth_location_share", F.coalesce(F.round(F.try_divide("top_truth_location_count", "truth_rows"), 6), F.lit(0.0)))
+    for one in (used, v, shape):  # frames of one row
+        wide = wide.crossJoin(F.broadcast(one))
+    return wide.unpivot([], list(wide.columns), "metric", "value")
 
 
 #: Check, metric, operator and limit (fixed values).

@@ -108,7 +108,7 @@ def b106(spark, d):
     return Q.response_metrics(scored(spark, d))
 
 
-@query("b110_signal_profile", sql("SELECT truth, count(*) AS n, round(avg(prob_chair), 6) AS mean_chair, round(avg(prob_bed), 6) AS mean_bed, round(avg(prob_room), 6) AS mean_room, round(avg(prob_no_patient), 6) AS mean_no_patient, round(avg((truth = derived)::INT), 6) AS hit_rate FROM sc GROUP BY truth", **SC))
+@query("b110_signal_profile", sql("SELECT truth, count(*) AS n, round(avg(prob_chair), 6) AS mean_chair, round(avg(prob_bed), 6) AS mean_bed, round(avg(prob_room), 6) AS mean_room, round(avg(prob_no_patient), 6) AS mean_no_patient, round(avg((truth = derived)::INT), 6) AS hit_rate, round(avg((truth_latency IS NOT NULL)::INT), 4) AS truth_detect_rate, round(avg((predicted_latency IS NOT NULL)::INT), 4) AS derived_detect_rate, round(avg(truth_latency), 4) AS mean_truth_latency, round(avg(predicted_latency), 4) AS mean_derived_latency FROM sc GROUP BY truth", **SC))
 def b110(spark, d):
     return Q.signal_profile(scored(spark, d))
 
@@ -266,6 +266,17 @@ def b109(spark, d):
     return Q.cramers_v(part_tags(spark, d))
 
 
+_ASSOC = """SELECT (SELECT count(*) FROM tr)::DOUBLE AS truth_rows, (SELECT max(n) FROM (SELECT count(*) AS n FROM tr GROUP BY truth_label))::DOUBLE AS top_truth_location_count, round((SELECT max(n) FROM (SELECT count(*) AS n FROM tr GROUP BY truth_label)) / (SELECT count(*) FROM tr), 6) AS top_truth_location_share,
+  (SELECT sum(n) FROM pr)::DOUBLE AS tag_annotations_total, (SELECT count(DISTINCT tag) FROM pr)::DOUBLE AS distinct_tags_retained, (SELECT round(cramers_v, 6) FROM (SELECT sqrt(greatest(0, (q - n) / n - (k - 1) * (r - 1) / (n - 1)) / (least(k - power(k - 1, 2) / (n - 1), r - power(r - 1, 2) / (n - 1)) - 1)) AS cramers_v FROM
+  (SELECT sum(n) AS n, sum(n * n / e) AS q, count(DISTINCT label) AS r, count(DISTINCT tag) AS k FROM (SELECT *, sum(n) OVER (PARTITION BY label) * sum(n) OVER (PARTITION BY tag) / sum(n) OVER () AS e FROM pr)))) AS tag_location_cramers_v,
+  (SELECT count(DISTINCT truth) FROM sc)::DOUBLE AS signal_profile_rows, (SELECT round(avg(h), 6) FROM (SELECT round(round(avg((truth = derived)::INT), 6), 4) AS h FROM sc GROUP BY truth)) AS signal_profile_mean_accuracy"""
+
+
+@query("b110_association_summary", sql(f"UNPIVOT ({_ASSOC}) ON COLUMNS(*) INTO NAME metric VALUE value", **SC, **AN, pr=_PAIRS))
+def b110_summary(spark, d):
+    return Q.association_summary(truth(spark, d), part_tags(spark, d), Q.signal_profile(scored(spark, d)))
+
+
 _TAX = """SELECT event_key, arg_min(prefall_location, (p, row_id)) AS prefall_location, arg_min(m, (p, row_id)) AS mechanism, count(*) AS annotations, CASE WHEN arg_min(prefall_location, (p, row_id)) IN ('room', 'no_patient') THEN coalesce(arg_min(coalesce(last_furniture, ''), (p, row_id)), '') END AS own,
   arg_min(last_furniture, row_id) FILTER (last_furniture IS NOT NULL) AS first_known
   FROM (SELECT *, CASE WHEN prefall_location = 'chair' AND list_contains(tags, 'footrest') THEN 'footrest_positioning' WHEN list_contains(tags, 'support_bed') THEN 'transfer_failure' ELSE 'other' END AS m, CASE m WHEN 'footrest_positioning' THEN 0 WHEN 'transfer_failure' THEN 1 ELSE 2 END AS p FROM an) GROUP BY event_key"""

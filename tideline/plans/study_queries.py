@@ -250,6 +250,62 @@ def b145(spark, d):
     return X.overlap_wide(cmp(spark, d), ["model_1", "model_2", "model_3"])
 
 
+_FILE = "replace(replace(event_key, '|', '_'), ':', '-')"
+#: Records of the three models, a third of them errors, with files of all kinds of names.
+_RECORDS = f"""SELECT *, CASE WHEN regexp_matches(file, '^[0-9]+_') THEN event_key END AS found FROM (SELECT model, prediction_id, event_key, CASE prediction_id % 4 WHEN 0 THEN {_FILE} || '.mp4' WHEN 1 THEN {_FILE} WHEN 2 THEN 'clip-' || {_FILE} ELSE {_FILE} || '.m4v' END AS file, CASE WHEN prediction_id % 3 = 0 THEN 'timeout' END AS error FROM mp)"""
+_STATUSES = "SELECT event_key, arg_min(status, list_position(['accepted_nonfall', 'excluded_bad_or_no_video', 'excluded_no_signal', 'excluded_offscreen', 'included_fall'], status)) AS status FROM an GROUP BY event_key"
+_KEYS = {"rc": _RECORDS, "ts": _STATUSES}
+
+
+def records(spark, d):
+    p = model_predictions(spark, d)
+    name, i = F.translate("event_key", "|:", "_-"), F.pmod("prediction_id", F.lit(4))
+    file = F.when(i == 0, F.concat(F.lit("videos/"), name, F.lit(".mp4"))).when(i == 1, name).when(i == 2, F.concat(F.lit("clip-"), name)).otherwise(F.concat(name, F.lit(".m4v ")))
+    return X.load_results(p.select("model", file.alias("file"), F.when(F.col("prediction_id") % 3 == 0, "timeout").alias("error")))
+
+
+def successes(spark, d):
+    return cmp(spark, d).filter("prediction_id % 3 <> 0")
+
+
+@query("b140_load_results", sql("SELECT model, found AS event_key, CASE WHEN error IS NULL THEN 'success' ELSE 'error' END AS record_status, count(*) AS n FROM rc GROUP BY ALL", **CMP, **_KEYS))
+def b140_results(spark, d):
+    return records(spark, d).groupBy("model", "event_key", "record_status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("b140_load_predictions", sql("""SELECT model, prediction_id, event_key, prediction_id % 5 IN (0, 1, 4) AS fall_detected, CASE WHEN fall_seconds IS NOT NULL AND prediction_id % 7 <> 0 THEN fall_seconds::DOUBLE END AS fall_time_seconds, array_to_string(tags, '+') AS tags FROM mp""", **CMP))
+def b140(spark, d):
+    p, i = model_predictions(spark, d), F.pmod("prediction_id", F.lit(5))
+    said = F.when(i == 0, "True").when(i == 1, " yes").when(i == 2, "no").when(i == 4, "1")
+    raw = p.select(
+        "model", "prediction_id", F.concat(F.translate("event_key", "|:", "_-"), F.lit(".mp4")).alias("file"), said.alias("fall_detected"), F.when(F.col("prediction_id") % 7 == 0, "n/a").otherwise(F.col("fall_seconds").cast("string")).alias("fall_time_seconds"),
+        F.when(F.size("tags") == 0, F.when(i == 0, "none").when(i == 1, "")).otherwise(F.array_join("tags", " | ")).alias("fall_tags"),
+    )
+    out = X.load_predictions(raw)
+    return out.select("model", "prediction_id", "event_key", "fall_detected", "fall_time_seconds", F.array_join("tags", "+").alias("tags"))
+
+
+@query("b142_failure_table", sql("SELECT t.event_key, t.status, e.model, e.error, count(*) AS n FROM ts t LEFT JOIN (SELECT * FROM rc WHERE error IS NOT NULL) e ON e.found = t.event_key WHERE t.event_key NOT IN (SELECT event_key FROM mp WHERE prediction_id % 3 <> 0) GROUP BY ALL", **CMP, **_KEYS))
+def b142_failures(spark, d):
+    f = X.failure_table(QQ.annotations(spark, d), records(spark, d), successes(spark, d))
+    return f.groupBy("event_key", "status", "model", "error").agg(F.count(F.lit(1)).alias("n"))
+
+
+_COVER = """SELECT m.model, scope, count(*) AS total, count(*) FILTER (ok) AS successful, count(*) FILTER (bad) AS failed, count(*) FILTER (NOT ok) AS missing, any_value((SELECT count(*) FROM (SELECT event_key FROM mp WHERE prediction_id % 3 <> 0 GROUP BY event_key HAVING count(DISTINCT model) = 3))) AS overlap FROM
+  (SELECT m.model, t.event_key, t.status, EXISTS (SELECT 1 FROM mp p WHERE p.model = m.model AND p.event_key = t.event_key AND p.prediction_id % 3 <> 0) AS ok, EXISTS (SELECT 1 FROM rc r WHERE r.model = m.model AND r.found = t.event_key AND r.error IS NOT NULL) AS bad FROM ts t, (SELECT DISTINCT model FROM mp) m) m, LATERAL (SELECT unnest([m.status, 'all']) AS scope) GROUP BY ALL"""
+
+
+@query("b145_model_coverage", sql(_COVER, **CMP, **_KEYS))
+def b145_coverage(spark, d):
+    return X.model_coverage(QQ.annotations(spark, d), successes(spark, d), records(spark, d), ["model_1", "model_2", "model_3"])
+
+
+@query("b145_event_long", sql("""SELECT c.model, c.prediction_id, ts.status, c.event_key IN (SELECT event_key FROM mp WHERE prediction_id % 3 <> 0 GROUP BY event_key HAVING count(DISTINCT model) = 3) AS in_overlap, ts.status IN ('included_fall', 'accepted_nonfall') AS visible_primary, ts.status NOT IN ('included_fall', 'accepted_nonfall') AS diagnostic_only
+  FROM mp c JOIN ts ON c.event_key = ts.event_key WHERE prediction_id % 3 <> 0""", **CMP, **_KEYS))
+def b145_long(spark, d):
+    return X.event_long(QQ.annotations(spark, d), successes(spark, d)).select("model", "prediction_id", "status", "in_overlap", "visible_primary", "diagnostic_only")
+
+
 @query("b146_detection_confusion", sql("SELECT model, count(*) FILTER (t.fall_seconds IS NOT NULL AND fall_seconds IS NOT NULL) AS tp, count(*) FILTER (t.fall_seconds IS NULL AND fall_seconds IS NOT NULL) AS fp, count(*) FILTER (t.fall_seconds IS NOT NULL AND fall_seconds IS NULL) AS fn, count(*) FILTER (t.fall_seconds IS NULL AND fall_seconds IS NULL) AS tn, round(tp / (tp + fn), 6) AS sensitivity, round(tn / (tn + fp), 6) AS specificity FROM cm GROUP BY model", **CMP))
 def b146(spark, d):
     return X.detection_confusion(cmp(spark, d))
