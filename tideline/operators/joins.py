@@ -38,6 +38,21 @@ def interval_join(anchors: DataFrame, signals: DataFrame, keys: list[str], lo_s:
     return out
 
 
+def stored_interval_join(anchors: DataFrame, stored: DataFrame, keys: list[str], lo_s: int, hi_s: int, width_s: int, at: str = "anchor_ts", ts: str = "ts", wildcard: str | None = None) -> DataFrame:
+    """A24 on a table of sources.tables.store_by_time: the same pairs as interval_join's; only the anchors are shuffled, to the table's buckets.
+
+    An anchor goes to every bucket of width_s seconds that its range touches.
+    """
+    micros = lambda s: F.timestamp_micros(F.unix_micros(at) + s * 1_000_000)
+    left = anchors.withColumn("time_bucket", F.explode(F.sequence(_bucket(micros(lo_s), width_s), _bucket(micros(hi_s), width_s))))
+    shared = {c: f"{c}_signal" for c in stored.columns if c in anchors.columns and c not in keys}
+    out = left.join(stored.withColumnsRenamed(shared), [*keys, "time_bucket"])
+    out = out.filter((F.unix_micros(shared.get(ts, ts)) - F.unix_micros(at)).between(lo_s * 1_000_000, hi_s * 1_000_000))
+    if wildcard:
+        out = out.filter(F.col(wildcard).isNull() | (F.col(wildcard) == F.col(shared.get(wildcard, wildcard))))
+    return out.drop("time_bucket")
+
+
 def nearest(anchors: DataFrame, records: DataFrame, keys: list[str], tolerance_s: int, value: str, at: str = "anchor_ts", ts: str = "ts") -> DataFrame:
     """Per anchor, the value of the record nearest in time on either side, within the tolerance; ties by smaller value."""
     found = interval_join(anchors.select("anchor_id", *keys, at), records.filter(F.col(value).isNotNull()).select(*keys, ts, value), keys, -tolerance_s, tolerance_s, at, ts)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tideline.config import DEFAULT
@@ -10,6 +12,7 @@ from tideline.operators import sessions as S
 from tideline.operators import windows as W
 from tideline.plans.standins import BINS, events, raw_hourly, sql
 from tideline.sources.staging import stage
+from tideline.sources.tables import store_by_time
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -66,6 +69,14 @@ def a24(spark, d):
     return J.interval_join(anchors(spark, d), signals(spark, d), KEYS, -24 * H, 12 * H, wildcard="subject_id").select("anchor_id", "event_id")
 
 
+@query("a8_stored_interval_join", sql(f"SELECT a.anchor_id, s.event_id FROM {JOIN.format(w=WILD + ' AND', lo=24, hi=12)}", a=A, s=G))
+def a8(spark, d):
+    """The signals stored by unit and day, then joined without a shuffle of theirs."""
+    width = 24 * H
+    stored = store_by_time(signals(spark, d), f"tideline_signals_{uuid.uuid4().hex}", KEYS, width, buckets=max(16, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return J.stored_interval_join(anchors(spark, d), stored, KEYS, -24 * H, 12 * H, width, wildcard="subject_id").select("anchor_id", "event_id")
+
+
 @query("a28_nearest", sql("SELECT a.anchor_id, arg_min(s.k, (abs(epoch_us(s.ts) - epoch_us(a.anchor_ts)), s.k)) AS k FROM a JOIN (SELECT * FROM ev WHERE event_type <> 'error') s ON a.monitor_id = s.monitor_id AND s.ts BETWEEN a.anchor_ts - INTERVAL 6 HOUR AND a.anchor_ts + INTERVAL 6 HOUR GROUP BY a.anchor_id", a=A))
 def a28(spark, d):
     return J.nearest(anchors(spark, d), signals(spark, d), KEYS, 6 * H, "k")

@@ -60,6 +60,18 @@ def write_table(df: DataFrame, path: str, kind: str = "parquet", partition_by: l
 
 
 def save_as_table(df: DataFrame, name: str, bucket_by: list[str] | None = None, buckets: int = 32) -> None:
-    """CTAS; buckets co-locate later joins on the same keys."""
+    """CTAS; buckets co-locate later joins on the same keys. Each bucket is one sorted file."""
+    if bucket_by:
+        df = df.repartition(buckets, *bucket_by)
     writer = df.write.mode("overwrite").format("parquet")
     (writer.bucketBy(buckets, *bucket_by).sortBy(*bucket_by) if bucket_by else writer).saveAsTable(name)
+
+
+def store_by_time(df: DataFrame, name: str, keys: list[str], width_s: int, ts: str = "ts", buckets: int = 32) -> DataFrame:
+    """Df as a table bucketed and sorted by unit and time bucket of width_s seconds (``time_bucket``), so that range joins don't shuffle it again.
+
+    The name is the caller's to drop. Buckets should be no fewer than the session's shuffle partitions, or Spark may deal
+    both sides of a join anew.
+    """
+    save_as_table(df.withColumn("time_bucket", F.floor(F.unix_micros(ts) / (width_s * 1_000_000))), name, [*keys, "time_bucket"], buckets)
+    return df.sparkSession.table(name)
