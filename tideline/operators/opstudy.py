@@ -33,7 +33,7 @@ def threshold_onsets(signals: DataFrame, keys: list[str], score: str, threshold:
 
 
 def window_majority_label(events: DataFrame, grid: DataFrame, keys: list[str], widths: tuple[int, ...], step_s: int) -> DataFrame:
-    """B133: for each width, the state of most steps within it; ties go to the event's own step, then the nearest (earlier first), then the alphabet."""
+    """B133: for each width, the state of most steps within it, and all states of as many in alphabetical order; ties go to the event's own step, then the nearest (earlier first), then the alphabet."""
     at = F.floor(F.unix_micros("ts") / (step_s * 1_000_000)) * step_s
     width = F.explode(F.array(*[F.lit(w) for w in widths])).alias("width")
     e = events.select("event_id", *keys, at.cast("long").alias("own"), width)
@@ -46,9 +46,10 @@ def window_majority_label(events: DataFrame, grid: DataFrame, keys: list[str], w
     g = votes.groupBy("event_id", "width").agg(
         F.coalesce(F.min_by("label", F.when(known, key)), F.lit("missing_posture")).alias("assigned"), F.coalesce(F.max(F.when(known & (F.col("here") == 1), F.col("label"))), F.lit("missing_posture")).alias("own_label"),
         F.coalesce(F.sum(F.when(known, F.col("n"))), F.lit(0).cast("long")).alias("seen_steps"), F.coalesce(F.sum(F.when(~known, F.col("n"))), F.lit(0).cast("long")).alias("missing_steps"),
-        F.coalesce(F.max(F.when(known, F.col("n"))), F.lit(0).cast("long")).alias("top_votes"), F.collect_list(F.when(known, F.col("n"))).alias("_v"),
+        F.coalesce(F.max(F.when(known, F.col("n"))), F.lit(0).cast("long")).alias("top_votes"), F.collect_list(F.when(known, F.struct("label", "n"))).alias("_v"),
     )
-    return g.withColumn("tied", F.size(F.filter("_v", lambda v: v == F.col("top_votes"))).cast("long")).drop("_v")
+    g = g.withColumn("tied_states", F.array_sort(F.transform(F.filter("_v", lambda v: v["n"] == F.col("top_votes")), lambda v: v["label"])))
+    return g.withColumn("tied", F.size("tied_states").cast("long")).drop("_v")
 
 
 def unresolved_labels(scoped: DataFrame) -> DataFrame:
@@ -65,3 +66,31 @@ def operational_summary(minutes: DataFrame, labels: DataFrame, step_s: int) -> D
     grid = exposure.crossJoin(F.broadcast(widths))
     out = grid.join(n, ["state", "width"], "left").withColumn("events", F.coalesce("events", F.lit(0).cast("long")))
     return out.withColumn("rate_per_100_hours", F.round(F.try_divide(100.0 * F.col("events"), F.col("exposure_hours")), 6))
+
+
+def operational_study(minutes: DataFrame, labels: DataFrame, active: DataFrame, step_s: int) -> DataFrame:
+    """B135 in full: by metric, width and state, the events of the state, those excluded (other states, missing, unresolved) and their rate per 100 exposure hours; and the active seconds of the state per exposure hour.
+
+    labels: metric, width, status (resolved or not) and assigned; active: state (null where missing) and seconds. Totals
+    and exposure are a few rows, so every pair of them is a row of the result.
+    """
+    hours = minutes.agg(*[(F.sum(f"steps_{s}") * step_s / 3600.0).alias(s) for s in STATES])
+    exposure = F.broadcast(hours.unpivot([], list(hours.columns), "state", "exposure_hours"))
+    resolved = F.col("status") == "resolved"
+    counts = {s: F.count_if(resolved & (F.col("assigned") == s)).cast("double") for s in STATES}
+    events = labels.groupBy("metric", "width").agg(F.count(F.lit(1)).cast("double").alias("source_value"), F.count_if(~resolved).alias("excluded_unresolved"), F.count_if(resolved & (F.col("assigned") == "missing_posture")).cast("double").alias("excluded_missing"), *[c.alias(f"_{s}") for s, c in counts.items()])
+    zero = F.lit(0.0)
+    seconds = active.agg(
+        F.lit("nudge_active_seconds").alias("metric"), F.lit(None).cast("int").alias("width"), F.coalesce(F.sum("seconds"), zero).alias("source_value"), F.lit(0).cast("long").alias("excluded_unresolved"),
+        F.coalesce(F.sum(F.when(F.col("state").isNull(), F.col("seconds"))), zero).alias("excluded_missing"), *[F.coalesce(F.sum(F.when(F.col("state") == s, F.col("seconds"))), zero).alias(f"_{s}") for s in STATES],
+    )
+
+    def by_state(totals):
+        own = F.coalesce(*[F.when(F.col("state") == s, F.col(f"_{s}")) for s in STATES])
+        every = sum((F.col(f"_{s}") for s in STATES), zero)
+        return totals.crossJoin(exposure).withColumn("numerator", own).withColumn("excluded_other", every - own).drop(*[f"_{s}" for s in STATES])
+
+    rate = F.try_divide("numerator", "exposure_hours")
+    none = F.lit(None).cast("double")
+    first = by_state(events).withColumn("rate_per_100_hours", 100.0 * rate).withColumn("active_seconds_per_hour", none)
+    return first.unionByName(by_state(seconds).withColumn("rate_per_100_hours", none).withColumn("active_seconds_per_hour", rate))

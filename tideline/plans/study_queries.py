@@ -9,6 +9,7 @@ from tideline.operators import describe as D
 from tideline.operators import joins as J
 from tideline.operators import opstudy as O
 from tideline.operators import sessions as S
+from tideline.operators import windows as W
 from tideline.plans import quality_queries as QQ
 from tideline.plans import window_queries as WQ
 from tideline.plans.standins import BINS, Study, events, load, raw_events, raw_hourly, sql
@@ -137,7 +138,7 @@ def b132(spark, d):
 
 
 _LABELS = """SELECT o.event_id, o.width, coalesce(arg_min(label, (-n, -here, dist, near, label)) FILTER (label IS NOT NULL), 'missing_posture') AS assigned, coalesce(max(label) FILTER (here = 1), 'missing_posture') AS own_label, coalesce(sum(n) FILTER (label IS NOT NULL), 0)::BIGINT AS seen_steps, coalesce(sum(n) FILTER (label IS NULL), 0)::BIGINT AS missing_steps,
-  coalesce(max(n) FILTER (label IS NOT NULL), 0) AS top_votes, count(*) FILTER (label IS NOT NULL AND n = m) AS tied FROM
+  coalesce(max(n) FILTER (label IS NOT NULL), 0) AS top_votes, count(*) FILTER (label IS NOT NULL AND n = m) AS tied, coalesce(string_agg(label, ',' ORDER BY label) FILTER (label IS NOT NULL AND n = m), '') AS tied_states FROM
   (SELECT *, max(CASE WHEN label IS NOT NULL THEN n END) OVER (PARTITION BY event_id, width) AS m FROM (SELECT event_id, width, label, count(*) AS n, max((step = own AND label IS NOT NULL)::INT) AS here, min(abs(step - own)) AS dist, arg_min(step, (abs(step - own), step)) AS near
     FROM (SELECT e.event_id, e.monitor_id, epoch_us(e.ts) // 10800000000 * 10800 AS own, w AS width, unnest(range(own - w * 10800, own + w * 10800 + 1, 10800)) AS step FROM ev e, (SELECT unnest([3, 5]) AS w) WHERE e.event_type = 'error') x LEFT JOIN (SELECT DISTINCT monitor_id, step, label FROM grid WHERE label <> 'missing_posture') g USING (monitor_id, step) GROUP BY ALL)) o GROUP BY o.event_id, o.width"""
 
@@ -148,7 +149,7 @@ def labels(spark, d):
 
 @query("b133_window_majority_label", sql(_LABELS, **_GRIDS))
 def b133(spark, d):
-    return labels(spark, d)
+    return labels(spark, d).withColumn("tied_states", F.array_join("tied_states", ","))
 
 
 @query("b134_unresolved_labels", sql("""SELECT event_id, 'unresolved' AS assigned, CASE WHEN n = 0 THEN 'unmatched' ELSE 'ambiguous' END AS status FROM (SELECT e.event_id, count(c.chunk) AS n
@@ -164,6 +165,24 @@ def b135(spark, d):
     return O.operational_summary(O.minute_exposure(grid(spark, d), ["monitor_id"], 24 * WQ.H), labels(spark, d), 3 * WQ.H)
 
 
+_SCOPED = "SELECT e.event_id, count(c.chunk) AS n FROM (SELECT * FROM ev WHERE event_type = 'error') e LEFT JOIN (SELECT monitor_id, chunk, chunk_start, chunk_end + INTERVAL 20 HOUR AS e FROM c) c ON e.monitor_id = c.monitor_id AND e.ts BETWEEN c.chunk_start AND c.e GROUP BY e.event_id"
+_EXPOSED = "UNPIVOT (SELECT sum(steps_chair) * 3.0::DOUBLE AS chair, sum(steps_bed) * 3.0::DOUBLE AS bed, sum(steps_room) * 3.0::DOUBLE AS room, sum(steps_no_patient) * 3.0::DOUBLE AS no_patient FROM mi) ON COLUMNS(*) INTO NAME state VALUE exposure_hours"
+_EVENTS = "SELECT CASE WHEN v.value > 100 THEN 'alarm_trigger' ELSE 'talk_event' END AS metric, l.width, l.assigned, CASE WHEN sc.n = 1 THEN 'resolved' WHEN sc.n = 0 THEN 'unmatched' ELSE 'ambiguous' END AS status FROM lb3 l JOIN sc ON l.event_id = sc.event_id JOIN ev v ON v.event_id = l.event_id"
+_ACTIVE = "SELECT CASE WHEN loc THEN state END AS state, staff_iou * 100 AS seconds FROM s WHERE staff_iou > 0"
+
+
+@query("b135_operational_study", sql("""SELECT metric, width, state, exposure_hours, source_value, numerator, excluded_other, excluded_missing, excluded_unresolved, round(rate_per_100_hours, 6) AS rate_per_100_hours, round(active_seconds_per_hour, 6) AS active_seconds_per_hour FROM
+  (SELECT metric, width, x.state, exposure_hours, count(*)::DOUBLE AS source_value, count(*) FILTER (status = 'resolved' AND assigned = x.state)::DOUBLE AS numerator, count(*) FILTER (status = 'resolved' AND assigned NOT IN (x.state, 'missing_posture'))::DOUBLE AS excluded_other, count(*) FILTER (status = 'resolved' AND assigned = 'missing_posture')::DOUBLE AS excluded_missing, count(*) FILTER (status <> 'resolved') AS excluded_unresolved,
+    100 * (count(*) FILTER (status = 'resolved' AND assigned = x.state)) / exposure_hours AS rate_per_100_hours, NULL::DOUBLE AS active_seconds_per_hour FROM es, ex x GROUP BY metric, width, x.state, exposure_hours
+  UNION ALL SELECT 'nudge_active_seconds', NULL, x.state, exposure_hours, round(sum(seconds), 6), round(coalesce(sum(seconds) FILTER (a.state = x.state), 0), 6), round(coalesce(sum(seconds) FILTER (a.state <> x.state), 0), 6), round(coalesce(sum(seconds) FILTER (a.state IS NULL), 0), 6), 0, NULL, coalesce(sum(seconds) FILTER (a.state = x.state), 0) / exposure_hours FROM ac a, ex x GROUP BY x.state, exposure_hours)""", **_GRIDS, c=WQ._CHUNKS, mi=_MIN, lb3=_LABELS, sc=_SCOPED, ex=_EXPOSED, es=_EVENTS, ac=_ACTIVE))
+def b135_study(spark, d):
+    sessions = WQ.chunks(spark, d).select(*WQ.KEYS, F.col("chunk").alias("session_id"), F.col("chunk_start").alias("start"), (F.col("chunk_end") + F.expr("INTERVAL 20 HOURS")).alias("end"))
+    scoped = J.point_in_session(falls(spark, d), sessions, WQ.KEYS, 48 * WQ.H).select("event_id", F.when(F.col("status") == "matched", "resolved").otherwise(F.col("status")).alias("status"), F.when(F.col("value") > 100, "alarm_trigger").otherwise("talk_event").alias("metric"))
+    active = W.signal_flags(WQ.signals(spark, d)).filter("staff_iou > 0").select(F.when(F.col("has_location"), F.col("state")).alias("state"), (F.col("staff_iou") * 100).alias("seconds"))
+    out = O.operational_study(O.minute_exposure(grid(spark, d), ["monitor_id"], 24 * WQ.H), labels(spark, d).join(scoped, "event_id"), active, 3 * WQ.H)
+    return out.withColumns({c: F.round(c, 6) for c in ("source_value", "numerator", "excluded_other", "excluded_missing", "rate_per_100_hours", "active_seconds_per_hour")})
+
+
 @query("b136_annotation_utc", sql("SELECT row_id, timezone('America/Chicago', strptime(string_split(event_key, '|')[2], '%Y-%m-%d') + fall_seconds * INTERVAL 1 SECOND)::TIMESTAMP AS fall_ts_utc FROM an", **QQ.AN))
 def b136(spark, d):
     return X.annotation_utc(QQ.annotations(spark, d), "America/Chicago").select("row_id", "fall_ts_utc")
