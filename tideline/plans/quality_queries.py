@@ -226,7 +226,7 @@ def b96(spark, d):
 
 
 _SEQ = """SELECT sequence_id, truth_label, instances, truth_latency, predicted_latency, t > 0 AS scored, round(CASE WHEN t > 0 THEN c / t ELSE 0 END, 9) AS prob_chair, round(CASE WHEN t > 0 THEN b / t ELSE 0 END, 9) AS prob_bed,
-  CASE WHEN t = 0 THEN 'no_patient' ELSE CASE greatest(c, b, r, n) WHEN c THEN 'chair' WHEN b THEN 'bed' WHEN r THEN 'room' ELSE 'no_patient' END END AS derived
+  CASE WHEN t = 0 THEN 'no_patient' WHEN c / t >= greatest(c, b, r, n) / t - 1e-9 THEN 'chair' WHEN b / t >= greatest(c, b, r, n) / t - 1e-9 THEN 'bed' WHEN r / t >= greatest(c, b, r, n) / t - 1e-9 THEN 'room' ELSE 'no_patient' END AS derived
   FROM (SELECT sequence_id, arg_max(truth_label, event_instance_ordinal) AS truth_label, count(*) AS instances, min(response_latency)::INT AS truth_latency, min(s.predicted_latency)::BIGINT AS predicted_latency, coalesce(sum(prob_chair), 0) AS c, coalesce(sum(prob_bed), 0) AS b, coalesce(sum(prob_room), 0) AS r, coalesce(sum(prob_no_patient), 0) AS n, c + b + r + n AS t
     FROM tr JOIN m USING (row_id) LEFT JOIN sc s ON s.event_id = m.prediction_id GROUP BY sequence_id)"""
 
@@ -305,7 +305,7 @@ _EVAL = {
     "spl": "SELECT tr.* EXCLUDE (truth_label), s.split, s.split <> 'inframe' AS counts, CASE WHEN s.split = 'departure_aware' THEN truth_label WHEN status = 'excluded_offscreen' THEN 'no_patient' ELSE prefall_location END AS truth_label, status = 'excluded_offscreen' AS offscreen FROM tr, (SELECT unnest(['departure_aware', 'inframe', 'raw_audit']) AS split) s",
     "sp0": """SELECT split, k.model, sequence_id, coalesce(sum(prob_chair), 0) AS c, coalesce(sum(prob_bed), 0) AS b, coalesce(sum(prob_room), 0) AS r, coalesce(sum(prob_no_patient), 0) AS n, arg_max(truth_label, event_instance_ordinal) AS truth, bool_or(offscreen) AS offscreen, bool_or(counts) AS counts
       FROM spl JOIN m ON spl.row_id = m.row_id CROSS JOIN (SELECT unnest(['legacy', 'v2', 'v3']) AS model) k LEFT JOIN mo ON mo.model = k.model AND mo.prediction_id = m.prediction_id GROUP BY ALL""",
-    "sp": """SELECT split, model, sequence_id, truth, CASE greatest(c, b, r, n) WHEN 0 THEN 'no_patient' WHEN c THEN 'chair' WHEN b THEN 'bed' WHEN r THEN 'room' ELSE 'no_patient' END AS derived, coalesce(c / nullif(c + b + r + n, 0), 0) AS prob_chair, coalesce(b / nullif(c + b + r + n, 0), 0) AS prob_bed, coalesce(r / nullif(c + b + r + n, 0), 0) AS prob_room,
+    "sp": """SELECT split, model, sequence_id, truth, CASE WHEN c + b + r + n = 0 THEN 'no_patient' WHEN c / (c + b + r + n) >= greatest(c, b, r, n) / (c + b + r + n) - 1e-9 THEN 'chair' WHEN b / (c + b + r + n) >= greatest(c, b, r, n) / (c + b + r + n) - 1e-9 THEN 'bed' WHEN r / (c + b + r + n) >= greatest(c, b, r, n) / (c + b + r + n) - 1e-9 THEN 'room' ELSE 'no_patient' END AS derived, coalesce(c / nullif(c + b + r + n, 0), 0) AS prob_chair, coalesce(b / nullif(c + b + r + n, 0), 0) AS prob_bed, coalesce(r / nullif(c + b + r + n, 0), 0) AS prob_room,
       coalesce(n / nullif(c + b + r + n, 0), 1) AS prob_no_patient, c + b + r + n > 0 AND (counts OR NOT offscreen) AS scored FROM sp0""",
     "sd": "SELECT * FROM sp WHERE scored",
     "elm": """SELECT split, model, label, count(*) FILTER (truth = label) AS support, count(*) FILTER (derived = label) AS predicted, count(*) FILTER (truth = label AND derived = label) AS tp, coalesce(tp / nullif(predicted, 0), 0) AS precision, coalesce(tp / nullif(support, 0), 0) AS recall,
