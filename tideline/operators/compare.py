@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.timefn import circular_distance, to_utc
-from tideline.operators.joins import interval_join
+from tideline.operators.joins import interval_join, spread
+from tideline.sources.staging import stage
 
 
 def annotation_utc(ann: DataFrame, zone: str) -> DataFrame:
@@ -49,15 +50,16 @@ def tag_jaccard(a: Column, b: Column) -> Column:
 def compare_to_truth(pred: DataFrame, truth: DataFrame) -> DataFrame:
     """B141: each prediction with the truth row of its key: the only one, else the nearest in time, else the earliest; matches and errors.
 
-    Truth rows per key are few; min_by picks one without sorting.
+    Truth rows per key are few; min_by picks one beside its prediction, in the distribution by key, without a second shuffle.
     """
     t = truth.select("event_key", F.struct(F.col("row_id").alias("row_id"), "prefall_location", "last_furniture", "fall_seconds", "response_seconds", "tags").alias("t"))
-    p = pred.withColumn("_id", F.struct("model", "prediction_id"))
+    p = pred.withColumn("_n", F.monotonically_increasing_id())  # a row each, also where an id comes twice
     far = F.lit(1e12)
     gap = F.coalesce(F.abs(F.col("t.fall_seconds") - F.col("fall_seconds")).cast("double"), F.when(F.col("fall_seconds").isNotNull(), far).otherwise(0.0))
     order = F.struct(gap, F.coalesce(F.col("t.fall_seconds").cast("double"), far), F.coalesce(F.when(F.col("fall_seconds").isNull(), F.col("t.response_seconds").cast("double")), far), F.col("t.row_id"))
-    j = p.select("_id", "event_key", "fall_seconds").join(t, "event_key").groupBy("_id").agg(F.min_by("t", order).alias("t"), F.count(F.lit(1)).alias("truth_rows"))
-    out = p.join(j, "_id", "left").drop("_id").withColumn("truth_rows", F.coalesce("truth_rows", F.lit(0).cast("long")))
+    row = F.first(F.struct(*[F.col(c) for c in pred.columns]))
+    g = spread(p, "event_key", counted=pred).join(t, "event_key", "left").groupBy("event_key", "_n").agg(row.alias("_p"), F.min_by("t", order).alias("t"), F.count("t").alias("truth_rows"))
+    out = g.select("_p.*", "t", "truth_rows")
     source = F.when(F.col("truth_rows") == 0, "missing_truth").when(F.col("truth_rows") == 1, "direct_event_key").when(F.col("fall_seconds").isNotNull(), "nearest_fall_time").otherwise("earliest_truth_fallback")
     hit = F.col("truth_rows") > 0
     return out.withColumns({
@@ -103,6 +105,7 @@ def common_keys(cmp: DataFrame) -> DataFrame:
 
 def model_metrics(cmp: DataFrame) -> DataFrame:
     """B144: the metrics of each model on all its keys and on the common ones."""
+    cmp = stage(cmp, "comparison")
     both = cmp.withColumn("scope", F.lit("full")).unionByName(cmp.join(common_keys(cmp), "event_key", "left_semi").withColumn("scope", F.lit("common_overlap")))
     g = both.groupBy("scope", "model").agg(*_metrics())
     return g.unpivot(["scope", "model"], [c for c in g.columns if c not in ("scope", "model")], "metric", "value")
